@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, texts
 from .tokens import Encoder
 
-SIZE, END_ID, STRIDE, FLUSH = 2048, 1, 32, 1 << 20
+SIZE, END_ID, STRIDE, FLUSH = 2048, 1, 64, 1 << 20
 SENTENCE_CUT, HARD_CUT = 2, 6
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -52,7 +52,12 @@ class Encoder:
     BREAK, ODD = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s|^\s|\s\Z")
 
     def __init__(self, name: str):
-        self.tokenizer, self.known = load_tokenizer(name), {}
+        self.tokenizer, self.known, self.sizes = load_tokenizer(name), {}, None
+        if self.tokenizer.normalizer is None:  # a byte-level vocabulary: a piece has a character for each byte
+            vocab = self.tokenizer.get_vocab()
+            self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+            for piece, i in vocab.items():
+                self.sizes[i] = len(piece)
 
     def parts(self, text: str) -> list[str]:
         if self.ODD.search(text):
@@ -60,12 +65,36 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def joined(self, parts: list[str]) -> list[bytes] | None:
+        """The ids of parts encoded as one text and cut where their bytes end; None if ids don't end there."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        at, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in parts])
+        cut = np.searchsorted(at, ends)
+        if cut[-1] >= len(at) or (at[cut] != ends).any():
+            return None
+        raw, stop = ids.tobytes(), ((cut + 1) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop)]
+
+    def learn(self, new: list[str]) -> None:
+        alone = new
+        if self.sizes is not None:
+            whole = lambda x: x[0] == " " and not x[-1].isspace()
+            alone, spaced = [x for x in new if not (x and whole(x))], [x for x in new if x and whole(x)]
+            for i in range(0, len(spaced), 2000):
+                part = spaced[i : i + 2000]
+                if (found := self.joined(part)) is None:
+                    alone += part
+                else:
+                    self.known.update(zip(part, found))
+        self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.WORDS:
             self.known.clear()
         known, split = self.known, [self.parts(t) for t in texts]
         new = [x for x in set().union(*split) if x not in known]
-        known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+        if new:
+            self.learn(new)
         return [b"".join(map(known.__getitem__, p)) for p in split]
 
 
