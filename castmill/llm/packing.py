@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts
-from .tokens import Encoder
+from .tokens import worker_encoder
 
 SIZE, END_ID, STRIDE, FLUSH = 2048, 1, 64, 1 << 20
 SENTENCE_CUT, HARD_CUT = 2, 6
@@ -112,7 +112,7 @@ class _Packer:
 
 
 def _pack(batches, name: str, size: int, end_id: int):
-    encoder, end = Encoder(name), np.array([end_id], "<u4").tobytes()
+    encoder, end = worker_encoder(name), np.array([end_id], "<u4").tobytes()
     ends = sentence_ends(encoder.tokenizer)
     packer = _Packer(size, TaskContext.get().partitionId() << 33)
     kind = pa.int64()

@@ -13,7 +13,8 @@ import hashlib
 import os
 import re
 import zlib
-from functools import partial
+from array import array
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,50 +44,28 @@ def load_tokenizer(name: str):
 class Encoder:
     """Whole texts to little-endian id bytes, each distinct word encoded once while it is remembered.
 
-    A single space between two characters that aren't white space starts a pre-token in both tokenizers,
-    and merges never leave a pre-token; so the ids of a text are those of its parts. At most WORDS parts
-    are remembered.
+    A single space or line feed between two characters that aren't white space starts a pre-token in both
+    tokenizers, and merges never leave a pre-token; so the ids of a text are those of its parts. At most
+    WORDS parts, and those that one call adds, are remembered.
     """
 
-    WORDS = 300_000
-    BREAK, ODD = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s|^\s|\s\Z")
+    WORDS, CALL = 500_000, 2000
+    BREAK, ODD = re.compile(r"(?<=\S)(?=[ \n]\S)"), re.compile(r"\s\s|^\s|\s\Z")
 
     def __init__(self, name: str):
-        self.tokenizer, self.known, self.sizes = load_tokenizer(name), {}, None
-        if self.tokenizer.normalizer is None:  # a byte-level vocabulary: a piece has a character for each byte
-            vocab = self.tokenizer.get_vocab()
-            self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
-            for piece, i in vocab.items():
-                self.sizes[i] = len(piece)
+        self.tokenizer, self.known = load_tokenizer(name), {}
 
     def parts(self, text: str) -> list[str]:
         if self.ODD.search(text):
             return self.BREAK.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def joined(self, parts: list[str]) -> list[bytes] | None:
-        """The ids of parts encoded as one text and cut where their bytes end; None if ids don't end there."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        at, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in parts])
-        cut = np.searchsorted(at, ends)
-        if cut[-1] >= len(at) or (at[cut] != ends).any():
-            return None
-        raw, stop = ids.tobytes(), ((cut + 1) * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *stop], stop)]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return [first, *[x if x[:1] == "\n" else " " + x for x in rest]]
 
     def learn(self, new: list[str]) -> None:
-        alone = new
-        if self.sizes is not None:
-            whole = lambda x: x[0] == " " and not x[-1].isspace()
-            alone, spaced = [x for x in new if not (x and whole(x))], [x for x in new if x and whole(x)]
-            for i in range(0, len(spaced), 2000):
-                part = spaced[i : i + 2000]
-                if (found := self.joined(part)) is None:
-                    alone += part
-                else:
-                    self.known.update(zip(part, found))
-        self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
+        for i in range(0, len(new), self.CALL):
+            some = new[i : i + self.CALL]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.WORDS:
@@ -98,9 +77,18 @@ class Encoder:
         return [b"".join(map(known.__getitem__, p)) for p in split]
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(name: str) -> Encoder:
+    """One encoder for all tasks of a Python worker: its words outlive a task."""
+    return Encoder(name)
+
+
 def _encoded(batches, name: str, end_id: int, dictionary: bytes | None):
-    encoder, end = Encoder(name), np.array([end_id], "<u4").tobytes()
-    pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress if dictionary is not None else bytes
+    encoder, end = worker_encoder(name), np.array([end_id], "<u4").tobytes()
+    shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if shared:
+        shared.precompute_compress(level=LEVEL)
+    pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress if dictionary is not None else bytes
     for b in batches:
         whole = b.column(1).to_pylist()
         for i in range(0, len(whole), 64):
