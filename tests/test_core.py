@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 from castmill.operators import intervals, metrics, titles, transcripts
+from castmill.plans import pairs as pair_queries
 from castmill.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -15,12 +16,15 @@ def duck(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+SQL = queries.ORACLE_SQL | pair_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    found = queries.QUERIES[name](spark, sf_dir)
+    found = (queries.QUERIES | pair_queries.QUERIES)[name](spark, sf_dir)
     cols = sorted(found.columns)
     got = [tuple(r) for r in found.select(cols).collect()]
-    want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})").fetchall()
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert len(got) == len(want) and sorted(got, key=key) == sorted(want, key=key)
 
