@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castmill.llm.common import durable, table
+from castmill.llm.copies import near_copies
 from castmill.llm.packing import pack
 from castmill.llm.quality import classify_quality
 from castmill.llm.secrets import redact
-from castmill.llm.simhash import near_duplicates
 from castmill.llm.toxicity import grade_toxicity
 
 
@@ -24,8 +24,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group stays."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    """The document with the smallest id of each group of near copies (five-word shingles, Jaccard 0.8) stays."""
+    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
