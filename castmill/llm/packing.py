@@ -26,7 +26,7 @@ from .tokens import worker_encoder
 
 SIZE, END_ID, STRIDE, FLUSH = 2048, 1, 64, 1 << 20
 SENTENCE_CUT, HARD_CUT = 2, 6
-COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
@@ -99,7 +99,7 @@ class _Packer:
             while done < end:
                 doc_id, ids, start = queue[0]
                 n = min(end - done, len(ids) - start)
-                yield doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.sequence, offset
+                yield doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.sequence, offset, ids[start : start + n]
                 done, offset = done + n, offset + n
                 queue.popleft()
                 if start + n < len(ids):
@@ -119,8 +119,10 @@ def _pack(batches, name: str, size: int, end_id: int):
 
     def rows(found):
         found = list(found)
-        cols = list(zip(*found)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        cols = list(zip(*found)) or [[]] * 8
+        ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *cols[2]]), pa.int32()), pa.array(np.concatenate([np.empty(0, "<u4"), *cols[7]]).view(np.int32)))
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:7]], ids], names)
 
     for b in batches:
         kind, ids, whole = b.schema.field(0).type, b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -134,10 +136,10 @@ def _pack(batches, name: str, size: int, end_id: int):
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (those of the piece)."""
     rows = texts(docs, id_col, text_col)
     return rows.mapInArrow(partial(_pack, name=tokenizer, size=size, end_id=end_id), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).drop("ids")

@@ -18,12 +18,12 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, texts
 
 MARK, BYTE_PENALTY, REMEMBERED = "▁", 10.0, 400_000
 UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
-COLUMNS = "n_pieces long, ids_crc32 long, score double, second_score double, round_trip boolean"
 
 
 class Lattice:
@@ -107,24 +107,53 @@ class Lattice:
         return raw.decode(errors="replace")[1:]
 
 
+def _nested(rows: list[list[tuple[float, list[int]]]]) -> pa.Array:
+    """Arrays of structs score, ids."""
+    flat = [p for r in rows for p in r]
+    at = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    ids = pa.ListArray.from_arrays(at([len(i) for _, i in flat]), pa.array([x for _, i in flat for x in i], pa.int32()))
+    return pa.ListArray.from_arrays(at(map(len, rows)), pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), ids], ["score", "ids"]))
+
+
 def _encode(batches, name: str, n: int):
     lattice = Lattice(name, n)
     for b in batches:
-        out = []
-        for text in b.column(1).to_pylist():
-            found = lattice.encode(text)
-            (score, ids), second = found[0], found[1][0] if len(found) > 1 else None
-            out.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), score, second, lattice.decode(ids) == text))
-        cols = list(zip(*out)) or [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", *[c.split()[0] for c in COLUMNS.split(", ")]])
+        yield pa.RecordBatch.from_arrays([*b.columns, _nested([lattice.encode(t) for t in b.column(1).to_pylist()])], ["doc_id", "text", "paths"])
+
+
+def _decode(batches, name: str, ids_col: str, out_col: str):
+    lattice = Lattice(name)
+    for b in batches:
+        texts = [None if i is None else lattice.decode(i) for i in b.column(ids_col).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
+
+
+def _digest(batches):
+    for b in batches:
+        ids = b.column("ids")
+        crc = [zlib.crc32(i.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for i in ids]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crc, pa.int64())], [*b.schema.names, "ids_crc32"])
+
+
+def _with(rows: DataFrame, column: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), column])
 
 
 def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", n: int = 2) -> DataFrame:
-    """doc_id, pieces and checksum of the best segmentation, its score, the second's, and whether it decodes to the text."""
+    """doc_id, text, paths: the n best segmentations, best first, each its score and its ids (fewer where there are no more)."""
     rows = texts(docs, id_col, text_col)
-    return rows.mapInArrow(partial(_encode, name=model, n=n), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    return rows.mapInArrow(partial(_encode, name=model, n=n), _with(rows, "paths array<struct<score:double,ids:array<int>>>"))
+
+
+def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """rows with the text that the ids stand for; null ids give null."""
+    return rows.mapInArrow(partial(_decode, name=model, ids_col=ids_col, out_col=out_col), _with(rows, f"`{out_col}` string"))
 
 
 def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment(table(spark, sf_dir, "documents"))
+    """Pieces and checksum of the best segmentation, its score, the second's, and whether it decodes to the text."""
+    score = lambda k: F.try_element_at("paths", F.lit(k))["score"]
+    best = segment(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("paths")[0]["ids"].alias("ids"), score(1).alias("score"), score(2).alias("second_score"))
+    found = decode(best).select("doc_id", "ids", "score", "second_score", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    found = found.mapInArrow(_digest, _with(found, "ids_crc32 long"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", "score", "second_score", "round_trip")
