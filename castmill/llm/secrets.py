@@ -1,11 +1,11 @@
 """Secret scan with multipart credential linking; DataFrame functions only.
 
 Base spans are the matches of three patterns. Weak parts are long mixed tokens ("weak") and addresses
-("endpoint"). Parts are spread over buckets of SCOPE code points, each bucket keeps the smallest and
-largest start of each kind, and an interval join with the buckets around a weak part tells whether a
-complementary part starts within SCOPE of it: a weak token needs an access identifier or an endpoint,
-an endpoint needs an access identifier with a secret. Only linked weak parts are reported. The join
-is keyed by the text's hash, so copies are linked once, and a bucket never grows with its parts.
+("endpoint"). Parts are spread over buckets of SCOPE code points, and an interval join with the buckets
+around a weak part tells whether a complementary part starts within SCOPE of it: a weak token needs an
+access identifier or an endpoint, an endpoint needs an access identifier with a secret. A weak token and
+an endpoint that overlap don't complement each other. Only linked weak parts are reported. The join is
+keyed by the text's hash, so copies are linked once; parts of a kind are disjoint, so a bucket holds few.
 
 Null and empty texts have no spans. Repeated rows each get a row; ties of start go by kind, in the
 order of KINDS. An empty table gives an empty result. Only the id and text columns are read.
@@ -53,13 +53,11 @@ def _render(spans: Column) -> Column:
 def _linked(found: DataFrame) -> DataFrame:
     """key, spans: the weak parts of each text that have their complements in scope."""
     parts = found.select("key", F.explode(F.concat("assign", "access", "weak", "endpoint")).alias("s")).select("key", "s", F.floor(F.col("s.start") / SCOPE).alias("bucket"))
-    near = parts.select("key", F.col("s.rank").alias("part"), F.col("s.start").alias("start"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
-    least = near.groupBy("key", "bucket", "part", F.floor(F.col("start") / SCOPE).alias("own")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    near = parts.select("key", F.col("s.rank").alias("part"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
     weak = parts.where(F.col("s.rank") >= 3)
-    # A part of the bucket before is nearest by its largest start, one of the bucket after by its smallest.
-    join = weak.join(least, ["key", "bucket"]).where(
-        F.when(F.col("own") < F.col("bucket"), F.col("s.start") - F.col("high") <= SCOPE).when(F.col("own") > F.col("bucket"), F.col("low") - F.col("s.start") <= SCOPE).otherwise(F.lit(True))
-    )
+    # An address and the weak part in its own path are one thing, not two that meet.
+    apart = (F.col("part") < 3) | (F.col("end") <= F.col("s.start")) | (F.col("s.end") <= F.col("start"))
+    join = weak.join(near, ["key", "bucket"]).where((F.abs(F.col("s.start") - F.col("start")) <= SCOPE) & apart)
     has = lambda *ranks: F.bool_or(F.col("part").isin(*ranks))
     met = join.groupBy("key", "s").agg(has(1).alias("access"), has(0, 3).alias("secret"), has(4).alias("endpoint"))
     met = met.where(F.when(F.col("s.rank") == 3, F.col("access") | F.col("endpoint")).otherwise(F.col("access") & F.col("secret")))
