@@ -11,20 +11,20 @@ from .queries import SEGMENTS, table, timed_segments
 FIRST = 40
 
 
-def _plain(c):
+def _plain(c, first: int | None = None):
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
-    return F.array_join(F.slice(F.split(t, " "), 1, FIRST), " ")
+    return t if first is None else F.array_join(F.slice(F.split(t, " "), 1, first), " ")
 
 
 def turns(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def user_pairs(spark, d):
-    """Each user turn with the assistant turn after it, as plain words."""
+def user_pairs(spark, d, first: int | None = None):
+    """Each user turn with the assistant turn after it, as plain words; the first words of each only where first is given."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = turns(spark, d).withColumns({"next_role": F.lead("role").over(w), "next_text": F.lead("text").over(w)})
-    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", _plain(F.col("text")).alias("reference"), _plain(F.col("next_text")).alias("hypothesis"))
+    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", _plain(F.col("text"), first).alias("reference"), _plain(F.col("next_text"), first).alias("hypothesis"))
 
 
 _sql_plain = lambda c: f"array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), 1, {FIRST}), ' ')"
@@ -65,10 +65,14 @@ def aligned_turns(spark, d):
     return found.select("conv_id", F.col("pos").cast("long").alias("pos"), F.length("reference").cast("long").alias("n_reference"), F.length("hypothesis").cast("long").alias("n_hypothesis"), "n_left", "n_right", "reason")
 
 
-def char_errors(spark, d):
-    """Edits between the characters of each pair, and their share of the reference."""
+def char_errors(spark, d, first: int | None = FIRST):
+    """Edits between the characters of each pair, and their share of the reference; first as the query's SQL has it."""
     e = F.levenshtein("reference", "hypothesis").cast("long")
-    return user_pairs(spark, d).select("conv_id", "turn", e.alias("edits"), F.round(F.try_divide(e, F.length("reference")), 6).alias("cer"))
+    return user_pairs(spark, d, first).select("conv_id", "turn", e.alias("edits"), F.round(F.try_divide(e, F.length("reference")), 6).alias("cer"))
+
+
+def char_errors_whole(spark, d):
+    return char_errors(spark, d, None)
 
 
 def word_errors(spark, d):
@@ -79,9 +83,9 @@ def wer_report(spark, d):
     return P.wer_report(P.error_rates(user_pairs(spark, d)), "conv_id").select("conv_id", F.round("wer_hits", 6).alias("wer_hits"), F.round("wer", 6).alias("wer"))
 
 
-def _rouge(n):
+def _rouge(n, first: int | None = FIRST):
     def rouge(spark, d):
-        return P.rouge_n(user_pairs(spark, d), ["conv_id", "turn"], n).select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+        return P.rouge_n(user_pairs(spark, d, first), ["conv_id", "turn"], n).select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
     return rouge
 
@@ -120,6 +124,7 @@ _time = lambda c: f"format('{{:02d}}:{{:02d}}:{{:02d}},000', {c}::BIGINT // 3600
 QUERIES = {
     "requests": requests, "reject_counts": reject_counts, "search_lines": search_lines, "nested_words": nested_words, "aligned_turns": aligned_turns,
     "char_errors": char_errors, "word_errors": word_errors, "wer_report": wer_report, "rouge1": _rouge(1), "rouge2": _rouge(2),
+    "char_errors_whole": char_errors_whole, "rouge1_whole": _rouge(1, None), "rouge2_whole": _rouge(2, None),
     "source_table": source_table, "srt": srt, "rank_viral": rank_viral,
 }
 ORACLE_SQL = {
