@@ -3,6 +3,8 @@
 Rates and scores are rounded to six places on both sides, so that the order of sums doesn't show.
 """
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,26 +175,27 @@ def ndcg(spark, d):
     return M.ndcg_at_k(scored(spark, d), "lang", "target", "prob").select("lang", *r6("ndcg"))
 
 
-def embedded(spark, d):
-    """Timed segments with a vector each and their document's mean vector as summary."""
+def embedded(spark, d, n: int | None = 500):
+    """Timed segments with a vector each, dealt over the first n vectors (as the SQL of the queries has it); None deals over all."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
-    rows = timed_segments(spark, d).withColumn("vec_id", (F.col("doc_id") * 7 + F.col("pos") * 13) % 500).join(e, "vec_id")
+    n = e.count() if n is None else n
+    rows = timed_segments(spark, d).withColumn("vec_id", F.try_mod(F.col("doc_id") * 7 + F.col("pos") * 13, F.lit(n))).join(e, "vec_id")
     return rows
 
 
-def similar_lines(spark, d):
-    rows = R.adjacent_similarity(embedded(spark, d), "doc_id", "pos", "vec")
+def similar_lines(spark, d, n: int | None = 500):
+    rows = R.adjacent_similarity(embedded(spark, d, n), "doc_id", "pos", "vec")
     return rows.groupBy("doc_id").agg(F.round(F.avg("sim"), 6).alias("mean_sim"), F.round(F.stddev_pop("sim"), 6).alias("std_sim"), F.count("*").alias("n"))
 
 
-def scenes(spark, d):
-    rows = R.scene_groups(R.adjacent_similarity(embedded(spark, d), "doc_id", "pos", "vec"), "doc_id", "pos")
+def scenes(spark, d, n: int | None = 500):
+    rows = R.scene_groups(R.adjacent_similarity(embedded(spark, d, n), "doc_id", "pos", "vec"), "doc_id", "pos")
     return R.build_scenes(rows, "doc_id", "pos").select("doc_id", "scene", "start", "end", "n_lines", F.length("text").cast("long").alias("n_chars"))
 
 
-def highlight(spark, d, k: int = 5, alpha: float = 0.5):
+def highlight(spark, d, k: int = 5, alpha: float = 0.5, n: int | None = 500):
     """Lists by relevancy (cosine to the document's first vector), virality and both, k lines each."""
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, n)
     first = rows.where("pos = 0").select("doc_id", F.col("vec").alias("summary"))
     rel = F.round(N.clip01(N.cosine(F.col("vec"), F.col("summary"))), 4)
     rows = rows.join(first, "doc_id").select("doc_id", "pos", F.substring("text", 1, 100).alias("text"), rel.alias("relevancy"), F.round(T.upper_ratio(F.col("text")), 4).alias("virality"))
@@ -257,3 +260,4 @@ SELECT doc_id, list, {_rank} AS rank, pos, score, t AS text FROM u QUALIFY {_ran
 SELECT category, CASE WHEN (i + 0.5::DOUBLE) / m < 0.8 THEN 'train' WHEN (i + 0.5::DOUBLE) / m < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM k GROUP BY 1, 2""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+QUERIES |= {f"{q.__name__}_whole": partial(q, n=None) for q in (similar_lines, scenes, highlight)}
