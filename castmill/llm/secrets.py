@@ -1,16 +1,23 @@
 """Secret scan with multipart credential linking; DataFrame functions only.
 
-Base spans are the matches of three patterns. Weak parts are long mixed tokens ("weak") and addresses
-("endpoint"). Parts are spread over buckets of SCOPE code points, and an interval join with the buckets
-around a weak part tells whether a complementary part starts within SCOPE of it: a weak token needs an
-access identifier or an endpoint, an endpoint needs an access identifier with a secret. A weak token and
-an endpoint that overlap don't complement each other. Only linked weak parts are reported. The join is
-keyed by the text's hash, so copies are linked once; parts of a kind are disjoint, so a bucket holds few.
-
-Null and empty texts have no spans. Repeated rows each get a row; ties of start go by kind, in the
-order of KINDS. An empty table gives an empty result. Only the id and text columns are read.
+Base spans are the matches of three patterns. Weak parts are long mixed tokens ("weak"), addresses
+("endpoint": a URL or an IPv4 address) and accounts ("login": user@host); none of them is a secret by
+itself. A credential has an identifier (access or login), a secret (assign or weak) and often an endpoint.
+Parts are spread over buckets of SCOPE code points, and an interval join with the buckets around a weak part
+tells which parts of other roles start within SCOPE of it. A weak token is reported beside an identifier or
+an endpoint; a login beside a secret; an endpoint beside an assigned secret, or beside an access identifier
+with a weak token. Parts that overlap don't complement each other. An address that carries user and password
+itself ("dsn") holds all its parts, so it is reported alone. The join is keyed by the text's hash, so copies
+are linked once; parts of a kind are disjoint, so a bucket holds few.
+
+Matches are found in one pass; their places are running sums in blocks of the square root of their number.
+Null and empty texts have no spans. Repeated rows and rows without an id each get a row; ties of start go by
+kind, in the order of KINDS. An empty table gives an empty result. Only the id and text columns are read;
+`redact` hands all columns through under whatever names.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,27 +29,48 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 WEAK = r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]*[0-9])(?=[0-9+/_]*[A-Za-z])[A-Za-z0-9+/_]{24,}"
-ENDPOINT = r"""https?://[^\s"'<>]{4,}"""
-KINDS = ["assign", "access", "hex", "weak", "endpoint"]
+ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]*[0-9])"""
+LOGIN = r"""(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"""
+DSN = r"""[a-z][a-z0-9+.-]{1,31}://[^\s:/@"'<>]+:[^\s/@"'<>]+@[^\s"'<>]+"""
+KINDS = ["assign", "access", "hex", "weak", "endpoint", "login", "dsn"]
 SCOPE = 256
 SPANS = "array<struct<start:long,rank:int,end:long>>"
+BAR, OTHER = "\x01", "\x02"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums(parts: Column) -> Column:
+    """Spans from the lengths (gap, hit) of matches: running sums within blocks, and over the blocks before."""
+    zero, empty = F.lit(0).cast("long"), F.array().cast("array<struct<at:long,block:array<struct<gap:int,hit:int,own:int>>>>")
+    n = F.greatest(F.ceil(F.sqrt(F.size(parts))).cast("int"), F.lit(1))
+    blocks = _let(n, lambda n: F.transform(F.sequence(F.lit(0), F.size(parts) - 1, n), lambda at: F.slice(parts, at + 1, n)))
+    total = lambda block: F.aggregate(block, zero, lambda a, p: a + p["gap"] + p["hit"])
+    based = F.aggregate(
+        blocks, F.struct(zero.alias("at"), empty.alias("out")),
+        lambda a, b: F.struct((a["at"] + total(b)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), b.alias("block")))).alias("out")),
+        lambda a: a["out"],
+    )
+    span = F.array().cast("array<struct<start:long,end:long,own:int>>")
+    walk = lambda b: F.aggregate(
+        b["block"], F.struct(b["at"].alias("at"), span.alias("out")),
+        lambda a, p: F.struct((a["at"] + p["gap"] + p["hit"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["hit"]).alias("end"), p["own"].alias("own")))).alias("out")),
+        lambda a: a["out"],
+    )
+    return F.when(F.size(parts) > 0, F.flatten(F.transform(based, walk))).otherwise(span)
 
 
 def _spans(rank: int, pattern: str, may: Column, group: int = 0, least: int = 0) -> Column:
-    """Leftmost matches as spans: lengths of what stands between them and of themselves, added up."""
-    hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), hits.alias("hit"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("own"))
-    none = F.lit(None).cast("array<struct<start:long,rank:int,end:long,n:int>>")
-    walk = F.aggregate(
-        F.filter(parts, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(none, F.array().cast("array<struct<start:long,rank:int,end:long,n:int>>")).alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p["gap"])).alias("start"), F.lit(rank).alias("rank"), (a["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("end"), F.length(p["own"]).alias("n")))).alias("out"),
-        ),
-        lambda a: F.transform(F.filter(a["out"], lambda s: s["n"] >= least), lambda s: F.struct(s["start"], s["rank"], s["end"])),
-    )
-    return F.when(may, walk).otherwise(F.array().cast(SPANS))
+    """Leftmost matches whose group has at least so many characters. One pass sets bars around each match and its group."""
+    barred = F.split(F.regexp_replace(F.translate("text", BAR, OTHER), F.lit(pattern), F.lit(f"{BAR}$0{BAR}${group}{BAR}")), BAR, -1)
+    trio = lambda size, i: F.struct(F.get(size, i).alias("gap"), F.get(size, i + 1).alias("hit"), F.get(size, i + 2).alias("own"))
+    starts = lambda size: F.when(F.size(size) > 3, F.sequence(F.lit(0), F.size(size) - 4, F.lit(3))).otherwise(F.array().cast("array<int>"))
+    parts = _let(F.transform(barred, F.length), lambda size: F.transform(starts(size), lambda i: trio(size, i)))
+    kept = F.filter(_let(parts, _sums), lambda s: s["own"] >= least)
+    return F.when(may, F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))).otherwise(F.array().cast(SPANS))
 
 
 def _render(spans: Column) -> Column:
@@ -51,52 +79,67 @@ def _render(spans: Column) -> Column:
 
 
 def _linked(found: DataFrame) -> DataFrame:
-    """key, spans: the weak parts of each text that have their complements in scope."""
-    parts = found.select("key", F.explode(F.concat("assign", "access", "weak", "endpoint")).alias("s")).select("key", "s", F.floor(F.col("s.start") / SCOPE).alias("bucket"))
+    """key, added: the weak parts of each text that have their complements in scope."""
+    parts = found.select("key", F.explode(F.concat("assign", "access", "weak", "endpoint", "login")).alias("s")).select("key", "s", F.floor(F.col("s.start") / SCOPE).alias("bucket"))
     near = parts.select("key", F.col("s.rank").alias("part"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
     weak = parts.where(F.col("s.rank") >= 3)
     # An address and the weak part in its own path are one thing, not two that meet.
-    apart = (F.col("part") < 3) | (F.col("end") <= F.col("s.start")) | (F.col("s.end") <= F.col("start"))
+    apart = (F.col("end") <= F.col("s.start")) | (F.col("s.end") <= F.col("start"))
     join = weak.join(near, ["key", "bucket"]).where((F.abs(F.col("s.start") - F.col("start")) <= SCOPE) & apart)
-    has = lambda *ranks: F.bool_or(F.col("part").isin(*ranks))
-    met = join.groupBy("key", "s").agg(has(1).alias("access"), has(0, 3).alias("secret"), has(4).alias("endpoint"))
-    met = met.where(F.when(F.col("s.rank") == 3, F.col("access") | F.col("endpoint")).otherwise(F.col("access") & F.col("secret")))
-    return met.groupBy("key").agg(F.collect_list("s").alias("added"))
+    has = lambda *kinds: F.bool_or(F.col("part").isin(*[KINDS.index(k) for k in kinds]))
+    met = join.groupBy("key", "s").agg(has("access").alias("access"), has("login").alias("login"), has("assign").alias("assign"), has("weak").alias("weak"), has("endpoint").alias("endpoint"))
+    rule = (
+        F.when(F.col("s.rank") == KINDS.index("weak"), F.expr("access or login or endpoint"))
+        .when(F.col("s.rank") == KINDS.index("login"), F.expr("assign or weak"))
+        .otherwise(F.expr("assign or (access and weak)"))
+    )
+    return met.where(rule).groupBy("key").agg(F.collect_list("s").alias("added"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (the text's hash), base and spans (arrays of start, rank in KINDS, end)."""
+    """doc_id, key (the text's hash), assign, access, hex, base and spans (arrays of start, rank in KINDS, end)."""
     text = F.col("text")
     words = F.lower(text)
     assign = words.contains("passw") | words.contains("secret") | words.contains("token") | words.contains("api_key") | words.contains("apikey")
+    partner = text.contains("AKIA") | text.contains("://") | text.contains("@")
     rows = texts(docs, id_col, text_col).select(
         "doc_id", F.sha2("text", 256).alias("key"),
         _spans(0, ASSIGN, assign, 2, 12).alias("assign"), _spans(1, ACCESS, text.contains("AKIA")).alias("access"), _spans(2, HEX, text.rlike("[0-9a-f]{16}")).alias("hex"),
-        _spans(3, WEAK, (text.contains("AKIA") | text.contains("://")) & text.rlike("[A-Za-z0-9+/_]{24}")).alias("weak"), _spans(4, ENDPOINT, text.contains("://")).alias("endpoint"),
+        _spans(3, WEAK, (partner | text.rlike(r"[0-9]\.[0-9]+\.[0-9]")) & text.rlike("[A-Za-z0-9+/_]{24}")).alias("weak"),
+        _spans(4, ENDPOINT, text.contains("://") | text.rlike(r"[0-9]\.[0-9]+\.[0-9]")).alias("endpoint"),
+        _spans(5, LOGIN, text.contains("@")).alias("login"), _spans(6, DSN, text.contains("://") & text.contains("@")).alias("dsn"),
     )
-    overlap = lambda w: F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    rows = durable(rows.withColumn("weak", F.filter("weak", lambda w: ~overlap(w))))
+    overlap = lambda w, *kinds: F.exists(F.concat(*kinds), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    apart = lambda kind, *kinds: F.filter(kind, lambda w: ~overlap(w, *kinds))
+    some = F.size("weak") + F.size("endpoint") + F.size("login") > 0
+    rows = durable(rows.withColumns({k: F.when(some, apart(k, "assign", "access", "hex", "dsn")).otherwise(F.col(k)) for k in ("weak", "endpoint", "login")}))
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    may = (F.size("weak") + F.size("endpoint") > 0) & (F.size("access") + F.size("endpoint") > 0)
+    may = some & (F.size("assign") + F.size("access") + F.size("endpoint") + F.size("login") > 0)
     linked = _linked(rows.where(may).dropDuplicates(["key"]))
-    some = rows.where(may).join(linked, "key", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPANS)))))
+    spans = lambda added: F.array_sort(F.concat("base", "dsn", added))
+    none = F.array().cast(SPANS)
+    met = rows.where(may).join(linked, "key", "left").withColumn("spans", spans(F.coalesce("added", none)))
     out = ["doc_id", "key", "assign", "access", "hex", "base", "spans"]
-    return some.select(out).union(rows.where(~may).withColumn("spans", F.col("base")).select(out))
+    return met.select(out).union(rows.where(~may).withColumn("spans", spans(none)).select(out))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with every span of text_col replaced by mark, other columns as they are; overlapping spans are one."""
-    spans = find_secrets(docs, docs.columns[0], text_col).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("_spans"))
-    rows = docs.withColumn("_key", F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    text = F.col(text_col)
-    cut = F.aggregate(
-        "_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+    own = uuid.uuid4().hex  # no column of docs has such names
+    key, spans, text = f"key_{own}", f"spans_{own}", F.col(text_col)
+    found = find_secrets(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")))
+    found = found.where(F.size("spans") > 0).groupBy(F.col("key").alias(key)).agg(F.first("spans").alias(spans))
+    empty = F.array().cast("array<struct<start:long,end:long>>")
+    gaps = F.aggregate(
+        spans, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"))
+            F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), s["start"].alias("end")))).alias("out"))
         ),
-        lambda a: F.concat(a["out"], text.substr((a["at"] + 1).cast("int"), F.length(text))),
+        lambda a: F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), F.length(text).cast("long").alias("end")))),
     )
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut)).select(docs.columns)
+    cut = F.array_join(F.transform(gaps, lambda g: text.substr((g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))), mark)
+    rows = docs.join(found, F.sha2(F.coalesce(text, F.lit("")), 256) == F.col(key), "left")
+    return rows.select(*[F.when(F.col(spans).isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
