@@ -19,13 +19,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, texts
+from .parts import chunks
 
 RATE, UP, DOWN, UNIT = 8000, 3, 4, 192
 FRAME, HOP, MELS, WINDOW, BLOCK = 256, 128, 20, 32, 1 << 18
 HIGH, LOW = 1.0, 0.5
-COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor binary"
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, spans array<struct<start_s:double,end_s:double>>, tensor_shape string, tensor binary"
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -62,14 +64,15 @@ PHASES, MEL, HANN = _filter(), _mel(), np.hanning(FRAME).astype(np.float32)
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """y[m] = sum over k of h[phase + k UP] x[n - k], with m DOWN = n UP + phase; each phase is one strided product."""
+    """y[m] = sum over k of h[phase + k UP] x[n - k], with m DOWN = n UP + phase; a strided product for each phase of a block."""
     k = PHASES.shape[1]
     views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(k - 1, np.float32), x]), k)
     y = np.empty((len(x) * UP + DOWN - 1) // DOWN, np.float32)
-    for r in range(UP):
-        at = np.arange(r, len(y), UP) * DOWN
-        phase = at[0] % UP if len(at) else 0
-        y[r::UP] = views[at // UP] @ PHASES[phase][::-1]
+    for first in range(0, len(y), BLOCK * UP // k):
+        last = min(len(y), first + BLOCK * UP // k)
+        for r in range(first, min(first + UP, last)):
+            at = np.arange(r, last, UP) * DOWN
+            y[r:last:UP] = views[at // UP] @ PHASES[at[0] % UP][::-1]
     return y
 
 
@@ -111,27 +114,37 @@ def audio_row(text: str) -> tuple:
     back = from_wav(media)
     mel = log_mel(resample((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128))
     energy = mel.mean(1)
+    hop, length = HOP * DOWN / (UP * RATE), FRAME * DOWN / (UP * RATE)
     spans = segments(energy)
-    tensor = tensor_bytes(mel)
+    times = [{"start_s": a * hop, "end_s": (b - 1) * hop + length} for a, b in spans]
+    shape, tensor = f"{-(-len(mel) // WINDOW)}x{WINDOW}x{MELS}", tensor_bytes(mel)
     feature = f"{len(mel)}x{MELS};mean={energy.mean():.2f};dev={energy.std():.2f};bands=" + ",".join(f"{v:.1f}" for v in mel.mean(0)) + f";segments={len(spans)};active={sum(b - a for a, b in spans)}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, tensor
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, times, shape, tensor
 
 
 def _features(batches):
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
-    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in COLUMNS.split(", ")]
+    spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "spans", "tensor_shape", "tensor"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), spans, pa.string(), pa.binary()]
     for b in batches:
-        whole = b.column(1).to_pylist()
-        for i in range(0, len(whole), 256):
-            cols = list(zip(*map(audio_row, whole[i : i + 256])))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", *names])
+        for at, some in chunks(b.column(1), 1 << 20):
+            cols = list(zip(*map(audio_row, some.to_pylist())))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", *names])
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digests of payload and stored file, a feature summary and the tensor stream of each document."""
+    """doc_id, digests of payload and stored file, a feature summary, spans of loud segments in seconds, and the tensor stream."""
     rows = texts(docs, id_col, text_col)
     return rows.mapInArrow(_features, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
+def read_tensor(stream: bytes) -> pa.Table:
+    """start_s, end_s, log_mel of each window, from a document's tensor stream."""
+    return pa.ipc.open_stream(stream).read_all()
+
+
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(table(spark, sf_dir, "documents")).drop("tensor")
+    """The digests, the spans as text in milliseconds, and shape and checksum of the tensor stream."""
+    found = audio_features(table(spark, sf_dir, "documents"))
+    span = lambda s: F.concat_ws("-", *[F.round(s[c] * 1000).cast("long").cast("string") for c in ("start_s", "end_s")])
+    return found.select(*found.columns[:8], F.array_join(F.transform("spans", span), ",").alias("spans_ms"), "tensor_shape", F.sha2("tensor", 256).alias("tensor_sha256"))
