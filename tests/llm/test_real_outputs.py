@@ -1,6 +1,6 @@
 import zlib
 
-import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from castmill.llm import packing, pieces, tokens
@@ -11,9 +11,9 @@ TEXTS = [None, "", "the cat sat", "abén ▁ x\ny", "one two three four. " * 700
 def test_segment_keeps_every_path(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
     rows = {r["doc_id"]: r["paths"] for r in pieces.segment(docs, n=4).collect()}
-    lattice = pieces.Lattice(n=4)
-    for i, text in enumerate(TEXTS):
-        assert [(p["score"], p["ids"]) for p in rows[i]] == lattice.encode(text or "")
+    found = pieces.Lattice().encode(pa.array([t or "" for t in TEXTS]), 4)
+    for i, own in enumerate(found):
+        assert [(p["score"], p["ids"]) for p in rows[i]] == [(s, ids.tolist()) for s, ids in own]
     assert len(rows[2]) == 4
     flat = pieces.segment(docs, n=4).selectExpr("text", "explode(paths.ids) ids")
     assert all(r["decoded"] == r["text"] for r in pieces.decode(flat).collect())
@@ -24,8 +24,9 @@ def test_nbest_columns(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     lattice = pieces.Lattice()
     for i, r in rows.items():
-        (score, ids), second = (found := lattice.encode(texts[i] or ""))[0], found[1][0] if len(found) > 1 else None
-        assert tuple(r) == (i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), score, second, lattice.decode(ids) == (texts[i] or ""))
+        found = lattice.encode(pa.array([texts[i] or ""]), 2)[0]
+        (score, ids), second = found[0], found[1][0] if len(found) > 1 else None
+        assert tuple(r) == (i, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), score, second, True)
 
 
 def test_pack_keeps_ids(spark):
