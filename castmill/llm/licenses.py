@@ -1,15 +1,24 @@
 """Licence scan with a positional index of rare words; DataFrame functions only.
 
-Each template is a licence notice with one mandatory key phrase in it. The document frequency of every
-licence word is counted over all documents. A phrase's two rarest words are its index terms: their
-positions in a file, less their offsets in the phrase, are intersected, and what is left is verified
-word by word. Every place of a phrase holds its rarest words, so no place is missed.
-
-Null and empty texts have no words, score 0 and empty labels. Repeated rows are scanned each by itself.
-An empty table gives an empty result. Only the id and text columns are read.
+A template is a licence text or notice with one mandatory key phrase in it. The index has the places of every
+template word; a word's IDF is over the templates, so no pass over the documents is needed for it. A key's
+two words of highest IDF are its index terms. A file is looked up only if it has both index terms of some
+template; then those of its licence words are looked up whose IDF is at least that of the least index term
+of its possible templates, the file's highest-IDF licence words. Their places in the file, less their places
+in the templates, are intersected: where two meet, a template may lie. There the key phrase is verified word
+by word, and the share of all the template's words that stand where they should is its score. Each place of a
+key phrase has both its index terms at the right distance, so none is missed. Work beyond the first look grows
+with the licence words that files hold, not with the number of templates.
+
+Null and empty texts have no words, score 0 and empty labels. Repeated rows and rows without an id are
+scanned each by itself; ties of score don't matter, as the largest is reported. An empty table gives an empty
+result. Only the id and text columns are read.
 """
 
-from functools import reduce
+import json
+import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,104 +34,179 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# Label, notice, mandatory key phrase of the notice.
+# Label, mandatory key phrase, licence text or notice. The first of each base label is its notice.
 TEMPLATES = [
-    ("mit", "released under the mit license", "under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("cc0", "dedicated to the public domain under cc0 1 0", "cc0 1 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("isc", "licensed under the isc license", "the isc license"),
-]
-VOCABULARY = sorted({w for _, _, key in TEMPLATES for w in key.split()})
-INDEX_TERMS = 2
-
-
-def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return texts(docs, id_col, text_col).select("doc_id", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
-
-
-def document_frequency(words: DataFrame) -> dict[str, int]:
-    """In how many documents each licence word stands. At most len(VOCABULARY) rows reach the driver."""
-    own = F.array_intersect("words", F.array(*map(F.lit, VOCABULARY)))
-    seen = words.select(F.explode(own).alias("word")).groupBy("word").count()
-    return dict.fromkeys(VOCABULARY, 0) | {r["word"]: r["count"] for r in seen.collect()}
-
-
-def index_terms(phrase: list[str], frequency: dict[str, int]) -> list[tuple[str, int]]:
-    """The phrase's words of highest IDF, with their offsets."""
-    ranked = sorted(range(len(phrase)), key=lambda i: (frequency[phrase[i]], i))
-    return [(phrase[i], i) for i in ranked[:INDEX_TERMS]]
-
-
-def _starts(word: str, at: int) -> Column:
-    """Where a phrase would start if this posting of its word belongs to it."""
-    return F.transform(F.filter("hits", lambda h: h["w"] == word), lambda h: h["i"] - at)
-
-
-def _places(phrase: list[str], frequency: dict[str, int]) -> Column:
-    """Starts of a phrase: intersect postings by relative position, then verify the whole phrase."""
-    both = reduce(F.array_intersect, [_starts(w, at) for w, at in index_terms(phrase, frequency)])
-    whole = F.array(*map(F.lit, phrase))
-    return F.filter(both, lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, len(phrase)) == whole))
-
-
-def _likeness(places: Column, notice: list[str], key: list[str]) -> Column:
-    """Largest share of the notice's words that stand around a verified place; 0 without one."""
-    at = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
-    same = lambda s: reduce(lambda a, b: a + b, [F.coalesce((F.try_element_at("words", F.nullif(s + (j - at + 1), F.lit(0)).cast("int")) == w) & (s + (j - at) >= 0), F.lit(False)).cast("int") for j, w in enumerate(notice)])
-    return F.coalesce(F.array_max(F.transform(places, lambda s: same(s) / F.lit(float(len(notice))))), F.lit(0.0))
+    ("mit", "under the mit license", "released under the MIT License"),
+    ("apache-2", "apache license version 2", "licensed under the Apache License, Version 2.0"),
+    ("cc-by-nc", "cc by nc", "licensed under CC BY-NC 4.0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE."""),
+    ("apache-2", "you may not use this file except in compliance with the license", """
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License."""),
+    ("bsd", "redistribution and use in source and binary forms", """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used
+        to endorse or promote products derived from this software without specific prior written permission. THIS
+        SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED."""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+        IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("isc", "the isc license", "licensed under the ISC License"),
+    ("gpl-3", "gnu general public license version 3", "licensed under the GNU General Public License version 3"),
+    ("gpl-2", "gnu general public license version 2", "licensed under the GNU General Public License version 2"),
+    ("gpl", "under the terms of the gnu general public license", """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+        License for more details."""),
+    ("lgpl", "gnu lesser general public license", "licensed under the GNU Lesser General Public License"),
+    ("agpl", "gnu affero general public license", "licensed under the GNU Affero General Public License"),
+    ("mpl-2", "mozilla public license", """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("unlicense", "free and unencumbered software released into the public domain", """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means."""),
+    ("zlib", "altered source versions must be plainly marked as such", """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+        following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you
+        wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+        distribution."""),
+    ("bsl-1", "boost software license", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc0", "cc0 1 0", "dedicated to the public domain under CC0 1.0"),
+    ("cc-by-sa", "cc by sa", "licensed under CC BY-SA 4.0"),
+    ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+]
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
+
+
+KEYS, TEXTS = [k.split() for _, k, _ in TEMPLATES], [words_of(t) for _, _, t in TEMPLATES]
+#: Where a template's key phrase begins in it.
+AT = [next(i for i in range(len(t)) if t[i : i + len(k)] == k) for k, t in zip(KEYS, TEXTS)]
+#: The notices whose key phrases are the base.
+BASE_TEMPLATES = [next(i for i, k in enumerate(KEYS) if k == phrase.split()) for phrase in BASE]
+
+
+def inverse_frequency() -> dict[str, float]:
+    seen = Counter(w for t in TEXTS for w in set(t))
+    return {w: round(math.log(len(TEXTS) / n), 6) for w, n in seen.items()}
+
+
+def index_terms(phrase: list[str], idf: dict[str, float]) -> list[str]:
+    """The two words of highest IDF in a key phrase."""
+    return sorted(dict.fromkeys(phrase), key=lambda w: -idf[w])[:2]
+
+
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _candidates(words: Column, looked: Column) -> Column:
+    """Template and start of its key phrase, where two places of looked-up words agree on it."""
+    postings = {}
+    for t, (text, at) in enumerate(zip(TEXTS, AT)):
+        for i, w in enumerate(text):
+            postings.setdefault(w, []).append({"t": t, "at": i - at})
+    index = _literal(postings, "map<string,array<struct<t:int,at:int>>>")
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(looked, h["w"]))
+    starts = F.flatten(F.transform(hits, lambda h: F.transform(F.try_element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("start")))))
+    met = lambda a: F.filter(a, lambda x, i: x.eqNullSafe(F.get(a, i - 1)) & ~x.eqNullSafe(F.get(a, i - 2)))
+    return _let(F.array_sort(F.filter(starts, lambda x: x["start"] >= 0)), met)
+
+
+def _verified(words: Column, candidates: Column) -> Column:
+    """Candidates whose key phrase stands there, with the share of the template's words that do."""
+    keys, whole, ats = _literal(KEYS, "array<array<string>>"), _literal(TEXTS, "array<array<string>>"), _literal(AT, "array<int>")
+    found = F.filter(candidates, lambda c: _let(F.get(keys, c["t"]), lambda key: F.slice(words, c["start"] + 1, F.size(key)) == key))
+
+    def score(c, text, first):
+        skip = F.greatest(-first, F.lit(0))  # the file begins within the template
+        pairs = F.zip_with(F.slice(words, first + skip + 1, F.size(text) - skip), F.slice(text, skip + 1, F.size(text) - skip), lambda x, y: x.eqNullSafe(y))
+        return F.size(F.filter(pairs, lambda same: same)) / F.size(text)
+
+    scored = lambda c: _let(F.get(whole, c["t"]), lambda text: _let(c["start"] - F.get(ats, c["t"]), lambda first: score(c, text, first)))
+    return F.transform(found, lambda c: F.struct(c["t"].alias("template"), c["start"].alias("start"), scored(c).alias("score")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, places array<struct<label, start, score>>: every verified place of every template."""
-    words = with_words(docs, id_col, text_col)
-    frequency = document_frequency(words)
-    rare = sorted({w for _, _, key in TEMPLATES for w, _ in index_terms(key.split(), frequency)})
-    listed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    postings = F.filter(listed, lambda x: x["w"].isin(rare))
-    found = words.withColumn("hits", F.when(F.arrays_overlap("words", F.array(*map(F.lit, rare))), postings))
-    found = found.select("doc_id", "words", *[F.when(F.col("hits").isNotNull(), _places(key.split(), frequency)).alias(f"at_{k}") for k, (_, _, key) in enumerate(TEMPLATES)])
-    each = [F.when(F.size(f"at_{k}") > 0, F.array(F.struct(F.lit(label).alias("label"), F.col(f"at_{k}").alias("starts"), _likeness(F.col(f"at_{k}"), notice.split(), key.split()).alias("score")))).otherwise(F.array()) for k, (label, notice, key) in enumerate(TEMPLATES)]
-    return found.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*each).alias("found"))
+    """doc_id, n_words, found array<struct<template, start, score, label>>: every verified place of every template's key phrase."""
+    idf = inverse_frequency()
+    terms = [index_terms(k, idf) for k in KEYS]
+    rows = texts(docs, id_col, text_col).select("doc_id", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    own = F.array_intersect("words", _literal(sorted({w for t in terms for w in t}), "array<string>"))
+    # Possible templates by their two index terms, each with the lesser IDF of both.
+    pairs = _literal([{"a": a, "b": b, "idf": min(idf[a], idf[b])} for a, b in terms], "array<struct<a:string,b:string,idf:double>>")
+    possible = _let(own, lambda own: F.filter(pairs, lambda p: F.array_contains(own, p["a"]) & F.array_contains(own, p["b"])))
+    rows = rows.select("doc_id", "words", F.array_min(F.transform(possible, lambda p: p["idf"])).alias("least"))
+    ranked = _literal([{"w": w, "idf": v} for w, v in idf.items()], "array<struct<w:string,idf:double>>")
+    looked = F.transform(F.filter(ranked, lambda r: r["idf"] >= F.col("least")), lambda r: r["w"])
+    found = _let(F.array_intersect("words", looked), lambda some: _verified(F.col("words"), _candidates(F.col("words"), some)))
+    labels = _literal([label for label, *_ in TEMPLATES], "array<string>")
+    labelled = F.transform(found, lambda f: F.struct(f["template"].alias("template"), f["start"].alias("start"), f["score"].alias("score"), F.get(labels, f["template"]).alias("label")))
+    none = F.array().cast("array<struct<template:int,start:int,score:double,label:string>>")
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("least").isNotNull(), labelled).otherwise(none).alias("found"))
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = scan_licenses(table(spark, sf_dir, "documents"))
-    base = F.filter("found", lambda x: x["label"].isin(list(BASE.values())))
-    starts = F.flatten(F.transform("base", lambda x: x["starts"]))
+    base = F.filter("found", lambda x: x["template"].isin(BASE_TEMPLATES))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"]))), ",")
-    return scan.withColumn("base", base).withColumn("starts", starts).select(
-        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
-        F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
+    starts = F.transform("base", lambda x: x["start"])
+    return scan.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         join("base").alias("base_labels"), join("found").alias("labels"),
         F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0)).alias("score"),
     )
 
 
 def _sql() -> str:
+    """Every key phrase at every place, without an index."""
     lists = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    at, found, base = [], [], []
-    for k, (label, notice, key) in enumerate(TEMPLATES):
-        n, t = notice.split(), key.split()
-        off = next(i for i in range(len(n)) if n[i : i + len(t)] == t)
-        at.append(f"list_filter(range(len(w) - {len(t) - 1}), lambda s: w[s+1:s+{len(t)}] = {lists(t)}) AS at_{k}")
-        same = " + ".join(f"(CASE WHEN s + {j - off} >= 0 AND s + {j - off} < len(w) AND w[s + {j - off + 1}] = '{x}' THEN 1 ELSE 0 END)" for j, x in enumerate(n))
-        found.append((label, f"CASE WHEN len(at_{k}) > 0 THEN list_max(list_transform(at_{k}, lambda s: ({same}) / {len(n)}.0::DOUBLE)) END", f"at_{k}"))
-        if label in BASE.values():
-            base.append(k)
-    starts = " || ".join(f"at_{k}" for k in base)
-    labels = lambda ks: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN len(at_{k}) > 0 THEN '{TEMPLATES[k][0]}' END" for k in ks) + "], lambda x: x IS NOT NULL)), ',')"
+    at, score = [], []
+    for k, (key, text, off) in enumerate(zip(KEYS, TEXTS, AT)):
+        at.append(f"CASE WHEN list_contains(w, '{key[0]}') THEN list_filter(range(len(w)), lambda s: w[s+1] = '{key[0]}' AND w[s+1:s+{len(key)}] = {lists(key)}) ELSE [] END AS at_{k}")
+        same = f"list_sum(list_transform(range({len(text)}), lambda j: CASE WHEN s + j - {off} >= 0 AND w[s + j - {off} + 1] = ({lists(text)})[j + 1] THEN 1 ELSE 0 END))"
+        score.append(f"CASE WHEN len(at_{k}) > 0 THEN list_max(list_transform(at_{k}, lambda s: {same} / {len(text)}.0::DOUBLE)) END")
+    starts = " || ".join(f"at_{k}" for k in BASE_TEMPLATES)
+    labels = lambda ks: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN len(at_{k}) > 0 THEN '{TEMPLATES[k][0]}' END" for k in ks) + "], lambda x: x IS NOT NULL))), ',')"
     return f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 a AS (SELECT doc_id, w, {", ".join(at)} FROM t)
 SELECT doc_id, len(w)::BIGINT AS n_words, len({starts})::BIGINT AS n_base, list_min({starts})::BIGINT AS first_word, list_max({starts})::BIGINT AS last_word,
-{labels(base)} AS base_labels, {labels(range(len(TEMPLATES)))} AS labels, coalesce(greatest({", ".join(f for _, f, _ in found)}), 0.0)::DOUBLE AS score FROM a"""
+{labels(BASE_TEMPLATES)} AS base_labels, {labels(range(len(TEMPLATES)))} AS labels, coalesce(greatest({", ".join(score)}), 0.0)::DOUBLE AS score FROM a"""
 
 
 ORACLE_SQL = _sql()

@@ -31,7 +31,7 @@ def labels(spark):
 
 def test_licenses(docs):
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
-    got = {(f["label"], s) for f in rows[3]["found"] for s in f["starts"]}
+    got = {(f["label"], f["start"]) for f in rows[3]["found"]}
     assert got == {("mit", 1), ("mit", 5)} and rows[0]["n_words"] == 0 and rows[7]["found"][0]["label"] == "cc-by-nc"
 
 
