@@ -1,8 +1,6 @@
 """Registered queries of this subpackage, and their SQL where SQL expresses them."""
 
-import corpus_pipeline
-
-from . import licenses, media, packing, pieces, quality, rules, secrets, simhash, tokens, toxicity
+from . import licenses, media, packing, pieces, pipeline, quality, rules, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +13,6 @@ QUERIES = {
     "op8_token_files": tokens.op8_token_files,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE_SQL = {"op1_licenses": licenses.ORACLE_SQL}

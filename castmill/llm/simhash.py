@@ -32,7 +32,11 @@ def fingerprint(text: str) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [b" ".join(words)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64)
+    return bits_of(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as a signed number."""
     ones = sum(np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(h), 65536))
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 

@@ -10,8 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from castmill.llm import licenses, media, packing, pieces, quality, rules, secrets, simhash, tokens, toxicity
+from castmill.llm import licenses, media, packing, pieces, pipeline, quality, rules, secrets, simhash, tokens, toxicity
 from castmill.llm.models import Sparse
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, key string"
@@ -357,7 +356,36 @@ def test_pseudo_labels_grow_with_the_corpus(spark):
 
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf_dir).toPandas()
+    out = pipeline.run(spark, sf_dir).toPandas()
     assert 0 < out.doc_id.nunique() < docs.count()
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_pipeline_rows_without_or_with_repeated_ids(spark):
+    """Each group of copies keeps one row, whatever its ids; a clean row without an id stays."""
+    long, other = " ".join(f"w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(80))
+    rows = [(7, long), (9, long), (3, other), (7, other), (None, long), (1, "alone a b c d e"), (1, "alone a b c d e"), (None, "only here and nowhere else"), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, root string")
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in pipeline.keep_one_of_group(spark, docs, "").collect())))
+    assert kept == sorted(map(str, [(7, long), (3, other), (1, "alone a b c d e"), (None, "only here and nowhere else"), (5, None)]))
+    hidden = pipeline.hide_secrets(spark, docs, "")
+    assert hidden.count() == len(rows) and hidden.columns == pipeline.COLUMNS
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, y int, key string, words string, n int, fp long, root int, spans string, score double, stratum string, part int, shard long, paths string, toxic int, quality int, label string, _key string, w int, a int, b int, bands string"
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3, 3, None), ("a", "b", "c", "c", None)])
+def test_clashing_columns_repeated_rows_and_ids_of_any_kind(spark, tmp_path, ids):
+    """All ten operators: extra columns with names of their own, one row twice, a row without an id, string ids."""
+    some = ["the cat sat on the mat", "token = abcdefghijklmnop x", "twice the same text", "twice the same text", None]
+    schema = CLASHING if ids[0] == 1 else CLASHING.replace("doc_id long", "doc_id string")
+    width = len(CLASHING.split(", ")) - 2
+    docs = spark.createDataFrame([(i, t, *[None] * width) for i, t in zip(ids, some)], schema)
+    known = spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate(ids)], f"doc_id {'long' if ids[0] == 1 else 'string'}, quality int, toxic int")
+    for found in (licenses.scan_licenses(docs), simhash.near_duplicates(docs), secrets.find_secrets(docs), pieces.segment(docs), media.audio_features(docs),
+                  rules.quality_rules(docs, known), tokens.read_token_shards(spark, tokens.write_token_shards(docs)), quality.classify_quality(docs, known), toxicity.grade_toxicity(docs, known)):
+        assert sorted(str(r["doc_id"]) for r in found.collect()) == sorted(map(str, ids))
+    assert sorted(str(r["doc_id"]) for r in packing.pack(docs).collect()) == sorted(map(str, ids))
+    assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == len(ids)

@@ -2,8 +2,7 @@ import zlib
 
 import pyarrow as pa
 
-import corpus_pipeline
-from castmill.llm import packing, pieces, tokens
+from castmill.llm import packing, pieces, pipeline, tokens
 
 TEXTS = [None, "", "the cat sat", "abén ▁ x\ny", "one two three four. " * 700]
 
@@ -31,7 +30,7 @@ def test_nbest_columns(spark, sf_dir):
 
 def test_pack_keeps_ids(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
-    t, rows = tokens.load_tokenizer("byte_bpe_50k.json"), corpus_pipeline.pack_sequences(spark, docs, "").toPandas()
+    t, rows = tokens.load_tokenizer("byte_bpe_50k.json"), pipeline.pack_sequences(spark, docs, "").toPandas()
     for i, text in enumerate(TEXTS):
         own = rows[rows.doc_id == i].sort_values("start")
         assert [x for ids in own.ids for x in ids] == [*t.encode(text or "", add_special_tokens=False).ids, 1]
