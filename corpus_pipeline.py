@@ -1,49 +1,5 @@
-"""Corpus pipeline: quality, toxicity, near-duplicates, secrets, packing. Each stage reads what the one before kept."""
+"""The corpus pipeline of castmill.llm, by the name that drivers look for."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from castmill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from castmill.llm.common import durable, table
-from castmill.llm.copies import near_copies
-from castmill.llm.packing import pack
-from castmill.llm.quality import classify_quality
-from castmill.llm.secrets import redact
-from castmill.llm.toxicity import grade_toxicity
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    gone = classify_quality(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    gone = grade_toxicity(docs, table(spark, sf_dir, "labels")).where("toxic").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, Jaccard 0.8) stays."""
-    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced, and n_chars follows."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
-
-
-STAGES = [("quality", keep_quality), ("toxicity", keep_clean), ("simhash", keep_one_of_group), ("secrets", hide_secrets), ("packing", pack_sequences)]
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
