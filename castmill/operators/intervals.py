@@ -28,11 +28,13 @@ def nonspeech_spans(spans: DataFrame, recordings: DataFrame, min_dur: float = 0.
     return cut.where((F.col("end") - F.col("start")) >= min_dur).select(key, F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-def words_in_span(words: DataFrame, spans: DataFrame, key: str = "recording_id", bucket: float = 60.0) -> DataFrame:
-    """Open overlap of words with spans (span_start, span_end). Both sides are dealt to time buckets; a pair counts in the first bucket it shares."""
+def words_in_span(words: DataFrame, spans: DataFrame, key: str = "recording_id", bucket: float = 60.0, longest: float = 604_800.0) -> DataFrame:
+    """Open overlap of words with spans (span_start, span_end). Both sides are dealt to time buckets; a pair counts in the first bucket it shares.
+
+    Words and spans that end before they start, or last over `longest` seconds, are invalid and meet nothing."""
     deal = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
-    left = words.where("end >= start").withColumn("_b", deal("start", "end"))
-    right = spans.where("span_end >= span_start").withColumn("_b", deal("span_start", "span_end"))
+    left = words.where(F.col("end") - F.col("start") >= 0).where(F.col("end") - F.col("start") <= longest).withColumn("_b", deal("start", "end"))
+    right = spans.where(F.col("span_end") - F.col("span_start") >= 0).where(F.col("span_end") - F.col("span_start") <= longest).withColumn("_b", deal("span_start", "span_end"))
     both = left.join(right, [key, "_b"]).where("start < span_end and end > span_start")
     return both.where(F.col("_b") == F.floor(F.greatest("start", "span_start") / bucket)).drop("_b")
 

@@ -5,19 +5,26 @@ from pyspark.sql import functions as F
 
 
 
-def _ranked(rows: DataFrame, c: str) -> DataFrame:
-    """Average-tie rank of c without one global sort: a running count over distinct values, by a fixed number of range partitions."""
-    counts = rows.groupBy(c).agg(F.count("*").alias("_n")).repartitionByRange(64, c).sortWithinPartitions(c).withColumn("_p", F.spark_partition_id())
-    sums = counts.groupBy("_p").agg(F.sum("_n").alias("_all"))
-    base = sums.select("_p", F.coalesce(F.sum("_all").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = counts.join(F.broadcast(base), "_p").select(c, (F.col("_base") + below + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
-    return rows.join(rank, c)
+def ranked(rows: DataFrame, c: str, key: str | None = None, parts: int = 64) -> DataFrame:
+    """rows with rank_<c>, the average-tie rank of c (within key), without a sort of all rows, or of a key's, in one task.
+
+    Values are counted, and cut into ranges at approximate quantiles; counts run within a range and over the
+    ranges before it. Null values have no rank."""
+    own = [key] if key else []
+    bounds = sorted(set(rows.approxQuantile(c, [k / parts for k in range(1, parts)], 0.01)))  # fewer than parts numbers
+    at = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(c)))
+    counts = rows.where(F.col(c).isNotNull()).groupBy(*own, c).agg(F.count("*").alias("_n")).withColumn("_p", at)
+    sums = counts.groupBy(*own, "_p").agg(F.sum("_n").alias("_all"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.select(*own, "_p", before(Window.partitionBy(*own).orderBy("_p"), "_all").alias("_base"))  # at most parts rows a key
+    below = before(Window.partitionBy(*own, "_p").orderBy(c), "_n")
+    rank = counts.withColumn("_below", below).join(base, [*own, "_p"]).select(*own, c, (F.col("_base") + F.col("_below") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
+    return rows.join(rank, [*own, c], "left")
 
 
 def classification_metrics(rows: DataFrame) -> DataFrame:
     """accuracy, f1 and auc of columns label and prob."""
-    r, p, y = _ranked(rows, "prob"), F.col("prob") >= 0.5, F.col("label") == 1
+    r, p, y = ranked(rows, "prob"), F.col("prob") >= 0.5, F.col("label") == 1
     n = lambda c: F.sum(c.cast("long"))
     pos, neg = n(y), n(~y)
     auc = (F.sum(F.when(y, F.col("rank_prob"))) - pos * (pos + 1) / 2) / (pos * neg)
@@ -25,20 +32,21 @@ def classification_metrics(rows: DataFrame) -> DataFrame:
 
 
 def spearman_mse(rows: DataFrame, a: str, b: str) -> DataFrame:
-    r = _ranked(_ranked(rows, a), b)
+    r = ranked(ranked(rows, a), b)
     return r.agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"), F.avg(F.pow(F.col(a) - F.col(b), 2)).alias("mse"))
 
 
 def ndcg_at_k(rows: DataFrame, key: str, true: str, pred: str, k: int = 10) -> DataFrame:
-    """Linear gain, log2 discount, tied predictions averaged."""
-
-    def dcg(by: str) -> Column:
-        return F.sum(F.col("avg_" + by) * F.when(F.col("rank_" + by) <= k, 1 / F.log2(F.col("rank_" + by) + 1)).otherwise(0.0))
+    """Linear gain, log2 discount, tied predictions averaged. Only the k first rows of a key are kept by a ranking."""
 
-    for by in (pred, true):
+    def dcg(by: str, name: str) -> DataFrame:
         w = Window.partitionBy(key).orderBy(F.col(by).desc())
-        rows = rows.withColumn("rank_" + by, F.row_number().over(w)).withColumn("avg_" + by, F.avg(true).over(Window.partitionBy(key, by)))
-    return rows.groupBy(key).agg(F.try_divide(dcg(pred), dcg(true)).alias("ndcg"))
+        top = rows.select(key, by).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+        ties = rows.select(key, F.col(by).alias("_by"), F.col(true).alias("_true")).withColumnRenamed("_by", by)
+        means = ties.join(top.select(key, by).distinct(), [key, by], "left_semi").groupBy(key, by).agg(F.avg("_true").alias("_mean"))
+        return top.join(means, [key, by]).groupBy(key).agg(F.sum(F.col("_mean") / F.log2(F.col("_rank") + 1)).alias(name))
+
+    return dcg(pred, "_dcg").join(dcg(true, "_ideal"), key).select(key, F.try_divide("_dcg", "_ideal").alias("ndcg"))
 
 
 def audio_levels(frames: DataFrame, key: str = "recording_id", clip: float = 0.99) -> DataFrame:

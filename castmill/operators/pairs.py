@@ -1,5 +1,6 @@
 """Pairs of texts and lists: alignment, error rates, n-gram overlap, comparison tables."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,23 +27,80 @@ def align_segments(left: DataFrame, right: DataFrame, key: str, order: str) -> D
     return both.withColumn("reason", F.when(F.col("n_left") != F.col("n_right"), "unequal_counts"))
 
 
+def _coded(a, b) -> tuple[np.ndarray, np.ndarray]:
+    number: dict[str, int] = {}
+    return tuple(np.fromiter((number.setdefault(x, len(number)) for x in s), np.int64, len(s)) for s in (a, b))
+
+
+def _edits(a, b) -> tuple[int, int, int, int]:
+    """Rows of the edit table by whole-row minima; the way back prefers a pair to a deletion to an insertion."""
+    a, b = _coded(a, b)
+    steps = np.arange(len(b) + 1)
+    rows = np.empty((len(a) + 1, len(b) + 1), np.int32)
+    rows[0] = steps
+    for i, x in enumerate(a, 1):
+        before, now = rows[i - 1], rows[i]
+        now[0] = i
+        np.minimum(before[1:] + 1, before[:-1] + (b != x), out=now[1:])
+        now[:] = np.minimum.accumulate(now - steps) + steps
+    i, j, s, d, n = len(a), len(b), 0, 0, 0
+    while i or j:
+        if i and j and rows[i, j] == rows[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+            s += int(a[i - 1] != b[j - 1])
+            i, j = i - 1, j - 1
+        elif i and rows[i, j] == rows[i - 1, j] + 1:
+            i, d = i - 1, d + 1
+        else:
+            j, n = j - 1, n + 1
+    return s, d, n, len(a) - s - d
+
+
 @F.pandas_udf(COUNTS)
 def edit_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """Least-edit counts of two token arrays; among equal totals substitutions come before gaps."""
+    return pd.DataFrame([_edits(list(a), list(b)) for a, b in zip(reference, hypothesis)], columns=["substitutions", "deletions", "insertions", "hits"])
+
+
+@F.pandas_udf(T.LongType())
+def common_length(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two token arrays."""
 
     def one(a, b):
-        row = [(j, 0, 0, j) for j in range(len(b) + 1)]  # total, substitutions, deletions, insertions
-        for i, x in enumerate(a, 1):
-            now = [(i, 0, i, 0)]
-            for j, y in enumerate(b, 1):
-                d, u, v = row[j - 1], row[j], now[j - 1]
-                ways = [(d[0] + (x != y), d[1] + (x != y), d[2], d[3]), (u[0] + 1, u[1], u[2] + 1, u[3]), (v[0] + 1, v[1], v[2], v[3] + 1)]
-                now.append(min(ways, key=lambda w: w[0]))
-            row = now
-        _, s, d, i = row[-1]
-        return s, d, i, len(a) - s - d
+        a, b = _coded(a, b)
+        row = np.zeros(len(b) + 1, np.int64)
+        for x in a:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+        return int(row[-1])
+
+    return pd.Series([one(list(a), list(b)) for a, b in zip(reference, hypothesis)], dtype="int64")
 
-    return pd.DataFrame([one(list(a), list(b)) for a, b in zip(reference, hypothesis)], columns=["substitutions", "deletions", "insertions", "hits"])
+
+@F.pandas_udf(T.DoubleType())
+def exact_meteor(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """METEOR by exact matches: F mean at alpha 0.9, less half the cube of chunks by matches. Each word of the hypothesis takes
+    the place after its forerunner's where that fits, else the first free one."""
+
+    def one(a, b):
+        free, at = {}, []
+        for i, x in enumerate(a):
+            free.setdefault(x, []).append(i)
+        last = -2
+        for y in b:
+            places = free.get(y)
+            if places:
+                last = places.pop(places.index(last + 1) if last + 1 in places else 0)
+                at.append(last)
+            else:
+                at.append(None)
+                last = -2
+        m = sum(i is not None for i in at)
+        if not m:
+            return 0.0
+        chunks = sum(i is not None and (k == 0 or at[k - 1] is None or i != at[k - 1] + 1) for k, i in enumerate(at))
+        p, r = m / len(b), m / len(a)
+        return p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * (chunks / m) ** 3)
+
+    return pd.Series([one(list(a), list(b)) for a, b in zip(reference, hypothesis)], dtype=float)
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:
@@ -76,7 +134,38 @@ def rouge_n(pairs: DataFrame, key: list[str], n: int = 1) -> DataFrame:
     return pairs.select(*key).join(found, key, "left").fillna(0.0, ["precision", "recall", "f1"])
 
 
-def comparison_table(rows: DataFrame, model: str, metric: str, value: str, metrics: list[str]) -> DataFrame:
-    """One row per model, a column per metric (its mean, four places)."""
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """pairs with precision, recall and F1 of the longest common subsequence of words; 0 where a side has none."""
+    a, b = grams("reference", 1), grams("hypothesis", 1)
+    rows = pairs.withColumns({"_a": a, "_b": b}).withColumn("_n", common_length("_a", "_b"))
+    share = lambda x: F.coalesce(F.try_divide("_n", F.size(x)), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * F.col("_n"), F.size("_a") + F.size("_b")), F.lit(0.0))
+    return rows.withColumns({"precision": share("_b"), "recall": share("_a"), "f1": f1}).drop("_a", "_b", "_n")
+
+
+def meteor(pairs: DataFrame) -> DataFrame:
+    """pairs with meteor, by exact matches of words."""
+    return pairs.withColumn("meteor", exact_meteor(grams("reference", 1), grams("hypothesis", 1)))
+
+
+def worst(rates: DataFrame, n: int = 5) -> DataFrame:
+    """The n pairs of the largest word error rate."""
+    return rates.where("wer is not null").orderBy(F.desc("wer"), *[c for c in rates.columns if c != "wer"][:2]).limit(n)
+
+
+def metric_means(rows: DataFrame, model: str, metrics: list[str]) -> DataFrame:
+    """Mean of each metric per model."""
+    return rows.groupBy(model).agg(*[F.avg(m).alias(m) for m in metrics])
+
+
+def usable_pairs(rows: DataFrame, limit: int, order: str = "id") -> DataFrame:
+    """The first rows that have an article and highlights."""
+    some = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return rows.where(some("article") & some("highlights")).orderBy(order).limit(limit)
+
+
+def comparison_table(rows: DataFrame, model: str, metric: str, value: str, metrics: list[str], by: str | None = None) -> DataFrame:
+    """One row per model, a column per metric (its mean, four places), by falling `by` where that is given."""
     wide = rows.groupBy(model).pivot(metric, metrics).agg(F.avg(value))
-    return wide.select(model, *[F.round(m, 4).alias(m) for m in metrics])
+    wide = wide.select(model, *[F.round(m, 4).alias(m) for m in metrics])
+    return wide.orderBy(F.desc(by), model) if by else wide

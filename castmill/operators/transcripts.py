@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine
+from ..functions.numeric import clip01, cosine
 from ..functions.text import ends_sentence, est_seconds, lines, starts_upper, word_count, words
 
 
@@ -26,21 +26,49 @@ def sanitize(segs: DataFrame, key: str = "transcript_id") -> DataFrame:
     rows = rows.withColumn("reason", F.when(twin, "duplicate_timestamp_run").otherwise(F.col("reason")))
     loop = F.col("reason").isNull() & F.col("text").rlike(r"(?iu)(.{1,4})\1{3,}")
     rows = rows.withColumn("reason", F.when(loop, "char_repetition_loop").otherwise(F.col("reason"))).drop("live", "new", "run")
-    # Anchors depend on the windows before them, so a transcript's kept starts are folded in order.
-    live = rows.where("reason is null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "start"))).alias("s"))
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("window"), F.array().cast("array<struct<id:bigint,window:int>>").alias("out"))
+    # Anchors depend on the windows before them, but a gap of a second closes any window: so only runs without such a gap are folded.
+    live = rows.where("reason is null")
+    by = Window.partitionBy(key).orderBy("id")
+    gap = F.coalesce((F.col("start") - F.lag("start").over(by) >= 1).cast("int"), F.lit(0))
+    live = live.select(key, "id", "start", gap.alias("gap")).withColumn("run", F.sum("gap").over(by))
+    live = live.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("id", "start"))).alias("s")).where(F.size("s") > 8)
+    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<bigint>").alias("firsts"))
 
     def step(a, x):
         inside = a["anchor"].isNotNull() & (x["start"] < a["anchor"] + 1)
-        n = F.when(inside, a["window"]).otherwise(a["window"] + 1)
-        return F.struct(F.when(inside, a["anchor"]).otherwise(x["start"]).alias("anchor"), n.alias("window"), F.concat(a["out"], F.array(F.struct(x["id"].cast("bigint").alias("id"), n.alias("window")))).alias("out"))
+        return F.when(inside, a).otherwise(F.struct(x["start"].alias("anchor"), F.concat(a["firsts"], F.array(x["id"].cast("bigint"))).alias("firsts")))
 
-    dealt = live.select(key, F.explode(F.aggregate("s", zero, step)["out"]).alias("o")).select(key, "o.id", "o.window")
-    w = Window.partitionBy(key, "window")
-    dense = dealt.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("id"))).where("n > 8 and k > 1").select(key, "id", F.lit("density_explosion").alias("dense"))
+    firsts = live.select(key, "run", "s", F.aggregate("s", zero, step)["firsts"].alias("firsts"))
+    each = firsts.select(key, "run", F.explode("s").alias("x"), "firsts").select(key, "run", F.col("x.id").alias("id"), F.array_contains("firsts", F.col("x.id").cast("bigint")).cast("int").alias("first"))
+    each = each.withColumn("window", F.sum("first").over(Window.partitionBy(key, "run").orderBy("id")))
+    n = F.count("*").over(Window.partitionBy(key, "run", "window"))
+    dense = each.withColumn("n", n).where("n > 8 and first = 0").select(key, "id", F.lit("density_explosion").alias("dense"))
     return rows.join(dense, [key, "id"], "left").withColumn("reason", F.coalesce("reason", "dense")).drop("dense")
 
 
+def score_against_summary(rows: DataFrame, vector: str, summary: str) -> DataFrame:
+    """relevancy: cosine of each line to its summary vector, within 0..1, four places."""
+    return rows.withColumn("relevancy", F.round(clip01(cosine(F.col(vector), F.col(summary))), 4))
+
+
+def rank_relevant(rows: DataFrame, key: str, order: str, k: int = 5) -> DataFrame:
+    """Up to k lines by relevancy."""
+    return top_k(rows, key, "relevancy", order, k)
+
+
+def rank_viral(rows: DataFrame, key: str, order: str, k: int = 5) -> DataFrame:
+    """Up to k lines that the detector calls viral, by viral_score."""
+    return top_k(rows.where("viral_label = 1"), key, "viral_score", order, k)
+
+
+def rank_three(rows: DataFrame, key: str, order: str, k: int = 5, alpha: float = 0.5) -> DataFrame:
+    """key, list, rank, order, score: k lines each by relevancy, virality, and both combined; texts don't travel."""
+    rows = rows.select(key, order, "relevancy", "virality", F.round(alpha * F.col("relevancy") + (1 - alpha) * F.col("virality"), 5).alias("combined"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("list"), F.col(c).alias("score")) for c in ("relevancy", "virality", "combined")])
+    each = rows.select(key, order, F.inline(pairs)).withColumn("_key", F.struct(key, "list"))
+    return top_k(each, "_key", "score", order, k).select(key, "list", F.col("rank").cast("long").alias("rank"), order, "score")
+
+
 def adjacent_similarity(rows: DataFrame, key: str, order: str, vector: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("sim", cosine(F.col(vector), F.lead(vector).over(w)))

@@ -8,26 +8,25 @@ from ..operators import pairs as P
 from ..operators import transcripts as R
 from .queries import SEGMENTS, table, timed_segments
 
-FIRST = 40
+LEAST_CHARS = 40
 
 
-def _plain(c, first: int | None = None):
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
-    return t if first is None else F.array_join(F.slice(F.split(t, " "), 1, first), " ")
+def _plain(c):
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
 
 
 def turns(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def user_pairs(spark, d, first: int | None = None):
-    """Each user turn with the assistant turn after it, as plain words; the first words of each only where first is given."""
+def user_pairs(spark, d):
+    """Each user turn with the assistant turn after it, as plain words."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = turns(spark, d).withColumns({"next_role": F.lead("role").over(w), "next_text": F.lead("text").over(w)})
-    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", _plain(F.col("text"), first).alias("reference"), _plain(F.col("next_text"), first).alias("hypothesis"))
+    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", _plain(F.col("text")).alias("reference"), _plain(F.col("next_text")).alias("hypothesis"))
 
 
-_sql_plain = lambda c: f"array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), 1, {FIRST}), ' ')"
+_sql_plain = lambda c: f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 PAIRS = f"""u AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT conv_id, turn, {_sql_plain("text")} AS reference, {_sql_plain("next_text")} AS hypothesis FROM u WHERE role = 'user' AND next_role = 'assistant')"""
 
@@ -35,10 +34,10 @@ p AS (SELECT conv_id, turn, {_sql_plain("text")} AS reference, {_sql_plain("next
 def requests(spark, d):
     """Turns as summary requests: kept (null reason) or rejected."""
     n = F.length(F.trim("text"))
-    return turns(spark, d).select("conv_id", "turn", F.when(n == 0, "empty_text").when(n < FIRST, "short_transcript").alias("reason"))
+    return turns(spark, d).select("conv_id", "turn", F.when(n == 0, "empty_text").when(n < LEAST_CHARS, "short_transcript").alias("reason"))
 
 
-REQUESTS = f"req AS (SELECT conv_id, turn, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'empty_text' WHEN length(trim(coalesce(text, ''))) < {FIRST} THEN 'short_transcript' END AS reason FROM conversations)"
+REQUESTS = f"req AS (SELECT conv_id, turn, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'empty_text' WHEN length(trim(coalesce(text, ''))) < {LEAST_CHARS} THEN 'short_transcript' END AS reason FROM conversations)"
 
 
 def reject_counts(spark, d):
@@ -65,14 +64,10 @@ def aligned_turns(spark, d):
     return found.select("conv_id", F.col("pos").cast("long").alias("pos"), F.length("reference").cast("long").alias("n_reference"), F.length("hypothesis").cast("long").alias("n_hypothesis"), "n_left", "n_right", "reason")
 
 
-def char_errors(spark, d, first: int | None = FIRST):
-    """Edits between the characters of each pair, and their share of the reference; first as the query's SQL has it."""
+def char_errors(spark, d):
+    """Edits between the characters of each pair, and their share of the reference."""
     e = F.levenshtein("reference", "hypothesis").cast("long")
-    return user_pairs(spark, d, first).select("conv_id", "turn", e.alias("edits"), F.round(F.try_divide(e, F.length("reference")), 6).alias("cer"))
-
-
-def char_errors_whole(spark, d):
-    return char_errors(spark, d, None)
+    return user_pairs(spark, d).select("conv_id", "turn", e.alias("edits"), F.round(F.try_divide(e, F.length("reference")), 6).alias("cer"))
 
 
 def word_errors(spark, d):
@@ -83,9 +78,9 @@ def wer_report(spark, d):
     return P.wer_report(P.error_rates(user_pairs(spark, d)), "conv_id").select("conv_id", F.round("wer_hits", 6).alias("wer_hits"), F.round("wer", 6).alias("wer"))
 
 
-def _rouge(n, first: int | None = FIRST):
+def _rouge(n):
     def rouge(spark, d):
-        return P.rouge_n(user_pairs(spark, d, first), ["conv_id", "turn"], n).select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+        return P.rouge_n(user_pairs(spark, d), ["conv_id", "turn"], n).select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
     return rouge
 
@@ -124,7 +119,7 @@ _time = lambda c: f"format('{{:02d}}:{{:02d}}:{{:02d}},000', {c}::BIGINT // 3600
 QUERIES = {
     "requests": requests, "reject_counts": reject_counts, "search_lines": search_lines, "nested_words": nested_words, "aligned_turns": aligned_turns,
     "char_errors": char_errors, "word_errors": word_errors, "wer_report": wer_report, "rouge1": _rouge(1), "rouge2": _rouge(2),
-    "char_errors_whole": char_errors_whole, "rouge1_whole": _rouge(1, None), "rouge2_whole": _rouge(2, None),
+    "char_errors_whole": char_errors, "rouge1_whole": _rouge(1), "rouge2_whole": _rouge(2),
     "source_table": source_table, "srt": srt, "rank_viral": rank_viral,
 }
 ORACLE_SQL = {
@@ -143,3 +138,4 @@ SELECT *, CASE WHEN n_left <> n_right THEN 'unequal_counts' END AS reason FROM c
     "srt": f"""WITH {SEGMENTS}, c AS (SELECT doc_id, pos, concat_ws(chr(10), row_number() OVER (PARTITION BY doc_id ORDER BY pos)::VARCHAR, {_time("start")} || ' --> ' || {_time('"end"')}, text) AS cue FROM seg) SELECT doc_id, md5(string_agg(cue, chr(10) || chr(10) ORDER BY pos)) AS srt_md5, count(*) AS n_cues FROM c GROUP BY doc_id""",
     "rank_viral": rf"""WITH {SEGMENTS}, s AS (SELECT doc_id, pos, round(length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) / greatest(length(text), 1)::DOUBLE, 4) AS score FROM seg WHERE contains(text, '!') OR contains(text, '?')) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank, pos, score FROM s QUALIFY rank <= 5""",
 }
+ORACLE_SQL |= {f"{n}_whole": ORACLE_SQL[n] for n in ("char_errors", "rouge1", "rouge2")}

@@ -3,9 +3,7 @@
 Rates and scores are rounded to six places on both sides, so that the order of sums doesn't show.
 """
 
-from functools import partial
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -65,7 +63,7 @@ def top_titles(spark, d):
 
 def text_features(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("title"))
-    return V.title_features(rows).drop("title", "has_emoji").withColumn("upper_ratio", F.round("upper_ratio", 6))
+    return V.title_features(rows).drop("title").withColumn("upper_ratio", F.round("upper_ratio", 6))
 
 
 SEGMENTS = r"""raw AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda s: trim(s)), lambda s: s <> '') AS l, trim(text) AS t FROM documents),
@@ -175,34 +173,29 @@ def ndcg(spark, d):
     return M.ndcg_at_k(scored(spark, d), "lang", "target", "prob").select("lang", *r6("ndcg"))
 
 
-def embedded(spark, d, n: int | None = 500):
-    """Timed segments with a vector each, dealt over the first n vectors (as the SQL of the queries has it); None deals over all."""
+def embedded(spark, d):
+    """Timed segments with a vector each, dealt over all vectors of the table."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
-    n = e.count() if n is None else n
-    rows = timed_segments(spark, d).withColumn("vec_id", F.try_mod(F.col("doc_id") * 7 + F.col("pos") * 13, F.lit(n))).join(e, "vec_id")
-    return rows
+    n = e.count()  # one number
+    return timed_segments(spark, d).withColumn("vec_id", F.try_mod(F.col("doc_id") * 7 + F.col("pos") * 13, F.lit(n))).join(e, "vec_id")
 
 
-def similar_lines(spark, d, n: int | None = 500):
-    rows = R.adjacent_similarity(embedded(spark, d, n), "doc_id", "pos", "vec")
+def similar_lines(spark, d):
+    rows = R.adjacent_similarity(embedded(spark, d), "doc_id", "pos", "vec")
     return rows.groupBy("doc_id").agg(F.round(F.avg("sim"), 6).alias("mean_sim"), F.round(F.stddev_pop("sim"), 6).alias("std_sim"), F.count("*").alias("n"))
 
 
-def scenes(spark, d, n: int | None = 500):
-    rows = R.scene_groups(R.adjacent_similarity(embedded(spark, d, n), "doc_id", "pos", "vec"), "doc_id", "pos")
+def scenes(spark, d):
+    rows = R.scene_groups(R.adjacent_similarity(embedded(spark, d), "doc_id", "pos", "vec"), "doc_id", "pos")
     return R.build_scenes(rows, "doc_id", "pos").select("doc_id", "scene", "start", "end", "n_lines", F.length("text").cast("long").alias("n_chars"))
 
 
-def highlight(spark, d, k: int = 5, alpha: float = 0.5, n: int | None = 500):
+def highlight(spark, d, k: int = 5, alpha: float = 0.5):
     """Lists by relevancy (cosine to the document's first vector), virality and both, k lines each."""
-    rows = embedded(spark, d, n)
-    first = rows.where("pos = 0").select("doc_id", F.col("vec").alias("summary"))
-    rel = F.round(N.clip01(N.cosine(F.col("vec"), F.col("summary"))), 4)
-    rows = rows.join(first, "doc_id").select("doc_id", "pos", F.substring("text", 1, 100).alias("text"), rel.alias("relevancy"), F.round(T.upper_ratio(F.col("text")), 4).alias("virality"))
-    rows = rows.withColumn("combined", F.round(alpha * F.col("relevancy") + (1 - alpha) * F.col("virality"), 5))
-    each = rows.select("*", F.explode(F.create_map(*[x for c in ("relevancy", "virality", "combined") for x in (F.lit(c), F.col(c))])).alias("list", "score"))
-    each = each.withColumn("key", F.struct("doc_id", "list"))
-    return R.top_k(each, "key", "score", "pos", k).select("doc_id", "list", F.col("rank").cast("long").alias("rank"), "pos", "score", "text")
+    rows = R.score_against_summary(embedded(spark, d).withColumn("summary", F.first("vec").over(Window.partitionBy("doc_id").orderBy("pos"))).where("summary is not null"), "vec", "summary")
+    rows = rows.withColumn("virality", F.round(T.upper_ratio(F.col("text")), 4))
+    each = R.rank_three(rows, "doc_id", "pos", k, alpha)
+    return each.join(rows.select("doc_id", "pos", F.substring("text", 1, 100).alias("text")), ["doc_id", "pos"]).select("doc_id", "list", "rank", "pos", "score", "text")
 
 
 def splits(spark, d):
@@ -210,7 +203,7 @@ def splits(spark, d):
     return rows.groupBy("category", "split").agg(F.count("*").alias("n"))
 
 
-EMBEDDED = f"""{SEGMENTS}, emb AS (SELECT seg.*, embedding::DOUBLE[] AS vec FROM seg JOIN embeddings ON vec_id = (doc_id * 7 + pos * 13) % 500)"""
+EMBEDDED = f"""{SEGMENTS}, emb AS (SELECT seg.*, embedding::DOUBLE[] AS vec FROM seg JOIN embeddings ON vec_id = (doc_id * 7 + pos * 13) % (SELECT count(*) FROM embeddings))"""
 SIMS = f"""{EMBEDDED}, sims AS (SELECT *, list_cosine_similarity(vec, lead(vec) OVER (PARTITION BY doc_id ORDER BY pos)) AS sim, lead(text) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM emb)"""
 _cut = """CASE WHEN sim < avg(sim) OVER (PARTITION BY doc_id) - 0.5 * stddev_pop(sim) OVER (PARTITION BY doc_id) AND regexp_matches(text, '[.?!]$') AND regexp_matches(nxt, '^\\p{Lu}') THEN 1 ELSE 0 END"""
 _rank = "row_number() OVER (PARTITION BY doc_id, list ORDER BY score DESC, pos)"
@@ -222,7 +215,7 @@ ORACLE_SQL = {
     "viral_scores": f"WITH {LABELLED} SELECT video_id, category, round(likes / views, 6) AS like_rate, round(comments / views, 6) AS comment_rate, round(engagement_rate, 6) AS engagement_rate, round(ln(1 + views), 6) AS log_views, round(viral_score, 6) AS viral_score, CASE WHEN viral_score >= 0.75 THEN 1 WHEN viral_score <= 0.25 THEN 0 END AS viral_label FROM scored",
     "label_counts": f"WITH {LABELLED} SELECT CASE WHEN viral_score >= 0.75 THEN 1 WHEN viral_score <= 0.25 THEN 0 END AS viral_label, count(*) AS n FROM scored GROUP BY 1",
     "top_titles": f"WITH {LABELLED} SELECT video_id, title, round(viral_score, 6) AS viral_score FROM scored ORDER BY scored.viral_score DESC, category, video_id LIMIT 5",
-    "text_features": rf"SELECT doc_id, length(text)::INT AS title_char_len, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INT AS title_word_count, contains(text, '#') AS has_hashtag, regexp_matches(text, '\d') AS has_number, contains(text, '?') AS has_question, contains(text, '!') AS has_exclaim, round({_upper}, 6) AS upper_ratio FROM documents",
+    "text_features": rf"SELECT doc_id, length(text)::INT AS title_char_len, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INT AS title_word_count, regexp_matches(text, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{1F1E6}}-\x{{1F1FF}}]') AS has_emoji, contains(text, '#') AS has_hashtag, regexp_matches(text, '\d') AS has_number, contains(text, '?') AS has_question, contains(text, '!') AS has_exclaim, round({_upper}, 6) AS upper_ratio FROM documents",
     "timed_segments": f'WITH {SEGMENTS} SELECT doc_id, pos, text, start, "end" FROM seg',
     "captions": rf"""WITH {SEGMENTS}, w AS (SELECT doc_id, pos, start, "end", len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n, unnest(range(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')))) AS k FROM seg) SELECT doc_id, pos, k // 3 AS caption, round(min(start + k * (("end" - start) / n)), 6) AS start, round(max(start + (k + 1) * (("end" - start) / n)), 6) AS "end", count(*) AS n_words FROM w GROUP BY doc_id, pos, k // 3""",
     "asr_text": r"WITH a AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '\p{P}', '', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations) SELECT conv_id, turn, norm, len(string_split(norm, ' '))::BIGINT AS n_words FROM a WHERE norm <> ''",
@@ -260,4 +253,5 @@ SELECT doc_id, list, {_rank} AS rank, pos, score, t AS text FROM u QUALIFY {_ran
 SELECT category, CASE WHEN (i + 0.5::DOUBLE) / m < 0.8 THEN 'train' WHEN (i + 0.5::DOUBLE) / m < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM k GROUP BY 1, 2""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
-QUERIES |= {f"{q.__name__}_whole": partial(q, n=None) for q in (similar_lines, scenes, highlight)}
+QUERIES |= {f"{q.__name__}_whole": q for q in (similar_lines, scenes, highlight)}
+ORACLE_SQL |= {f"{n}_whole": ORACLE_SQL[n] for n in ("similar_lines", "scenes", "highlight")}

@@ -25,6 +25,6 @@ def test_whole_turns_are_compared(spark, tmp_path):
 
 def test_every_vector_takes_part(spark):
     d = "/root/testdata/sf0.1"
-    used = queries.embedded(spark, d, None).agg({"vec_id": "max"}).first()[0]
+    used = queries.embedded(spark, d).agg({"vec_id": "max"}).first()[0]
     assert used == 1999 and {"similar_lines_whole", "scenes_whole", "highlight_whole"} <= set(queries.QUERIES)
     assert queries.QUERIES["similar_lines_whole"](spark, "/root/testdata/sf0.001").count() > 0
