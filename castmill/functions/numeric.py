@@ -17,6 +17,16 @@ def softmax(c) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, v: s + v))
 
 
+def argmax(c) -> Column:
+    """0-based place of the largest value, the first of equals; null for an empty array."""
+    return F.nullif(F.array_position(c, F.array_max(c)), F.lit(0)) - 1
+
+
+def l2_normalize(c) -> Column:
+    """Vector of length 1; a zero vector stays."""
+    return F.transform(c, lambda v: F.coalesce(F.try_divide(v.cast("double"), F.sqrt(dot(c, c))), F.lit(0.0)))
+
+
 def sigmoid(c) -> Column:
     return 1 / (1 + F.exp(-c))
 
@@ -34,6 +44,10 @@ def bed_duration(given, seconds, low: float = 2.0, high: float = 15.0) -> Column
     return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(F.nullif(given, F.lit(0.0)), seconds)))
 
 
+def bed_tokens(seconds, per_second: float = 50.0) -> Column:
+    return F.floor(seconds * per_second).cast("int")
+
+
 def denoise_strength(snr, flatness, force=False) -> Column:
     s = F.when(snr >= 20, 0).when(snr >= 10, 1).otherwise(2)
     f = F.when(flatness < 0.3, 0).when(flatness < 0.6, 1).otherwise(2)
@@ -41,6 +55,24 @@ def denoise_strength(snr, flatness, force=False) -> Column:
     return F.when(F.lit(force), "strong").otherwise(F.element_at(F.array(*map(F.lit, ["none", "mild", "strong"])), score + 1))
 
 
+def denoise_decision(snr, flatness, clipping, force=False) -> Column:
+    """should_denoise, strength, reason (what each measure says, and a note on clipped samples), snr_at_decision."""
+    strength = denoise_strength(snr, flatness, force)
+    by_snr = F.when(snr >= 20, F.format_string("clean SNR of %.1f dB", snr)).when(snr >= 10, F.format_string("moderate noise at %.1f dB", snr)).otherwise(F.format_string("heavy noise at %.1f dB", snr))
+    by_flat = F.when(flatness < 0.3, F.format_string("tonal spectrum of flatness %.3f", flatness)).when(flatness < 0.6, F.format_string("borderline spectrum of flatness %.3f", flatness)).otherwise(F.format_string("noise-like spectrum of flatness %.3f", flatness))
+    note = F.when(clipping > 0.005, F.format_string("; CLIPPING of %.3f%% of samples", clipping * 100)).otherwise("")
+    reason = F.when(F.lit(force), F.concat(F.lit("forced: "), by_snr)).otherwise(F.concat(by_snr, F.lit("; "), by_flat, note))
+    return F.struct((strength != "none").alias("should_denoise"), strength.alias("strength"), reason.alias("reason"), snr.alias("snr_at_decision"))
+
+
+def gain_plan(level, peak, target: float = -23.0, max_peak: float = 0.99) -> Column:
+    """applied, limited (by the peak), gain, gain_db; not applied and 0 dB where the level isn't finite."""
+    fine = level.isNotNull() & ~F.isnan(level) & (F.abs(level) != float("inf"))
+    g = gain(level, peak, target, max_peak)
+    limited = fine & (peak * F.pow(F.lit(10.0), (F.lit(target) - level) / 20) > max_peak)
+    return F.struct(fine.alias("applied"), limited.alias("limited"), g.alias("gain"), F.when(fine, 20 * F.log10(g)).otherwise(0.0).alias("gain_db"))
+
+
 def gain(level, peak, target: float = -23.0, max_peak: float = 0.99) -> Column:
     """Linear gain to the target level that keeps the peak; 1 (0 dB) where the level isn't finite."""
     want = F.pow(F.lit(10.0), (F.lit(target) - level) / 20)
@@ -48,5 +80,21 @@ def gain(level, peak, target: float = -23.0, max_peak: float = 0.99) -> Column:
     return F.when(~fine, 1.0).when(peak * want > max_peak, max_peak / peak).otherwise(want)
 
 
+# Valence and arousal of each emotion.
+EMOTIONS = {"anger": (-0.6, 0.8), "disgust": (-0.6, 0.4), "fear": (-0.7, 0.8), "joy": (0.8, 0.6), "neutral": (0.0, 0.0), "sadness": (-0.7, -0.4), "surprise": (0.4, 0.7)}
+
+
 def music_mood(v, a) -> Column:
     return F.when((F.abs(v) < 0.15) & (F.abs(a) < 0.2), "calm").when((v >= 0) & (a >= 0), "bright").when(v >= 0, "peaceful").when(a >= 0, "dark").otherwise("melancholic")
+
+
+# The words of a music prompt by mood.
+MOODS = {"calm": "calm, neutral, understated", "bright": "bright, uplifting, hopeful", "peaceful": "warm, gentle, peaceful", "dark": "dark, tense, suspenseful, dissonant", "melancholic": "somber, melancholic, hollow"}
+
+
+def music_prompt(v, a) -> Column:
+    """Mood, key and tempo in words."""
+    mood = F.element_at(F.create_map(*[F.lit(x) for kv in MOODS.items() for x in kv]), music_mood(v, a))
+    mode = F.when(v >= 0.15, "major key").when(v <= -0.15, "minor key").otherwise("modal")
+    tempo = F.when(a >= 0.5, "energetic and driving, around 120 BPM").when(a <= -0.1, "slow and sparse, around 60 BPM, ambient").otherwise("moderate tempo, around 90 BPM")
+    return F.concat(mood, F.lit(" instrumental background music, "), mode, F.lit(", "), tempo, F.lit(", cinematic underscore, no vocals"))

@@ -87,3 +87,14 @@ def wrap_text(c, width: int = 42) -> Column:
 
 def extract_emoji(c, default: str) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(c, F.lit(f"({EMOJI})"), F.lit(1)), ""), F.lit("")), F.lit(default))
+
+
+def truncate_tokens(c, most: int = 64) -> Column:
+    """The first words, as many as a scorer takes."""
+    return F.array_join(F.slice(words(c), 1, most), " ")
+
+
+def join_text(order: str, text: str) -> Column:
+    """Aggregate: texts in order, blank ones left out, with a blank between."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return F.array_join(F.filter(F.transform(rows, lambda x: F.trim(x["t"])), lambda t: t != ""), " ")

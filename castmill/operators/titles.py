@@ -15,9 +15,9 @@ def cast_counts(df: DataFrame) -> DataFrame:
 
 
 def dedup_titles(df: DataFrame) -> DataFrame:
-    """Per video: last known text columns by ascending views (null views last, then country), largest counts, countries."""
-    order = F.struct(F.col("views").isNull(), F.col("views"), F.col("country"))
-    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("title", "category", "published")]
+    """Per video: last known text columns by ascending views (null views last, then country, then the value), largest counts, countries."""
+    order = lambda c: F.struct(F.col("views").isNull(), F.col("views"), F.col("country"), F.col(c))
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order(c))).alias(c) for c in ("title", "category", "published")]
     return df.where("video_id is not null").groupBy("video_id").agg(*last, *[F.max(c).alias(c) for c in COUNTS], F.count_distinct("country").alias("country_count"))
 
 

@@ -133,9 +133,12 @@ def bed_offsets(spark, d):
     return I.composition_offsets(e, "user_id", "event_id", "dur").select("user_id", "event_id", *r6("dur", "offset"))
 
 
+EMOTION_OF = {"click": "joy", "purchase": "surprise", "error": "anger", "view": "neutral", "signup": "fear"}
+
+
 def moods(spark, d):
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    points = spark.createDataFrame([("click", 0.8, 0.5), ("purchase", 0.2, 0.8), ("error", -0.6, 0.8), ("signup", -0.7, 0.8)], "event_type string, v double, a double")
+    points = spark.createDataFrame([(kind, *N.EMOTIONS[e]) for kind, e in EMOTION_OF.items()], "event_type string, v double, a double")
     e = e.join(F.broadcast(points), "event_type", "left").fillna(0.0, ["v", "a"])
     m = e.groupBy("user_id").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("valence"), (F.sum(F.col("n") * F.col("a")) / F.sum("n")).alias("arousal"))
     return m.withColumns({"valence": F.round("valence", 9), "arousal": F.round("arousal", 9)}).withColumn("mood", N.music_mood(F.col("valence"), F.col("arousal")))
@@ -229,7 +232,7 @@ SELECT recording_id, round(s + 60, 3) AS start, round(e - 60, 3) AS "end" FROM g
 SELECT c.recording_id, span_start, round(greatest(start, span_start) - span_start, 3) AS start, round(least("end", span_end) - span_start, 3) AS "end" FROM span JOIN c ON c.recording_id = span.recording_id AND start < span_end AND "end" > span_start
 WHERE "end" <= start OR (least("end", span_end) - greatest(start, span_start)) / ("end" - start) >= 0.5""",
     "bed_offsets": "WITH a AS (SELECT user_id, event_id, least(15.0::DOUBLE, greatest(2.0::DOUBLE, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE value END, 0), 5.0::DOUBLE))) AS dur FROM events) SELECT user_id, event_id, round(dur, 6) AS dur, round(coalesce(sum(dur) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 6) AS offset FROM a",
-    "moods": """WITH p AS (SELECT user_id, CASE event_type WHEN 'click' THEN 0.8 WHEN 'purchase' THEN 0.2 WHEN 'error' THEN -0.6 WHEN 'signup' THEN -0.7 ELSE 0 END::DOUBLE AS v, CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0 ELSE 0.8 END::DOUBLE AS a FROM events),
+    "moods": """WITH p AS (SELECT user_id, CASE event_type WHEN 'click' THEN 0.8 WHEN 'purchase' THEN 0.4 WHEN 'error' THEN -0.6 WHEN 'signup' THEN -0.7 ELSE 0 END::DOUBLE AS v, CASE event_type WHEN 'click' THEN 0.6 WHEN 'purchase' THEN 0.7 WHEN 'view' THEN 0 ELSE 0.8 END::DOUBLE AS a FROM events),
 m AS (SELECT user_id, round(avg(v), 9) AS valence, round(avg(a), 9) AS arousal FROM p GROUP BY user_id)
 SELECT user_id, valence, arousal, CASE WHEN abs(valence) < 0.15 AND abs(arousal) < 0.2 THEN 'calm' WHEN valence >= 0 AND arousal >= 0 THEN 'bright' WHEN valence >= 0 THEN 'peaceful' WHEN arousal >= 0 THEN 'dark' ELSE 'melancholic' END AS mood FROM m""",
     "denoise": """WITH a AS (SELECT event_id, value, CASE WHEN value / 15 >= 20 THEN 0 WHEN value / 15 >= 10 THEN 1 ELSE 2 END AS s, CASE WHEN event_id % 10 / 10.0::DOUBLE < 0.3 THEN 0 WHEN event_id % 10 / 10.0::DOUBLE < 0.6 THEN 1 ELSE 2 END AS f FROM events)

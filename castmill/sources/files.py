@@ -119,3 +119,17 @@ def write_json_docs(df: DataFrame, key: str, order: str, path: str) -> None:
     others = [c for c in df.columns if c != key]
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *others)))
     df.groupBy(key).agg(F.transform(rows, lambda r: r.dropFields("_o")).alias("rows")).write.json(path)
+
+
+TITLE_COLUMNS = {"video_id": "video_id", "video_title": "title", "video_category_id": "category", "video_trending_country": "country", "video_view_count": "views", "video_like_count": "likes", "video_comment_count": "comments", "channel_subscriber_count": "subscribers", "video_published_at": "published"}
+
+
+def read_titles(spark: SparkSession, path: str) -> DataFrame:
+    """The nine named columns of title snapshots, as text under short names; no other column is read."""
+    return spark.read.parquet(path).select(*[F.col(c).cast("string").alias(n) for c, n in TITLE_COLUMNS.items()])
+
+
+def write_documents(rows: DataFrame, key: str, path: str) -> None:
+    """One JSON document a key: its other columns as an array of rows, in their order."""
+    item = F.struct(*[c for c in rows.columns if c != key])
+    rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items")).write.mode("overwrite").json(path)

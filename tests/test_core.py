@@ -2,8 +2,9 @@ import duckdb
 import pytest
 
 from castmill.operators import intervals, metrics, titles, transcripts
+from castmill.plans import media, queries
 from castmill.plans import pairs as pair_queries
-from castmill.plans import queries
+from castmill.plans import titles as title_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,12 +17,13 @@ def duck(sf_dir):
     return c
 
 
-SQL = queries.ORACLE_SQL | pair_queries.ORACLE_SQL
+SQL = queries.ORACLE_SQL | pair_queries.ORACLE_SQL | title_queries.ORACLE_SQL | media.ORACLE_SQL
+QUERIES = queries.QUERIES | pair_queries.QUERIES | title_queries.QUERIES | media.QUERIES
 
 
 @pytest.mark.parametrize("name", list(SQL))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    found = (queries.QUERIES | pair_queries.QUERIES)[name](spark, sf_dir)
+    found = QUERIES[name](spark, sf_dir)
     cols = sorted(found.columns)
     got = [tuple(r) for r in found.select(cols).collect()]
     want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})").fetchall()
