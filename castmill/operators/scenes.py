@@ -52,8 +52,15 @@ def split_long_scenes(rows: DataFrame, key: str, order: str, most: float = 60.0)
     return dealt.withColumn("scene", F.sum("_new").over(w)).drop("_new", "_part", "_long", "_weak")
 
 
-def scenes_of(rows: DataFrame, key: str, order: str, vector: str, least: float = 10.0, most: float = 60.0, guard: bool = True) -> DataFrame:
-    """Scenes of rows with a vector each: grouped by falling similarity, split where longer than most, kept from `least` seconds on, times to hundredths."""
+def scenes_of(rows: DataFrame, key: str, order: str, vector: str, least: float = 10.0, most: float = 60.0, guard: bool = True, keep_single: bool = False) -> DataFrame:
+    """Scenes of rows with a vector each: grouped by falling similarity, split where longer than most, kept from `least` seconds on, times to hundredths.
+
+    With keep_single, the one row of a key that has no other is a scene whatever its length."""
     grouped = scene_groups(adjacent_similarity(rows, key, order, vector), key, order, guard)
-    found = build_scenes(split_long_scenes(grouped, key, order, most), key, order, least)
+    if keep_single:
+        every = build_scenes(split_long_scenes(grouped, key, order, most), key, order, 0.0)
+        own = F.sum("n_lines").over(Window.partitionBy(key))
+        found = every.withColumn("_rows", own).where((F.col("_rows") == 1) | (F.col("end") - F.col("start") >= least)).drop("_rows")
+    else:
+        found = build_scenes(split_long_scenes(grouped, key, order, most), key, order, least)
     return found.withColumns({"duration": F.round(F.col("end") - F.col("start"), 2), "start": F.round("start", 2), "end": F.round("end", 2)})

@@ -11,7 +11,7 @@ from ..operators import scenes as S
 from ..operators import sound as A
 from ..operators import summaries as M
 from ..operators import transcripts as R
-from .queries import EMBEDDED, EMOTION_OF, ISLANDS, SEGMENTS, SIMS, _cut, embedded, recordings, spans, table, timed_segments
+from .queries import EMOTION_OF, ISLANDS, SEGMENTS, SIMS, _cut, embedded, recordings, spans, table, timed_segments
 
 
 def scenes_split(spark, d):

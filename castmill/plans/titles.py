@@ -1,9 +1,10 @@
 """Registered queries over titles, splits, rankings and text helpers, each with its SQL."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import highlight as H
+from ..operators import learning as L
 from ..operators import pairs as P
 from ..operators import titles as V
 from ..operators import transcripts as R
@@ -90,6 +91,14 @@ def meteor(spark, d):
     return P.meteor(user_pairs(spark, d)).select("conv_id", "turn", F.round("meteor", 6).alias("meteor"))
 
 
+def highlight_models(spark, d):
+    """Relevant and viral lines of all documents by models trained on the labelled titles; no SQL, as models have none."""
+    train = labelled(spark, d)
+    lines = timed_segments(spark, d).select("doc_id", "pos", "text")
+    found = H.highlight(lines, "doc_id", "pos", L.train_detector(train), L.train_reranker(train))
+    return found.select("doc_id", "list", F.col("rank").cast("long").alias("rank"), "pos", "relevancy", *[F.round(c, 6).alias(c) for c in ("viral_prob", "viral_score")], "line_count")
+
+
 SCORED = f"""{EMBEDDED}, ex AS (SELECT doc_id, unnest(range(1, 65)) AS i, unnest(vec) AS v FROM emb), mv AS (SELECT doc_id, i, avg(v) AS v FROM ex GROUP BY 1, 2), mean AS (SELECT doc_id, list(v ORDER BY i) AS summary FROM mv GROUP BY 1),
 sc AS (SELECT doc_id, pos, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(vec, summary))), 4) AS relevancy, (contains(text, '?') OR contains(text, '!'))::INT AS viral_label, round({_upper}, 4) AS viral_score FROM emb JOIN mean USING (doc_id))"""
 _label = "CASE WHEN viral_score >= 0.75 THEN 1 WHEN viral_score <= 0.25 THEN 0 END"
@@ -108,4 +117,4 @@ ORACLE_SQL = {
     "model_means": r"SELECT source, round(avg(length(coalesce(text, ''))), 4) AS chars, round(avg(len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> ''))), 4) AS words FROM documents GROUP BY source",
     "text_helpers": rf"""WITH {SEGMENTS}, j AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS text FROM seg GROUP BY 1) SELECT doc_id, md5(text) AS md5, length(text) AS n_plain, length(array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:64], ' ')) AS n_cut, coalesce(nullif(array_to_string(regexp_extract_all(text, '{_emoji}'), ''), ''), '-') AS emoji FROM j""",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "worst_pairs", "rouge_l", "meteor"]}
+QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "worst_pairs", "rouge_l", "meteor", "highlight_models"]}

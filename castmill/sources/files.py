@@ -129,7 +129,40 @@ def read_titles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*[F.col(c).cast("string").alias(n) for c, n in TITLE_COLUMNS.items()])
 
 
-def write_documents(rows: DataFrame, key: str, path: str) -> None:
-    """One JSON document a key: its other columns as an array of rows, in their order."""
-    item = F.struct(*[c for c in rows.columns if c != key])
-    rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items")).write.mode("overwrite").json(path)
+def _ordered(*columns: str, order: str | None = None):
+    """Aggregate: rows of a key as structs of these columns, in order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order or columns[0]).alias("_o"), *columns)))
+    return F.transform(rows, lambda r: r.dropFields("_o"))
+
+
+def json_documents(rows: DataFrame, kind: str, key: str) -> DataFrame:
+    """key and the nested fields of one document each.
+
+    segments and words: their rows in time order; vad: speech segments, their seconds and share of total_dur; rankings:
+    summary, scenes and the three lists (rows have list, rank and a clip's columns); bloopers: count and rows;
+    report: the rows as they are, nested already."""
+    by = rows.groupBy(key)
+    if kind == "segments":
+        return by.agg(_ordered("id", "start", "end", "text").alias("segments"))
+    if kind == "words":
+        rounded = rows.withColumn("probability", F.round("probability", 4))
+        return rounded.groupBy(key).agg(_ordered("word", "start", "end", "probability", order="start").alias("words"))
+    if kind == "vad":
+        total = F.round(F.sum(F.col("end") - F.col("start")), 3)
+        ratio = F.when(F.max("total_dur") > 0, F.round(F.sum(F.col("end") - F.col("start")) / F.max("total_dur"), 4)).otherwise(0.0)
+        return by.agg(_ordered("start", "end").alias("speech_segments"), total.alias("total_speech_duration_seconds"), ratio.alias("speech_ratio"))
+    if kind == "rankings":
+        clip = [c for c in rows.columns if c not in (key, "list", "rank", "global_summary", "total_scenes")]
+        lists = {n: F.array_sort(F.collect_list(F.when(F.col("list") == n, F.struct("rank", *clip)))) for n in ("relevancy", "virality", "combined")}
+        each = [F.transform(v, lambda r: r.dropFields("rank")).alias(f"by_{n}") for n, v in lists.items()]
+        return by.agg(F.first("global_summary").alias("global_summary"), F.first("total_scenes").alias("total_scenes"), F.struct(*each).alias("rankings"))
+    if kind == "bloopers":
+        return by.agg(F.count("*").alias("count"), _ordered("index", "start", "end", "duration", "lip_motion", "label").alias("bloopers"))
+    if kind == "report":
+        return rows
+    raise ValueError(f"no such document: {kind}")
+
+
+def write_documents(rows: DataFrame, kind: str, key: str, path: str) -> None:
+    """The documents as JSON, one a line."""
+    json_documents(rows, kind, key).write.mode("overwrite").json(path)

@@ -1,6 +1,7 @@
 """Live spans and snapshots: sessions of speech, dense seconds, and titles kept up by batch."""
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.titles import COUNTS
@@ -46,13 +47,25 @@ def titles_of(known: DataFrame) -> DataFrame:
     return best.select("video_id", *[F.col(f"last_{c}.v").alias(c) for c in texts], *COUNTS, "country_count")
 
 
+def stored_titles(spark: SparkSession, path: str) -> DataFrame:
+    """The known titles of the latest batch."""
+    turns = []
+    for k in (0, 1):
+        try:
+            turns.append(spark.read.parquet(f"{path}/turn={k}"))
+        except AnalysisException:  # the other turn hasn't come yet
+            continue
+    newest = [(t.agg(F.max("batch")).first()[0], t) for t in turns]
+    return max(((n, t) for n, t in newest if n is not None), key=lambda x: x[0])[1].drop("batch")
+
+
 def stream_dedup_titles(snapshots: DataFrame, path: str, checkpoint: str):
-    """Keep the known titles under path, a folder per batch; the newest one holds all. A batch that is run again rewrites its own folder from the one before."""
+    """Keep the known titles under path, in two folders by turns: a batch reads the other one's and rewrites its own, also when it is run again."""
 
     def upsert(batch: DataFrame, n: int) -> None:
         now = known_titles(batch)
         if n:
-            now = join_known(batch.sparkSession.read.parquet(f"{path}/batch={n - 1}"), now)
-        now.write.mode("overwrite").parquet(f"{path}/batch={n}")
+            now = join_known(batch.sparkSession.read.parquet(f"{path}/turn={(n - 1) % 2}").drop("batch"), now)
+        now.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/turn={n % 2}")
 
     return snapshots.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from castmill.operators import learning, metrics, pairs, titles
+from castmill.operators import highlight, learning, metrics, pairs, titles
 from castmill.plans import queries
 from castmill.sources import files
 
@@ -103,8 +103,6 @@ def test_remaining_sources(spark, tmp_path):
     spark.createDataFrame([tuple(range(9)) + ("extra",)], ", ".join(f"{c} int" for c in cols) + ", other string").write.parquet(f"{tmp_path}/t")
     assert files.read_titles(spark, f"{tmp_path}/t").columns == list(files.TITLE_COLUMNS.values()) and files.read_titles(spark, f"{tmp_path}/t").first()["views"] == "4"
     rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "doc string, pos int, text string")
-    files.write_documents(rows, "doc", f"{tmp_path}/j")
-    assert sorted((r["doc"], r["items"][0]["text"]) for r in spark.read.json(f"{tmp_path}/j").collect()) == [("a", "x"), ("b", "y")]
     split = rows.withColumn("split", F.when(F.col("doc") == "a", "train").otherwise("test"))
     files.write_splits(split, f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s/split=train").count() == 1
@@ -119,3 +117,36 @@ def test_pairs_and_tables(spark):
     assert [r["id"] for r in pairs.usable_pairs(rows, 1).collect()] == [3]
     long = spark.createDataFrame([("m", "f1", 0.25), ("n", "f1", 0.75), ("m", "auc", 0.5)], "model string, metric string, value double")
     assert [r["model"] for r in pairs.comparison_table(long, "model", "metric", "value", ["f1", "auc"], "f1").collect()] == ["n", "m"]
+
+
+def test_documents(spark, tmp_path):
+    """Each kind of document; rankings and speech segments come back by their readers."""
+    segs = spark.createDataFrame([("d", 1, 2.0, 3.0, "b"), ("d", 0, 0.0, 1.0, "a")], "doc string, id int, start double, end double, text string")
+    assert [s["text"] for s in files.json_documents(segs, "segments", "doc").first()["segments"]] == ["a", "b"]
+    words = spark.createDataFrame([("d", "w", 0.0, 1.0, 0.123456)], "doc string, word string, start double, end double, probability double")
+    assert files.json_documents(words, "words", "doc").first()["words"][0]["probability"] == 0.1235
+    vad = files.json_documents(segs.withColumn("total_dur", F.lit(8.0)), "vad", "doc")
+    row = vad.first()
+    assert (row["total_speech_duration_seconds"], row["speech_ratio"], len(row["speech_segments"])) == (2.0, 0.25, 2)
+    clips = spark.createDataFrame([("d", "virality", 2, 1.0, 2.0, "x", 0.5, "s", 4), ("d", "virality", 1, 3.0, 4.0, "y", 0.7, "s", 4), ("d", "combined", 1, 3.0, 4.0, "y", 0.6, "s", 4)], "doc string, list string, rank int, start double, end double, text string, combined_score double, global_summary string, total_scenes int")
+    files.write_documents(clips, "rankings", "doc", f"{tmp_path}/r")
+    back = files.read_rankings(spark, f"{tmp_path}/r/*.json").collect()
+    assert sorted((r["list"], r["rank"], r["text"]) for r in back) == [("combined", 1, "y"), ("virality", 1, "y"), ("virality", 2, "x")]
+    found = spark.createDataFrame([("d", 0, 1.0, 2.0, 1.0, None, "no_face")], "doc string, index int, start double, end double, duration double, lip_motion double, label string")
+    assert files.json_documents(found, "bloopers", "doc").first()["count"] == 1 and files.json_documents(found, "report", "doc") is found
+
+
+def test_highlight_with_models(spark):
+    """Summary, embedding, detector and reranker in one go; the viral list holds only what the detector calls viral."""
+    train = made_titles(spark, 300)
+    rows = [(d, i, t) for d in (1, 2) for i, t in enumerate(["wow insane best aaa bbb", "lecture minutes report aaa", "best wow best ccc ddd", "report report lecture eee"])]
+    lines = spark.createDataFrame(rows, "doc int, pos int, text string")
+    found = highlight.highlight(lines, "doc", "pos", learning.train_detector(train), learning.train_reranker(train), k=3).collect()
+    viral = {(r["doc"], r["pos"]) for r in found if r["list"] == "viral"}
+    assert viral == {(d, p) for d in (1, 2) for p in (0, 2)} and sum(r["list"] == "relevant" for r in found) == 6 and {r["line_count"] for r in found} == {4}
+    assert all(r["viral_score"] is not None and 0 <= r["relevancy"] <= 1 for r in found)
+
+
+def test_requests_are_checked(spark):
+    df = spark.createDataFrame([("transcript", "x" * 40, 0.0, 1.0), ("transcript", "x" * 39, 0.0, 1.0), ("transcript", "  ", 0.0, 1.0), ("mood", "sad", 0.0, 1.0), ("mood", "sad!", 0.0, 1.0), ("clip", "", 2.0, 2.0), ("clip", "", 1.0, 2.0)], "kind string, text string, start double, end double")
+    assert [r["reason"] for r in highlight.validate_requests(df).collect()] == [None, "short_transcript", "empty_text", "short_mood_text", None, "empty_span", None]
