@@ -9,6 +9,12 @@ from castmill.plans import titles as title_queries
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    """The smallest tables; the driver compares the same pairs on larger ones."""
+    return "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from castmill.operators import highlight, learning, metrics, pairs, titles
+from castmill.operators import clips, highlight, learning, metrics, pairs, titles
 from castmill.plans import queries
 from castmill.sources import files
 
@@ -150,3 +150,22 @@ def test_highlight_with_models(spark):
 def test_requests_are_checked(spark):
     df = spark.createDataFrame([("transcript", "x" * 40, 0.0, 1.0), ("transcript", "x" * 39, 0.0, 1.0), ("transcript", "  ", 0.0, 1.0), ("mood", "sad", 0.0, 1.0), ("mood", "sad!", 0.0, 1.0), ("clip", "", 2.0, 2.0), ("clip", "", 1.0, 2.0)], "kind string, text string, start double, end double")
     assert [r["reason"] for r in highlight.validate_requests(df).collect()] == [None, "short_transcript", "empty_text", "short_mood_text", None, "empty_span", None]
+
+
+def test_edit_counts_by_the_whole_table():
+    """Totals are least, and the counts fit both lengths, for random token lists."""
+    draw = random.Random(9)
+    for _ in range(200):
+        a, b = ([draw.choice("abc") for _ in range(draw.randint(0, 12))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        s, d, n, hits = pairs._edits(a, b)
+        assert s + d + n == row[-1] and hits + s + d == len(a) and hits + s + n == len(b)
+
+
+def test_rejects_of_passes(spark):
+    one = spark.createDataFrame([(1, "empty")], "id int, reason string")
+    assert clips.union_rejects(one, one.select("reason", "id"), one).count() == 3
