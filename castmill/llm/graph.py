@@ -11,7 +11,10 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Edges a, b of any comparable type; returns node, root (smallest node reachable) for each node but the roots."""
+    """Edges a, b of any comparable type; returns node, root (smallest node reachable) for each node but the roots.
+
+    Edges with a null end and loops link nothing; repeated edges count once; without edges there are no rows.
+    Each step is written to the shared folder, and two numbers of it reach the driver."""
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _sum(now)
     while before[0]:

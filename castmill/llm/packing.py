@@ -166,6 +166,7 @@ def _pack(batches, name: str, size: int, end_id: int):
             yield packer.rows(packer.cuts.settled())
     if packer:
         yield packer.rows(packer.cuts.last())
+    encoder.rest()
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", size: int = SIZE, end_id: int = END_ID) -> DataFrame:

@@ -4,12 +4,20 @@ A batch of texts is one byte buffer. Cuts are found over the whole buffer, the p
 dictionary encoded by Arrow, and results of the distinct parts are spread over all parts again.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, SLICE = 4 << 20, 512
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, so that a task holds the Python objects of few at a time; buffers go back at the end."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:

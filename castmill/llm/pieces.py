@@ -53,6 +53,7 @@ class Lattice:
         self.pieces = {shown[i]: (i, model.get_score(i)) for i in own}
         self.longest = max(map(len, self.pieces))
         self.floor = min(s for _, s in self.pieces.values()) - BYTE_PENALTY
+        self.keys = None  # decoding needs no trie
 
     def _trie(self) -> None:
         """Steps (node, character) -> node, in a table with open addresses; a piece and its score at each node."""
@@ -114,7 +115,7 @@ class Lattice:
         start = np.cumsum(size) - size
         word = np.repeat(np.arange(len(words)), size)
         width = 1 + (chars > 0x7F) + (chars > 0x7FF).astype(np.int64) + (chars > 0xFFFF)
-        if not hasattr(self, "keys"):
+        if self.keys is None:
             self._trie()
         score, piece = self._edges(chars, (start + size)[word] - np.arange(len(chars)), width)
         base = start + np.arange(len(words))  # a word has a node before each character, and one at its end

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 from .models import TOKEN, Features, Sparse, fit_logistic, fit_platt, sample_rows, sigmoid
+from .parts import slices
 
 MAX_LABELLED, ROUNDS, SHARE, SURE, VOCABULARY = 4096, 3, 0.1, 2.0, 20_000
 PAGE, ROWS_A_TASK, BIN = 1024, 20_000, 0.1
@@ -60,7 +61,7 @@ def _numbers(text: str, vocab: dict[str, int]) -> list[int]:
 
 
 def _views(batches, vocab: dict[str, int], sample: set):
-    for b in batches:
+    for b in slices(batches):
         words, pages = [], []
         for doc_id, text, lang, source, n_chars in zip(*[c.to_pylist() for c in b.columns]):
             if doc_id in sample:
@@ -75,7 +76,7 @@ def _dots(column: pa.Array, w: np.ndarray) -> np.ndarray:
 
 
 def _scores(batches, models: list[np.ndarray], plates: list[np.ndarray]):
-    for b in batches:
+    for b in slices(batches):
         odds = [p[0] * _dots(c, w) + p[1] for c, w, p in zip(b.columns, models, plates)]
         yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, odds)], ["words", "page", "o_words", "o_page"])
 
@@ -83,8 +84,8 @@ def _scores(batches, models: list[np.ndarray], plates: list[np.ndarray]):
 def _fit_share(batches, rows: list, y: np.ndarray, start: np.ndarray):
     """Fit on the labelled rows and the pseudo-labelled ones of this task; each weight times the latter's number."""
     more, z = [], []
-    for b in batches:
-        more += [r.values.to_numpy() for r in b.column(0)]
+    for b in slices(batches):
+        more += [r.values.to_numpy().astype(np.int32) for r in b.column(0)]
         z += b.column(1).to_pylist()
     if more:
         w = fit_logistic(Sparse([*rows, *more], len(start) - 1), np.concatenate((y, z)), start=start, steps=60)
@@ -156,7 +157,7 @@ def _probabilities(model: dict | None, text, lang, source, n_chars) -> tuple[flo
 
 
 def _score(batches, model: dict | None):
-    for b in batches:
+    for b in slices(batches):
         found = [_probabilities(model, *r) for r in zip(*[c.to_pylist() for c in b.columns[1:]])]
         cols = list(zip(*found)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in cols]], ["doc_id", "p_text", "p_page", "p_quality"])
@@ -170,7 +171,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _keep(batches, model: dict | None):
-    for b in batches:
+    for b in slices(batches):
         rows = zip(*[b.column(c).to_pylist() for c in COLUMNS])
         yield b.filter(pa.array([_probabilities(model, *r)[2] >= 0.5 for r in rows], pa.bool_()))
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import durable, table
+from .parts import slices
 
 SYMBOLS, ALPHA, DELTA, GRID = "#*$%&|<>", 0.08, 0.05, 50
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -56,7 +57,7 @@ def text_stats(text: str) -> tuple[int, int, int, int, int]:
 
 
 def _stats(batches):
-    for b in batches:
+    for b in slices(batches):
         cols = list(zip(*map(text_stats, b.column(2).to_pylist()))) or [[]] * 5
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "stratum", "text_key", *STATS])
 

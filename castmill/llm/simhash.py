@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, table, texts
 from .graph import connected_components
+from .parts import slices
 
 RADIUS, TILE = 2, 4096
 
@@ -42,7 +43,7 @@ def bits_of(h: np.ndarray) -> int:
 
 
 def _fingerprints(batches):
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
 
@@ -72,7 +73,7 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _compare(batches, radius: int):
-    for batch in batches:
+    for batch in slices(batches, 64):
         left, right = batch.column(0), batch.column(1)
         lo, ro, lv, rv = left.offsets.to_numpy(), right.offsets.to_numpy(), left.values.to_numpy().view(np.uint64), right.values.to_numpy().view(np.uint64)
         links = [x for i in range(len(left)) for x in _forest(lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]], radius)]

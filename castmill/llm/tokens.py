@@ -140,6 +140,10 @@ class Encoder:
         starts = np.flatnonzero(flag[:-1])
         return starts, np.searchsorted(starts, ends)
 
+    def rest(self) -> None:
+        self.known.clear(), self.ends.clear()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the offset of each text's."""
         data, ends = raw(texts)
@@ -158,7 +162,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def worker_encoder(name: str) -> Encoder:
-    """One encoder for all tasks of a Python worker: its words outlive a task."""
+    """One encoder for all tasks of a Python worker; a task ends by `rest`, so that its parts don't stay beside later stages."""
     return Encoder(name)
 
 
@@ -174,6 +178,7 @@ def _encoded(batches, name: str, end_id: int, dictionary: bytes | None):
             whole, cut = memoryview(ids.tobytes()), (4 * ends).tolist()
             blobs = [pack(bytes(whole[x:y]) + end) for x, y in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(np.diff(ends) + 1), pa.array(blobs, pa.binary())], ["doc_id", "n", "blob"])
+    encoder.rest()
 
 
 def train_dictionary(rows: DataFrame, name: str, end_id: int, n_docs: int = DICTIONARY_DOCS, most_chars: int = DICTIONARY_CHARS) -> bytes:

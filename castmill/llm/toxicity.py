@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table, texts
 from .models import Features, Sparse, adam, sample_rows, sigmoid, stem_steps
+from .parts import slices
 
 WORD = re.compile(r"\w+")
 MAX_LABELLED, LIFT, LEAST, L2 = 8192, 1.5, 3, 5e-5
@@ -99,7 +100,7 @@ def _levels(model: dict | None, text: str) -> np.ndarray:
 
 
 def _score(batches, model: dict | None):
-    for b in batches:
+    for b in slices(batches):
         at = [_levels(model, t) for t in b.column(1).to_pylist()]
         sums, first = [round(float(a.sum()), 6) for a in at], [round(float(a[0]), 6) for a in at]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.float64()), pa.array(first, pa.float64())], ["doc_id", "severity", "p_toxic"])
@@ -113,7 +114,7 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _keep(batches, model: dict | None):
-    for b in batches:
+    for b in slices(batches):
         yield b.filter(pa.array([bool(round(float(_levels(model, t or "")[0]), 6) < 0.5) for t in b.column("text").to_pylist()], pa.bool_()))
 
 

@@ -354,7 +354,8 @@ def test_pseudo_labels_grow_with_the_corpus(spark):
     assert found > 0.99
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline(spark):
+    sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = pipeline.run(spark, sf_dir).toPandas()
     assert 0 < out.doc_id.nunique() < docs.count()
