@@ -18,7 +18,7 @@ kind, in the order of KINDS. An empty table gives an empty result. Only the id a
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, table, texts
@@ -30,10 +30,11 @@ HEX = r"[0-9a-f]{16,}"
 
 WEAK = r"(?<![A-Za-z0-9+/_])(?=[A-Za-z+/_]*[0-9])(?=[0-9+/_]*[A-Za-z])[A-Za-z0-9+/_]{24,}"
 ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]*[0-9])"""
-LOGIN = r"""(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"""
+# The repeated group is possessive: a greedy one recurses once a repetition.
+LOGIN = r"""(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++"""
 DSN = r"""[a-z][a-z0-9+.-]{1,31}://[^\s:/@"'<>]+:[^\s/@"'<>]+@[^\s"'<>]+"""
 KINDS = ["assign", "access", "hex", "weak", "endpoint", "login", "dsn"]
-SCOPE = 256
+SCOPE, BLOCK = 256, 4096
 SPANS = "array<struct<start:long,rank:int,end:long>>"
 BAR, OTHER = "\x01", "\x02"
 
@@ -123,23 +124,38 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return met.select(out).union(rows.where(~may).withColumn("spans", spans(none)).select(out))
 
 
+def _without(found: DataFrame) -> DataFrame:
+    """key, gaps: the places of each text that no span covers, in order; the last one has no end. One running maximum a text."""
+    spans = found.select("key", F.inline(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    so_far = F.max("end").over(Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("at", F.coalesce(so_far, F.lit(0).cast("long")))
+    gap = F.when(F.col("start") >= F.col("at"), F.struct(F.col("at").alias("start"), F.col("start").alias("end")))
+    last = F.struct(F.max("end").alias("start"), F.lit(None).cast("long").alias("end"))
+    return rows.withColumn("gap", gap).groupBy("key").agg(F.concat(F.array_sort(F.collect_list("gap")), F.array(last)).alias("gaps"))
+
+
+def _cut(text: Column, gaps: Column, mark: str) -> Column:
+    """The text of the gaps, with mark between them. It is cut from blocks, as finding a place in a text takes all that stands before."""
+    n = F.length(text)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int")), lambda i: text.substr(i * BLOCK + 1, F.lit(BLOCK)))
+
+    def piece(blocks, g):
+        start, end = g["start"].cast("int"), F.coalesce(g["end"].cast("int"), n)
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        part = lambda i: F.get(blocks, i).substr(F.greatest(start - i * BLOCK, F.lit(0)) + 1, F.least(end - i * BLOCK, F.lit(BLOCK)) - F.greatest(start - i * BLOCK, F.lit(0)))
+        return F.array_join(F.transform(F.sequence(first, last), part), "")
+
+    return _let(blocks, lambda blocks: F.array_join(F.transform(gaps, lambda g: piece(blocks, g)), mark))
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with every span of text_col replaced by mark, other columns as they are; overlapping spans are one."""
     own = uuid.uuid4().hex  # no column of docs has such names
-    key, spans, text = f"key_{own}", f"spans_{own}", F.col(text_col)
+    key, gaps, text = f"key_{own}", f"gaps_{own}", F.col(text_col)
     found = find_secrets(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")))
-    found = found.where(F.size("spans") > 0).groupBy(F.col("key").alias(key)).agg(F.first("spans").alias(spans))
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-    gaps = F.aggregate(
-        spans, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), s["start"].alias("end")))).alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), F.length(text).cast("long").alias("end")))),
-    )
-    cut = F.array_join(F.transform(gaps, lambda g: text.substr((g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))), mark)
+    found = _without(found.where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))).select(F.col("key").alias(key), F.col("gaps").alias(gaps))
     rows = docs.join(found, F.sha2(F.coalesce(text, F.lit("")), 256) == F.col(key), "left")
-    return rows.select(*[F.when(F.col(spans).isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[F.when(F.col(gaps).isNull(), text).otherwise(_cut(text, F.col(gaps), mark)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
