@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and their SQL where SQL expresses them."""
 
-from . import licenses, media, negatives, packing, pieces, pipeline, quality, rules, secrets, simhash, spelling, tokens, toxicity
+from . import licenses, media, negatives, packing, passages, pieces, pipeline, quality, rules, secrets, simhash, spelling, tokens, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_spelling": spelling.op11_spelling,
     "op12_negatives": negatives.op12_negatives,
+    "op13_passages": passages.op13_passages,
     "pipeline": pipeline.run,
 }
 ORACLE_SQL = {"op1_licenses": licenses.ORACLE_SQL, "op11_spelling": spelling.ORACLE_SQL, "op12_negatives": negatives.ORACLE_SQL}
