@@ -1,13 +1,14 @@
 """Highlights of transcripts: checked requests, and the relevant and viral lines of each transcript by models."""
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_tokens
+from ..sources.stages import written
 from .learning import embed_text, score_detector, score_reranker
 from .summaries import summarize_extractive
-from .transcripts import rank_relevant, rank_viral, score_against_summary
+from .transcripts import rank_viral, score_against_summary
 
 LEAST_TRANSCRIPT, LEAST_MOOD = 40, 4
 
@@ -29,16 +30,16 @@ def highlight(lines: DataFrame, key: str, order: str, detector: PipelineModel, r
     The summary of a transcript is extractive; it and the lines share one encoder. The detector sees the first
     max_tokens words of each line. Only lines that a list may hold reach the reranker: the k most relevant and
     those that the detector calls viral."""
+    lines = written(lines.select(key, order, "text"))
     summaries = summarize_extractive(lines, key, order, titles=titles).select(key, F.lit(None).cast(lines.schema[order].dataType).alias(order), F.col("summary").alias("text"), F.lit(True).alias("_summary"))
-    both = embed_text(lines.select(key, order, "text", F.lit(False).alias("_summary")).unionByName(summaries))
+    both = written(embed_text(written(lines.select(key, order, "text", F.lit(False).alias("_summary")).unionByName(summaries))))
     own = both.where("_summary").select(key, F.col("vec").alias("_center"))
     scored = score_against_summary(both.where("not _summary").join(own, key), "vec", "_center").select(key, order, F.col("text").alias("_text"), "relevancy")
     scored = score_detector(detector, scored.withColumn("title", truncate_tokens(F.col("_text"), max_tokens)))
-    relevant = rank_relevant(scored, key, order, k).select(key, order, F.col("rank").alias("_rank"))
-    marked = scored.join(relevant, [key, order], "left").where("_rank is not null or viral_label = 1")
-    marked = score_reranker(reranker, marked, "viral_score").drop("_text", "title")
-    n = lines.groupBy(key).agg(F.count("*").alias("line_count"))
-    columns = [key, "list", "rank", order, "relevancy", "viral_prob", "viral_label", "viral_score"]
-    first = marked.where("_rank is not null").select("*", F.lit("relevant").alias("list"), F.col("_rank").alias("rank")).select(columns)
+    first = Window.partitionBy(key).orderBy(F.desc("relevancy"), order)
+    ranked = scored.withColumns({"_rank": F.row_number().over(first), "line_count": F.count("*").over(Window.partitionBy(key))})
+    marked = written(score_reranker(reranker, ranked.where((F.col("_rank") <= max(1, k)) | (F.col("viral_label") == 1)), "viral_score").drop("_text", "title"))
+    columns = [key, "list", "rank", order, "relevancy", "viral_prob", "viral_label", "viral_score", "line_count"]
+    first = marked.where(F.col("_rank") <= max(1, k)).select("*", F.lit("relevant").alias("list"), F.col("_rank").alias("rank")).select(columns)
     second = rank_viral(marked, key, order, k).withColumn("list", F.lit("viral")).select(columns)
-    return first.unionByName(second).join(n, key)
+    return first.unionByName(second)

@@ -3,32 +3,38 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import written
 
 
-def ranked(rows: DataFrame, c: str, key: str | None = None, parts: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, c: str, key: str | None = None) -> DataFrame:
     """rows with rank_<c>, the average-tie rank of c (within key), without a sort of all rows, or of a key's, in one task.
 
-    Values are counted, and cut into ranges at approximate quantiles; counts run within a range and over the
-    ranges before it. Null values have no rank."""
+    rows are written once and read twice. Distinct values are counted and dealt in ranges; a rank is the rows of the ranges
+    before, those before it in its range, and half of its own. Null values have no rank."""
     own = [key] if key else []
-    bounds = sorted(set(rows.approxQuantile(c, [k / parts for k in range(1, parts)], 0.01)))  # fewer than parts numbers
-    at = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(c)))
-    counts = rows.where(F.col(c).isNotNull()).groupBy(*own, c).agg(F.count("*").alias("_n")).withColumn("_p", at)
-    sums = counts.groupBy(*own, "_p").agg(F.sum("_n").alias("_all"))
+    rows = written(rows)
+    counts = rows.where(F.col(c).isNotNull()).groupBy(*own, c).agg(F.count("*").alias("_n"))
+    dealt = written(counts.repartitionByRange(*own, c).withColumn("_p", F.spark_partition_id()))
     before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select(*own, "_p", before(Window.partitionBy(*own).orderBy("_p"), "_all").alias("_base"))  # at most parts rows a key
+    sums = dealt.groupBy(*own, "_p").agg(F.sum("_n").alias("_all"))
+    base = sums.select(*own, "_p", before(Window.partitionBy(*own).orderBy("_p"), "_all").alias("_base"))  # a row a range and key
     below = before(Window.partitionBy(*own, "_p").orderBy(c), "_n")
-    rank = counts.withColumn("_below", below).join(base, [*own, "_p"]).select(*own, c, (F.col("_base") + F.col("_below") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
+    rank = dealt.withColumn("_below", below).join(base, [*own, "_p"]).select(*own, c, (F.col("_base") + F.col("_below") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
     return rows.join(rank, [*own, c], "left")
 
 
 def classification_metrics(rows: DataFrame) -> DataFrame:
     """accuracy, f1 and auc of columns label and prob."""
-    r, p, y = ranked(rows, "prob"), F.col("prob") >= 0.5, F.col("label") == 1
+    return ranked(rows, "prob").agg(*classification_of("label", "prob", "rank_prob"))
+
+
+def classification_of(label: str, prob: str, rank: str) -> list[Column]:
+    """Aggregates accuracy, f1 and auc (by the ranks of prob)."""
+    p, y = F.col(prob) >= 0.5, F.col(label) == 1
     n = lambda c: F.sum(c.cast("long"))
     pos, neg = n(y), n(~y)
-    auc = (F.sum(F.when(y, F.col("rank_prob"))) - pos * (pos + 1) / 2) / (pos * neg)
-    return r.agg((n(p == y) / F.count("*")).alias("accuracy"), (2 * n(p & y) / (n(p) + n(y))).alias("f1"), auc.alias("auc"))
+    auc = F.try_divide(F.sum(F.when(y, F.col(rank))) - pos * (pos + 1) / 2, pos * neg)
+    return [F.try_divide(n(p == y), F.count(label)).alias("accuracy"), F.try_divide(2 * n(p & y), n(p) + n(y)).alias("f1"), auc.alias("auc")]
 
 
 def spearman_mse(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -37,16 +43,20 @@ def spearman_mse(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ndcg_at_k(rows: DataFrame, key: str, true: str, pred: str, k: int = 10) -> DataFrame:
-    """Linear gain, log2 discount, tied predictions averaged. Only the k first rows of a key are kept by a ranking."""
-
-    def dcg(by: str, name: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(F.col(by).desc())
-        top = rows.select(key, by).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
-        ties = rows.select(key, F.col(by).alias("_by"), F.col(true).alias("_true")).withColumnRenamed("_by", by)
-        means = ties.join(top.select(key, by).distinct(), [key, by], "left_semi").groupBy(key, by).agg(F.avg("_true").alias("_mean"))
-        return top.join(means, [key, by]).groupBy(key).agg(F.sum(F.col("_mean") / F.log2(F.col("_rank") + 1)).alias(name))
+    """Linear gain, log2 discount, tied predictions averaged, in one pass over the rows.
 
-    return dcg(pred, "_dcg").join(dcg(true, "_ideal"), key).select(key, F.try_divide("_dcg", "_ideal").alias("ndcg"))
+    Each row counts for its prediction and for its true value; equal values of a key are one row with their number and
+    mean, of which the k first are enough."""
+    one = lambda kind, by: F.struct(F.lit(kind).alias("_kind"), F.col(by).cast("double").alias("_value"), F.col(true).cast("double").alias("_gain"))
+    each = rows.select(key, F.inline(F.array(one("_dcg", pred), one("_ideal", true))))
+    ties = each.groupBy(key, "_kind", "_value").agg(F.count("*").alias("_n"), F.avg("_gain").alias("_mean"))
+    w = Window.partitionBy(key, "_kind").orderBy(F.desc_nulls_last("_value"))
+    top = ties.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= k)
+    top = top.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    places = F.when(F.col("_before") < k, F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("_n"), F.lit(k).cast("long")))).otherwise(F.array().cast("array<long>"))
+    discount = F.aggregate(places, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    sums = top.groupBy(key).agg(*[F.sum(F.when(F.col("_kind") == c, F.col("_mean") * discount)).alias(c) for c in ("_dcg", "_ideal")])
+    return sums.select(key, F.try_divide("_dcg", "_ideal").alias("ndcg"))
 
 
 def audio_levels(frames: DataFrame, key: str = "recording_id", clip: float = 0.99) -> DataFrame:

@@ -1,66 +1,89 @@
-"""Chunks of whole sentences, and extractive summaries by TF-IDF centroids."""
+"""Chunks of whole sentences, and extractive summaries by TF-IDF centroids.
+
+A key's sentences are brought together once; chunks, terms, centroids and ranks then work within the key, so nothing
+is shuffled again for them, and only chosen sentences go on to the last ranking.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .transcripts import top_k
 
 BUDGET = 1024
 
 
+def gather_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, text: str = "text", split: bool = True) -> DataFrame:
+    """key, chunks: an array of (chunk, rows) in order, rows with their n_tokens.
+
+    Sentences go to the current chunk while it holds at most budget tokens; one over the budget is a chunk by itself,
+    and with split takes as many chunk numbers as it has pieces of the budget. The fold keeps one entry a chunk."""
+    own = rows.withColumn("n_tokens", F.size(words(text)))
+    lists = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[c for c in own.columns if c != key]).alias("r")))).alias("_s"))
+    lists = lists.select(key, F.transform("_s", lambda x: x["r"]).alias("_s"))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("chunk"), F.lit(budget).alias("held"), F.array().cast("array<struct<at:int,chunk:int>>").alias("firsts"))
+
+    def step(a, n):
+        over = n > budget
+        fresh = over | (a["held"] + n > budget)
+        taken = F.when(over & F.lit(split), F.ceil(n / budget).cast("int")).otherwise(1)
+        held = F.when(over, budget).when(fresh, n).otherwise(a["held"] + n)
+        firsts = F.when(fresh, F.concat(a["firsts"], F.array(F.struct(a["i"].alias("at"), (a["chunk"] + 1).alias("chunk"))))).otherwise(a["firsts"])
+        return F.struct((a["i"] + 1).alias("i"), F.when(fresh, a["chunk"] + taken).otherwise(a["chunk"]).alias("chunk"), held.alias("held"), firsts.alias("firsts"))
+
+    found = lists.withColumn("_f", F.aggregate(F.transform("_s", lambda x: x["n_tokens"]), zero, step)["firsts"])
+    last = lambda i: F.coalesce(F.get("_f", i + 1)["at"], F.size("_s"))
+    return found.select(key, F.transform("_f", lambda f, i: F.struct(f["chunk"].alias("chunk"), F.slice("_s", f["at"] + 1, last(i) - f["at"]).alias("rows"))).alias("chunks"))
+
+
+def _rows_of(chunks: DataFrame, key: str) -> DataFrame:
+    return chunks.select(key, F.explode("chunks").alias("_c")).select(key, F.col("_c.chunk").alias("chunk"), F.inline("_c.rows"))
+
+
 def pack_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, text: str = "text", split: bool = True) -> DataFrame:
-    """rows with chunk and n_tokens: sentences go to the current chunk while it holds at most budget tokens.
-
-    A sentence over the budget is a chunk by itself; with split it is cut into rows of at most budget tokens, a
-    chunk each (piece numbers them). Only lengths are folded, one array a key; texts don't travel."""
-    own = rows.withColumn("_t", words(text)).withColumn("n_tokens", F.size("_t"))
-    lists = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("n_tokens").alias("n")))).alias("_s"))
-    zero = F.struct(F.lit(-1).alias("chunk"), F.lit(budget).alias("held"), F.lit(None).cast("array<int>").alias("out"))
-    empty = F.array().cast("array<int>")
-
-    def step(a, x):
-        over = x["n"] > budget
-        fresh = over | (a["held"] + x["n"] > budget)
-        chunk = F.when(fresh, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(F.when(over & F.lit(split), a["chunk"] + F.ceil(x["n"] / budget).cast("int")).otherwise(chunk).alias("chunk"), F.when(over, budget).when(fresh, x["n"]).otherwise(a["held"] + x["n"]).alias("held"), F.concat(F.coalesce(a["out"], empty), F.array(chunk)).alias("out"))
-
-    dealt = lists.select(key, F.explode(F.arrays_zip(F.col("_s.o").alias("o"), F.aggregate("_s", zero, step)["out"].alias("chunk"))).alias("x"))
-    own = own.join(dealt.select(key, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk")), [key, order])
+    """rows with chunk, n_tokens and piece; with split a sentence over the budget is cut into rows of at most budget tokens, a chunk each (piece numbers them)."""
+    own = _rows_of(gather_chunks(rows, key, order, budget, text, split), key)
     if not split:
-        return own.withColumn("piece", F.lit(0)).drop("_t")
+        return own.withColumn("piece", F.lit(0))
     pieces = F.when(F.col("n_tokens") > budget, F.sequence(F.lit(0), F.ceil(F.col("n_tokens") / budget).cast("int") - 1)).otherwise(F.array(F.lit(0)))
     own = own.withColumn("piece", F.explode(pieces))
-    cut = F.when(F.col("n_tokens") > budget, F.array_join(F.slice("_t", F.col("piece") * budget + 1, budget), " ")).otherwise(F.col(text))
-    return own.withColumns({text: cut, "chunk": F.col("chunk") + F.col("piece"), "n_tokens": F.when(F.col("n_tokens") > budget, F.least(F.lit(budget), F.col("n_tokens") - F.col("piece") * budget)).otherwise(F.col("n_tokens"))}).drop("_t")
+    cut = F.when(F.col("n_tokens") > budget, F.array_join(F.slice(words(text), F.col("piece") * budget + 1, budget), " ")).otherwise(F.col(text))
+    return own.withColumns({text: cut, "chunk": F.col("chunk") + F.col("piece"), "n_tokens": F.when(F.col("n_tokens") > budget, F.least(F.lit(budget), F.col("n_tokens") - F.col("piece") * budget)).otherwise(F.col("n_tokens"))})
 
 
-def centroid_scores(rows: DataFrame, key: str, order: str, text: str = "text", titles: DataFrame | None = None) -> DataFrame:
-    """key, order, score: cosine of each sentence's TF-IDF vector to the sum of all of its key's; a title (key, title) joins the sum.
+def centroid_scores(rows: DataFrame, key: str, order: str, text: str = "text", titles: DataFrame | None = None, part: str | None = None) -> DataFrame:
+    """key (and part), order, score: cosine of each sentence's TF-IDF vector to the sum of all of its key's (and part's).
 
-    idf counts sentences of the key. Terms are lower-case words and numbers."""
-    terms = lambda df, c, *own: df.select(*own, F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
-    tf = terms(rows, text, key, order).groupBy(key, order, "term").agg(F.count("*").alias("tf"))
-    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    df = tf.groupBy(key, "term").agg(F.count("*").alias("_df")).join(n, key).select(key, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
-    weighted = tf.join(df, [key, "term"]).select(key, order, "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
-    center = weighted.groupBy(key, "term").agg(F.sum("w").alias("c"))
+    A title (key, title) joins the sum. idf counts sentences. Terms are lower-case words and numbers; a sentence without any
+    has no score. One window over the rows of a term gives its idf and its place in the centroid."""
+    ids = [key, *([part] if part else [])]
+    own, term = Window.partitionBy(*ids), Window.partitionBy(*ids, "term")
+    some = rows.select(*ids, F.col(order).alias("_o"), F.col(text).alias("_text"))
     if titles is not None:
-        more = terms(titles, "title", key).groupBy(key, "term").agg(F.count("*").alias("_tf")).join(df, [key, "term"]).select(key, "term", (F.col("_tf") * F.col("idf")).alias("c"))
-        center = center.union(more).groupBy(key, "term").agg(F.sum("c").alias("c"))
-    size = center.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_size"))
-    met = weighted.join(center, [key, "term"]).groupBy(key, order).agg(F.sum(F.col("w") * F.col("c")).alias("_dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_own"))
-    return met.join(size, key).select(key, order, F.try_divide("_dot", F.col("_own") * F.col("_size")).alias("score"))
+        some = some.union(rows.select(*ids).distinct().join(titles, key).select(*ids, F.lit(None).cast(rows.schema[order].dataType), "title"))
+    some = some.withColumn("_n", F.count("_o").over(own))
+    each = some.select(*ids, "_o", "_n", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
+    tf = each.groupBy(*ids, "_o", "_n", "term").agg(F.count("*").alias("tf"))
+    tf = tf.withColumns({"_df": F.count("_o").over(term), "_rows": F.count("*").over(term), "_all": F.sum("tf").over(term)}).where("_df > 0")
+    idf = F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1
+    tf = tf.withColumns({"_w": F.col("tf") * idf, "_c": F.col("_all") * idf})
+    total = lambda x: F.sum(x)
+    met = tf.groupBy(*ids, "_o").agg(total(F.col("_w") * F.col("_c")).alias("_dot"), F.sqrt(total(F.col("_w") * F.col("_w"))).alias("_own"), total(F.col("_c") * F.col("_c") / F.col("_rows")).alias("_part"))
+    met = met.withColumn("_size", F.sqrt(F.sum("_part").over(own))).where("_o is not null")
+    return met.select(*ids, F.col("_o").alias(order), F.try_divide("_dot", F.col("_own") * F.col("_size")).alias("score"))
+
+
+def _best(scores: DataFrame, ids: list[str], key: str, order: str, k: int, name: str) -> DataFrame:
+    """key, name: the orders of the k best of each of ids."""
+    w = Window.partitionBy(*ids).orderBy(F.round("score", 9).desc(), order)
+    return scores.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(1, k)).groupBy(key).agg(F.collect_list(order).alias(name))
 
 
 def summarize_extractive(rows: DataFrame, key: str, order: str, budget: int = BUDGET, per_chunk: int = 2, most: int = 3, titles: DataFrame | None = None) -> DataFrame:
-    """key, summary: the best sentences of each chunk, and of these the best of all, at most `most`, in their own order."""
-    packed = pack_chunks(rows.select(key, order, "text"), key, order, budget, split=False).withColumn("_chunk", F.struct(key, "chunk"))
-    chunk_titles = None if titles is None else packed.select(key, "_chunk").distinct().join(titles, key).select("_chunk", "title")
-    mapped = centroid_scores(packed, "_chunk", order, titles=chunk_titles)
-    best = top_k(mapped.withColumn("score", F.round("score", 9)), "_chunk", "score", order, per_chunk).select(F.col(f"_chunk.{key}").alias(key), order)
-    chosen = rows.select(key, order, "text").join(best, [key, order])
-    last = top_k(centroid_scores(chosen, key, order, titles=titles).withColumn("score", F.round("score", 9)), key, "score", order, most)
-    kept = chosen.join(last.select(key, order), [key, order])
-    lists = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))).alias("_s"))
-    return lists.select(key, F.array_join(F.col("_s.t"), " ").alias("summary"), F.transform("_s", lambda x: x["o"]).alias("chosen"))
+    """key, summary, chosen: the best sentences of each chunk, and of these the best of all, at most `most`, in their own order."""
+    chunks = gather_chunks(rows.select(key, order, "text"), key, order, budget, split=False)
+    first = _best(centroid_scores(_rows_of(chunks, key), key, order, titles=titles, part="chunk"), [key, "chunk"], key, order, per_chunk, "_picked")
+    among = lambda sentences, picked: F.filter(sentences, lambda x: F.array_contains(picked, x[order]))
+    chosen = chunks.join(first, key).select(key, among(F.flatten("chunks.rows"), F.col("_picked")).alias("_s"))
+    last = _best(centroid_scores(chosen.select(key, F.inline("_s")), key, order, titles=titles), [key], key, order, most, "_picked")
+    kept = chosen.join(last, key).select(key, among(F.col("_s"), F.col("_picked")).alias("_s"))
+    return kept.select(key, F.array_join("_s.text", " ").alias("summary"), F.transform("_s", lambda x: x[order]).alias("chosen"))

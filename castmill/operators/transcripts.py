@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip01, cosine
 from ..functions.text import ends_sentence, est_seconds, lines, starts_upper, word_count, words
+from .folds import window_numbers
 
 
 def segments(docs: DataFrame, min_words: int = 4) -> DataFrame:
@@ -32,17 +33,10 @@ def sanitize(segs: DataFrame, key: str = "transcript_id") -> DataFrame:
     gap = F.coalesce((F.col("start") - F.lag("start").over(by) >= 1).cast("int"), F.lit(0))
     live = live.select(key, "id", "start", gap.alias("gap")).withColumn("run", F.sum("gap").over(by))
     live = live.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("id", "start"))).alias("s")).where(F.size("s") > 8)
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<bigint>").alias("firsts"))
-
-    def step(a, x):
-        inside = a["anchor"].isNotNull() & (x["start"] < a["anchor"] + 1)
-        return F.when(inside, a).otherwise(F.struct(x["start"].alias("anchor"), F.concat(a["firsts"], F.array(x["id"].cast("bigint"))).alias("firsts")))
-
-    firsts = live.select(key, "run", "s", F.aggregate("s", zero, step)["firsts"].alias("firsts"))
-    each = firsts.select(key, "run", F.explode("s").alias("x"), "firsts").select(key, "run", F.col("x.id").alias("id"), F.array_contains("firsts", F.col("x.id").cast("bigint")).cast("int").alias("first"))
-    each = each.withColumn("window", F.sum("first").over(Window.partitionBy(key, "run").orderBy("id")))
-    n = F.count("*").over(Window.partitionBy(key, "run", "window"))
-    dense = each.withColumn("n", n).where("n > 8 and first = 0").select(key, "id", F.lit("density_explosion").alias("dense"))
+    live = live.withColumn("w", window_numbers(F.col("s.start")))
+    each = live.select(key, "run", F.inline(F.arrays_zip("s", "w"))).select(key, "run", "s.id", F.col("w").alias("window"))
+    own = Window.partitionBy(key, "run", "window")
+    dense = each.withColumns({"n": F.count("*").over(own), "first": F.min("id").over(own)}).where("n > 8 and id > first").select(key, "id", F.lit("density_explosion").alias("dense"))
     return rows.join(dense, [key, "id"], "left").withColumn("reason", F.coalesce("reason", "dense")).drop("dense")
 
 

@@ -8,6 +8,7 @@ from ..operators import learning as L
 from ..operators import pairs as P
 from ..operators import titles as V
 from ..operators import transcripts as R
+from ..sources.stages import written
 from .pairs import PAIRS, user_pairs
 from .queries import EMBEDDED, LABELLED, SEGMENTS, SNAPSHOTS, _upper, embedded, labelled, snapshots, table, timed_segments
 
@@ -93,7 +94,7 @@ def meteor(spark, d):
 
 def highlight_models(spark, d):
     """Relevant and viral lines of all documents by models trained on the labelled titles; no SQL, as models have none."""
-    train = labelled(spark, d)
+    train = written(labelled(spark, d))
     lines = timed_segments(spark, d).select("doc_id", "pos", "text")
     found = H.highlight(lines, "doc_id", "pos", L.train_detector(train), L.train_reranker(train))
     return found.select("doc_id", "list", F.col("rank").cast("long").alias("rank"), "pos", "relevancy", *[F.round(c, 6).alias(c) for c in ("viral_prob", "viral_score")], "line_count")
