@@ -2,8 +2,9 @@
 
 A word of M code points gives two disjoint chunks, its first and its last M // 2 code points; one edit leaves at least one
 of them whole. The other word gives positional grams of that length, for each M that one edit can reach. A chunk meets the
-equal grams that stand within one place of it, and pairs that meet are verified by edit distance. Grams at places that no
-chunk can reach aren't made. Where a chunk's words times its grams' words are over CROWD, the chunk alone says too little:
+equal grams that stand within one place of it, and pairs that meet are verified by edit distance. What an edit behind the
+first chunk leaves whole stands at the start, and what one before the last chunk does at the end, moved by the difference
+of the lengths, one at most; so of all positional grams only those at these places are made. Where a chunk's words times its grams' words are over CROWD, the chunk alone says too little:
 there the rest of both words must meet too, as the rest with one code point taken out (for a replaced one, at the same
 place); so pairs grow with the near pairs, not with the square of a crowd. Words over LONG code points meet by chunks alone.
 
@@ -23,7 +24,6 @@ from .copies import small
 
 LEAST, TWICE, RATIO, CROWD, LONG = 7, 2, 10, 4096, 256
 RUN = r"[A-Za-zÀ-ÿ]{7,}"  # shorter runs can't give words of LEAST
-GAP = "\x01"
 
 
 def without(word: Column, at: Column) -> Column:
@@ -39,50 +39,41 @@ def spoiled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.withColumn("h", h).select(word.alias("word")).where(F.length("word") >= LEAST).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= TWICE)
 
 
-def _key(m: Column, c: int, gram: Column) -> Column:
-    return F.xxhash64(m, F.lit(c), gram)
+def _keyed(m: Column, c: int, at: Column) -> Column:
+    """The key of the gram of m // 2 code points at a place, as chunk c of words of m code points."""
+    gram = F.substr("word", at + 1, F.floor(m / 2).cast("int"))
+    return F.struct(F.xxhash64(m, F.lit(c), gram).alias("key"), m.alias("m"), F.lit(c).alias("c"))
 
 
 def chunk_rows(words: DataFrame) -> DataFrame:
-    """key, word, n, m, c, at: both chunks of each word."""
+    """key, m, c, word, n: both chunks of each word."""
     m = F.length("word")
-    q = F.floor(m / 2).cast("int")
-    one = lambda c, at: F.struct(_key(m, c, F.substr("word", at + 1, q)).alias("key"), F.lit(c).alias("c"), F.array(at).alias("at"))
-    return words.select("word", "n", m.alias("m"), F.inline(F.array(one(0, F.lit(0)), one(1, m - q))))
+    return words.select(F.inline(F.array(_keyed(m, 0, F.lit(0)), _keyed(m, 1, m - F.floor(m / 2).cast("int")))), "word", "n")
 
 
 def gram_rows(words: DataFrame) -> DataFrame:
-    """key, word, n, m, c, at: grams of each word that chunks of words of m code points can meet, once a key with its places."""
+    """key, m, c, word, n: for words of m code points, one more or less than its own or as many, the grams that their chunks can be."""
     size, found = F.length("word"), []
     for more in (-1, 0, 1):
         m = size + more
-        q = F.floor(m / 2).cast("int")
-        for c, home in ((0, F.lit(0)), (1, m - q)):
-            for shift in (-1, 0, 1):
-                if (c, shift) != (0, -1):
-                    at = home + shift
-                    found.append(F.when(at + q <= size, F.struct(_key(m, c, F.substr("word", at + 1, q)).alias("key"), m.alias("m"), F.lit(c).alias("c"), at.alias("at"))))
-    each = F.array_compact(F.array(*found))
-    once = F.array_distinct(F.transform(each, lambda g: F.struct(g["key"], g["m"], g["c"])))
-    rows = words.select("word", "n", each.alias("each"), F.explode(once).alias("g"))
-    return rows.select("g.key", "word", "n", "g.m", "g.c", F.transform(F.filter("each", lambda e: (e["key"] == F.col("g.key")) & (e["m"] == F.col("g.m")) & (e["c"] == F.col("g.c"))), lambda e: e["at"]).alias("at"))
+        found += [_keyed(m, 0, F.lit(0)), _keyed(m, 1, size - F.floor(m / 2).cast("int"))]
+    return words.select(F.inline(F.array(*found)), "word", "n")
 
 
 def _rests(rows: DataFrame, gram: bool) -> DataFrame:
-    """rows with rest: hashes of what is left of the word beside the chunk, as one edit to a word of m code points can leave it.
+    """rows with rest: hashes of the word beside the chunk, as one edit to or from a word of m code points can leave it.
 
     A replaced code point is taken out on both sides, at one place; one too many on the longer side alone."""
     q = F.floor(F.col("m") / 2).cast("int")
-    outside = lambda at: F.concat(F.substr("word", F.lit(1), at), F.lit(GAP), F.substr("word", at + q + 1))
-    places = lambda rest: F.filter(F.sequence(F.lit(0), F.length(rest) - 1), lambda j: F.substr(rest, j + 1, F.lit(1)) != GAP)
-    whole = lambda kind, rest: F.array(F.xxhash64(F.lit(kind), F.lit(-1), rest))
-    less = lambda kind, rest, keep: F.transform(places(rest), lambda j: F.xxhash64(F.lit(kind), j if keep else F.lit(-1), without(rest, j)))
+    rows = rows.withColumn("beside", F.when(F.col("c") == 0, F.substr("word", q + 1)).otherwise(F.substr("word", F.lit(1), F.length("word") - q)))
+    each = lambda kind, placed: F.transform(F.sequence(F.lit(0), F.length("beside") - 1), lambda j: F.xxhash64(F.lit(kind), j if placed else F.lit(-1), without(F.col("beside"), j)))
+    whole = lambda kind: F.array(F.xxhash64(F.lit(kind), F.lit(-1), "beside"))
     if gram:
         more = F.length("word") - F.col("m")
-        of = lambda rest: F.when(more == 0, less("same", rest, True)).when(more == 1, less("shorter", rest, False)).otherwise(whole("longer", rest))
+        rests = F.when(more == 0, each("same", True)).when(more > 0, each("shorter", False)).otherwise(whole("longer"))
     else:
-        of = lambda rest: F.concat(less("same", rest, True), whole("shorter", rest), less("longer", rest, False))
-    return rows.withColumn("rest", F.explode(F.array_distinct(F.flatten(F.transform("at", lambda at: of(outside(at)))))))
+        rests = F.concat(each("same", True), whole("shorter"), each("longer", False))
+    return rows.withColumn("rest", F.explode(F.array_distinct(rests))).drop("beside")
 
 
 def near_words(words: DataFrame) -> DataFrame:
