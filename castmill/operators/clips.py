@@ -7,6 +7,8 @@ from ..functions.text import est_seconds, safe_clip_name, word_count
 from .intervals import composition_offsets, words_in_span
 
 VOLUME = 0.35
+#: Seconds of the finest buckets, and of the longest span that is told from one without end.
+FINEST, LONGEST = 0.125, 1e9
 
 
 def clip_file_name(rank, start, text) -> Column:
@@ -67,10 +69,22 @@ def bed_schedule(clips: DataFrame, beds: DataFrame, key: str, order: str) -> Dat
 
 
 def active_at(times: DataFrame, spans: DataFrame, key: str, closed: bool = True) -> DataFrame:
-    """For each time the first span (by pos) that holds it, null for none; closed spans hold their end too. into: time within the span, modulo bed_dur where there is one."""
-    after = F.col("t") <= F.col("end") if closed else F.col("t") < F.col("end")
-    met = times.join(spans, key).where((F.col("start") <= F.col("t")) & after)
+    """For each time the first span (by pos) that holds it, null for none; closed spans hold their end too. into: time within the span, modulo bed_dur where there is one.
+
+    A span lies in the two or three buckets it touches of the level whose buckets are as long as it, by powers of two; a time
+    looks into one bucket of each level that its key's spans have. So spans of any length meet only times near them, and no
+    key's rows meet as a whole. Spans that end before they start hold nothing."""
+    size = lambda level: FINEST * F.pow(F.lit(2.0), level)
+    bucket = lambda c, level: F.floor(c / size(level))
     value = [c for c in spans.columns if c != key]
+    length = F.least(F.col("end"), F.col("start") + LONGEST) - F.col("start")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(FINEST)) / FINEST)).cast("int"))
+    dealt = spans.where(F.col("end") >= F.col("start")).withColumn("_level", level)
+    levels = dealt.select(key, "_level").distinct()
+    dealt = dealt.withColumn("_b", F.explode(F.sequence(bucket(F.col("start"), F.col("_level")), bucket(F.least(F.col("end"), F.col("start") + LONGEST), F.col("_level")))))
+    asked = times.where("t is not null").select(key, "t").distinct().join(levels, key).withColumn("_b", bucket(F.col("t"), F.col("_level")))
+    after = F.col("t") <= F.col("end") if closed else F.col("t") < F.col("end")
+    met = asked.join(dealt, [key, "_level", "_b"]).where((F.col("start") <= F.col("t")) & after)
     first = met.groupBy(key, "t").agg(F.min_by(F.struct(*value), "pos").alias("_s")).select(key, "t", *[F.col(f"_s.{c}").alias(c) for c in value])
     into = F.col("t") - F.col("start")
     if "bed_dur" in value:

@@ -33,26 +33,27 @@ def _coded(a, b) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edits(a, b) -> tuple[int, int, int, int]:
-    """Rows of the edit table by whole-row minima; the way back prefers a pair to a deletion to an insertion."""
+    """Least edits of two token lists: substitutions, deletions, insertions, hits; a pair is preferred to a deletion, that to an insertion.
+
+    One row of the edit table is held, and beside each cell the counts of the way back from it: they are those of the cell
+    that the way goes to next. Cells reached by insertions take them from the last other cell of their row."""
     a, b = _coded(a, b)
-    steps = np.arange(len(b) + 1)
-    rows = np.empty((len(a) + 1, len(b) + 1), np.int32)
-    rows[0] = steps
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+    cost, s, d = steps.copy(), np.zeros(len(b) + 1, np.int32), np.zeros(len(b) + 1, np.int32)
     for i, x in enumerate(a, 1):
-        before, now = rows[i - 1], rows[i]
-        now[0] = i
-        np.minimum(before[1:] + 1, before[:-1] + (b != x), out=now[1:])
-        now[:] = np.minimum.accumulate(now - steps) + steps
-    i, j, s, d, n = len(a), len(b), 0, 0, 0
-    while i or j:
-        if i and j and rows[i, j] == rows[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            s += int(a[i - 1] != b[j - 1])
-            i, j = i - 1, j - 1
-        elif i and rows[i, j] == rows[i - 1, j] + 1:
-            i, d = i - 1, d + 1
-        else:
-            j, n = j - 1, n + 1
-    return s, d, n, len(a) - s - d
+        other = (b != x).astype(np.int32)
+        pair, gap = cost[:-1] + other, cost + 1
+        now = gap.copy()
+        np.minimum(now[1:], pair, out=now[1:])
+        now = np.minimum.accumulate(now - steps) + steps
+        by_pair = np.append(False, pair == now[1:])
+        own = by_pair | (gap == now)
+        s = np.where(by_pair, np.append(0, s[:-1] + other), s)
+        d = np.where(by_pair, np.append(0, d[:-1]), d + 1)
+        last = np.maximum.accumulate(np.where(own, steps, 0))
+        cost, s, d = now, s[last], d[last]
+    s, d, total = int(s[-1]), int(d[-1]), int(cost[-1])
+    return s, d, total - s - d, len(a) - s - d
 
 
 @F.pandas_udf(COUNTS)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,18 +63,30 @@ def _k_weighted(x: np.ndarray, rate: int) -> np.ndarray:
     return out[: len(x)]
 
 
-def loudness_blocks(frames: DataFrame, rate: int, key: str = "recording_id", order: str = "frame_no") -> DataFrame:
-    """key, power: mean square of K-weighted blocks of 400 ms, a quarter apart. A recording is filtered as one, as the filter has a memory."""
-    kind = frames.schema[key].dataType.simpleString()
-
-    def blocks(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        sq = np.concatenate(([0.0], np.cumsum(_k_weighted(np.concatenate(rows["samples"].to_list()).astype(float), rate) ** 2)))
-        size, hop = int(0.4 * rate), int(0.1 * rate)
-        at = np.arange(0, len(sq) - size, hop)
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(at), "power": (sq[at + size] - sq[at]) / size})
+def loudness_blocks(frames: DataFrame, rate: int, key: str = "recording_id", order: str = "frame_no", seconds: float = 30.0) -> DataFrame:
+    """key, power: mean square of K-weighted blocks of 400 ms, a quarter apart.
 
-    return frames.select(key, order, "samples").groupBy(key).applyInPandas(blocks, f"{key} {kind}, power double")
+    The response of the filters is a second long, so a stretch of a recording needs only the second before it, and the
+    rest of its last block behind it. Frames go to each stretch of about `seconds` that needs them, and a task filters one."""
+    kind = frames.schema[key].dataType.simpleString()
+    size, hop = int(0.4 * rate), int(0.1 * rate)
+    stretch = max(1, round(seconds * rate / hop)) * hop
+
+    def blocks(rows):
+        rows = rows.sort_by("_at")
+        first, k = rows["_at"][0].as_py(), rows["_k"][0].as_py()
+        x = rows["samples"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        sq = np.concatenate(([0.0], np.cumsum(_k_weighted(x, rate) ** 2)))
+        at = np.arange(k * stretch, min((k + 1) * stretch, first + len(x) - size + 1), hop) - first
+        return pa.table({key: rows[key].take(np.zeros(len(at), np.int64)), "power": (sq[at + size] - sq[at]) / size})
+
+    # Places come from sizes alone, so that no recording's samples are sorted in one task.
+    sizes = frames.select(key, order, F.size("samples").cast("long").alias("_n"))
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(w), F.lit(0))).where("_n > 0")
+    rows = frames.select(key, order, "samples").join(places, [key, order])
+    needed = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - size) / stretch)), F.floor((F.col("_at") + F.col("_n") + rate) / stretch))
+    return rows.withColumn("_k", F.explode(needed)).select(key, "_at", "_k", "samples").groupBy(key, "_k").applyInArrow(blocks, f"{key} {kind}, power double")
 
 
 def integrated_loudness(blocks: DataFrame, key: str = "recording_id") -> DataFrame:

@@ -36,7 +36,10 @@ def gather_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, t
 
 
 def _rows_of(chunks: DataFrame, key: str) -> DataFrame:
-    return chunks.select(key, F.explode("chunks").alias("_c")).select(key, F.col("_c.chunk").alias("chunk"), F.inline("_c.rows"))
+    """The rows of all chunks, with their chunk. No key is without rows; the outer form keeps a test for that, with all that makes the array, out of the filters."""
+    columns = [f.name for f in chunks.schema["chunks"].dataType.elementType["rows"].dataType.elementType]
+    each = F.transform("chunks", lambda c: F.transform(c["rows"], lambda r: F.struct(c["chunk"].alias("chunk"), *[r[x].alias(x) for x in columns])))
+    return chunks.select(key, F.flatten(each).alias("_rows")).select(key, F.inline_outer("_rows"))
 
 
 def pack_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, text: str = "text", split: bool = True) -> DataFrame:
@@ -84,6 +87,6 @@ def summarize_extractive(rows: DataFrame, key: str, order: str, budget: int = BU
     first = _best(centroid_scores(_rows_of(chunks, key), key, order, titles=titles, part="chunk"), [key, "chunk"], key, order, per_chunk, "_picked")
     among = lambda sentences, picked: F.filter(sentences, lambda x: F.array_contains(picked, x[order]))
     chosen = chunks.join(first, key).select(key, among(F.flatten("chunks.rows"), F.col("_picked")).alias("_s"))
-    last = _best(centroid_scores(chosen.select(key, F.inline("_s")), key, order, titles=titles), [key], key, order, most, "_picked")
+    last = _best(centroid_scores(chosen.select(key, F.inline_outer("_s")), key, order, titles=titles), [key], key, order, most, "_picked")
     kept = chosen.join(last, key).select(key, among(F.col("_s"), F.col("_picked")).alias("_s"))
     return kept.select(key, F.array_join("_s.text", " ").alias("summary"), F.transform("_s", lambda x: x[order]).alias("chosen"))
