@@ -4,6 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
+# The characters that count as emoji of a caption; a wider class than the flag of titles.
+CAPTION_EMOJI = r"[\x{10000}-\x{10FFFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}]"
 
 
 def squash_ws(c) -> Column:
@@ -86,7 +88,7 @@ def wrap_text(c, width: int = 42) -> Column:
 
 
 def extract_emoji(c, default: str) -> Column:
-    return F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(c, F.lit(f"({EMOJI})"), F.lit(1)), ""), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(c, F.lit(f"({CAPTION_EMOJI})"), F.lit(1)), ""), F.lit("")), F.lit(default))
 
 
 def truncate_tokens(c, most: int = 64) -> Column:

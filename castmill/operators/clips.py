@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import est_seconds, safe_clip_name, word_count
-from .intervals import composition_offsets, words_in_span
+from ..sources.files import stem
+from .captions import build_cues, render_srt
+from .intervals import composition_offsets, rebased, words_in_span
 
 VOLUME = 0.35
 #: Seconds of the finest buckets, and of the longest span that is told from one without end.
@@ -130,14 +132,29 @@ def remap_to_composition(words: DataFrame, clips: DataFrame, key: str, order: st
     return met.withColumns({c: F.round(F.col("offset") + F.col(c) - F.col("span_start"), 6) for c in ("start", "end")}).drop("span_start", "span_end", "offset")
 
 
-def clip_manifest(clips: DataFrame, words: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a clip of positive length: file name, duration, volume, and the number of words that overlap it."""
+def clip_manifest(clips: DataFrame, words: DataFrame, key: str, order: str, source: str | None = None, category: str = "combined") -> DataFrame:
+    """One nested row a clip of positive length: rank, times, duration, file, name, category, volume, words and srt.
+
+    words (key, start, end, word, and probability where there is one) meet the clips once: those that overlap a clip stand in
+    it in the recording's time, and its cues are packed from them in the clip's own time; srt is null without cues. name is
+    the one asked for (column name), else the stem of the source's path, else the key; category and volume are the clip's
+    own (columns category, music_volume) or the default."""
+    own = lambda c, default: F.coalesce(F.col(c), default) if c in clips.columns else default
+    base = stem(source) if source else F.col(key).cast("string")
     spans = clips.where(F.col("end") > F.col("start")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    met = words_in_span(words.select(key, "start", "end"), spans.select(key, order, F.col("start").alias("span_start"), F.col("end").alias("span_end")), key)
-    n = met.groupBy(key, order).agg(F.count("*").alias("n_words"))
-    rows = spans.join(n, [key, order], "left")
-    volume = F.coalesce("music_volume", F.lit(VOLUME)) if "music_volume" in clips.columns else F.lit(VOLUME)
-    return rows.select(key, order, "rank", "start", "end", F.round(F.col("end") - F.col("start"), 2).alias("duration"), clip_file_name(F.col("rank"), F.col("start"), F.col("text")).alias("file"), volume.alias("volume"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
+    given = F.col("probability") if "probability" in words.columns else F.lit(None).cast("double")
+    ids = spans.select(key, F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.struct(key, order).alias("_clip"))
+    met = words_in_span(words.select(key, "start", "end", "word", given.alias("probability")), ids, key)
+    nested = met.groupBy("_clip").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("words"))
+    cues = build_cues(rebased(met).select("_clip", F.struct("start", "end", "word").alias("_o"), "word", "start", "end", "probability"), "_clip", "_o")
+    parts = nested.join(render_srt(cues, "_clip").withColumnRenamed("document", "srt"), "_clip", "left")
+    rows = spans.withColumn("_clip", F.struct(key, order)).join(parts, "_clip", "left")
+    named = F.coalesce(F.nullif(F.trim(own("name", F.lit(""))), F.lit("")), base)
+    return rows.select(
+        key, order, "rank", "start", "end", F.round(F.col("end") - F.col("start"), 2).alias("duration"), clip_file_name(F.col("rank"), F.col("start"), F.col("text")).alias("file"),
+        named.alias("name"), own("category", F.lit(category)).alias("category"), own("music_volume", F.lit(VOLUME)).alias("volume"),
+        F.coalesce("words", F.array().cast("array<struct<start:double,end:double,word:string>>")).alias("words"), "srt",
+    )
 
 
 def merge_manifest(clips: DataFrame, key: str, order: str, source: str = "source") -> DataFrame:

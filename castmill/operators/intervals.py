@@ -41,7 +41,11 @@ def words_in_span(words: DataFrame, spans: DataFrame, key: str = "recording_id",
 
 def rebase_words(words: DataFrame, spans: DataFrame, key: str = "recording_id") -> DataFrame:
     """Words of each span in its own time; words of positive length less than half visible go."""
-    met = words_in_span(words, spans, key)
+    return rebased(words_in_span(words, spans, key))
+
+
+def rebased(met: DataFrame) -> DataFrame:
+    """Words that met their spans (span_start, span_end), cut to them and in their time."""
     a, b = F.greatest("start", "span_start"), F.least("end", "span_end")
     met = met.where((F.col("end") <= F.col("start")) | ((b - a) / (F.col("end") - F.col("start")) >= 0.5))
     return met.withColumns({"start": F.round(a - F.col("span_start"), 3), "end": F.round(b - F.col("span_start"), 3)})

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import EMOTIONS
 from .intervals import merge_intervals, nonspeech_spans
 
 
@@ -181,6 +182,16 @@ def processing_report(metrics: DataFrame, decisions: DataFrame, gains: DataFrame
     return out
 
 
+def emotion_va(scores: DataFrame, key: str, label: str = "label", p: str = "p", order: str | None = None) -> DataFrame:
+    """key, valence, arousal (sums of p times the point of its emotion; unknown ones stand at 0, 0), dominant (of the largest p, the first by order), scores (a map of p, three places)."""
+    points = scores.sparkSession.createDataFrame([(e, *va) for e, va in EMOTIONS.items()], "_label string, _v double, _a double")
+    name, share = F.lower(label), F.col(p).cast("double")
+    rows = scores.select(key, name.alias("_label"), share.alias("_p"), F.col(order or label).alias("_o")).join(F.broadcast(points), "_label", "left").fillna(0.0, ["_v", "_a"])
+    each = F.array_sort(F.collect_list(F.struct((-F.col("_p")).alias("k"), F.col("_o").alias("o"), F.col("_label").alias("label"), F.round("_p", 3).alias("p"))))  # an emotion a row
+    found = rows.groupBy(key).agg(F.sum(F.col("_p") * F.col("_v")).alias("valence"), F.sum(F.col("_p") * F.col("_a")).alias("arousal"), each.alias("_e"))
+    return found.select(key, "valence", "arousal", F.col("_e")[0]["label"].alias("dominant"), F.map_from_entries(F.transform("_e", lambda e: F.struct(e["label"], e["p"]))).alias("scores"))
+
+
 def denoise_frames(frames: DataFrame, transform=None) -> DataFrame:
     """frames through transform (pandas frames to pandas frames of one schema), with executed; without one they pass as they are."""
     if transform is None:

@@ -68,3 +68,10 @@ def extreme_titles(df: DataFrame, k: int = 5, top: bool = True) -> DataFrame:
 def split_overlaps(rows: DataFrame, key: str = "video_id") -> DataFrame:
     """Ids that stand in more than one split; none where splits are disjoint."""
     return rows.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
+
+
+def split_coverage(rows: DataFrame, all_rows: DataFrame, key: str = "video_id") -> DataFrame:
+    """n_all, n_split (distinct ids), n_overlap (in several splits), n_missing (in none), n_foreign (in a split alone): the splits are disjoint and their union is all where the last three are 0."""
+    own = rows.groupBy(key).agg(F.count_distinct("split").alias("_splits"))
+    both = all_rows.select(key).distinct().withColumn("_own", F.lit(True)).join(own, key, "full_outer")
+    return both.agg(F.count("_own").alias("n_all"), F.count("_splits").alias("n_split"), F.count_if(F.col("_splits") > 1).alias("n_overlap"), F.count_if(F.col("_splits").isNull()).alias("n_missing"), F.count_if(F.col("_own").isNull()).alias("n_foreign"))

@@ -43,7 +43,7 @@ def cue_words(spark, d):
 
 
 def cues(spark, d):
-    """Cues of each document; no SQL, as packing depends on all cues before."""
+    """Cues of each document."""
     found = C.build_cues(cue_words(spark, d), "doc_id", "o")
     return found.select("doc_id", F.col("cue").cast("long").alias("cue"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.length("text").cast("long").alias("n_chars"), "low_confidence")
 
@@ -95,14 +95,17 @@ def summaries(spark, d):
 
 
 def doc_clips(spark, d):
-    """Every third line as a clip of its document."""
-    return timed_segments(spark, d).where("pos % 3 = 0")
+    """Each line as a clip of its document."""
+    return timed_segments(spark, d)
 
 
 def clip_manifest(spark, d):
-    words = R.even_word_times(timed_segments(spark, d)).select("doc_id", F.col("word_start").alias("start"), F.col("word_end").alias("end"))
-    found = K.clip_manifest(doc_clips(spark, d).withColumns({"start": F.col("start") + 0.75, "end": F.col("end") - 0.125}), words, "doc_id", "pos")
-    return found.select("doc_id", "pos", F.col("rank").cast("long").alias("rank"), "start", "end", "duration", "file", "volume", "n_words")
+    """Clips that begin late and end early within their lines, with words, captions and names; nested parts as digests."""
+    words = R.even_word_times(timed_segments(spark, d)).select("doc_id", F.round("word_start", 6).alias("start"), F.round("word_end", 6).alias("end"), "word")
+    given = {"start": F.col("start") + 0.75, "end": F.col("end") - 0.125, "path": F.concat(F.lit("/in/talk "), F.col("doc_id").cast("string"), F.lit(".v2.mov")), "category": F.when(F.col("pos") % 2 == 0, "relevancy")}
+    found = K.clip_manifest(doc_clips(spark, d).withColumns(given), words, "doc_id", "pos", source="path")
+    listed = F.array_join(F.transform("words", lambda w: F.concat_ws(":", F.round(w["start"] * 1e6).cast("long").cast("string"), F.round(w["end"] * 1e6).cast("long").cast("string"), w["word"])), " ")
+    return found.select("doc_id", "pos", F.col("rank").cast("long").alias("rank"), "start", "end", "duration", "file", "name", "category", "volume", F.size("words").cast("long").alias("n_words"), F.md5(listed).alias("words_md5"), F.md5(F.translate("srt", "\n", " ")).alias("srt_md5"))
 
 
 def merge_manifest(spark, d):
@@ -174,7 +177,7 @@ def merged_items(spark, d):
 
 
 def injected(spark, d):
-    """Lines with faults: a repeated start, laughter, crowded and blank lines."""
+    """Lines with faults: a repeated start, stammered, crowded and blank lines."""
     rows = timed_segments(spark, d).select(F.col("doc_id").alias("transcript_id"), (F.col("pos") * 100).alias("id"), "start", "end", "text")
     own = rows.where("id = 0")
     m = F.col("transcript_id") % 10
@@ -182,13 +185,13 @@ def injected(spark, d):
     twins = more(0, 5, F.col("start"), F.col("text"))
     crowd = more(2, 12, F.col("start"), F.col("text")).withColumn("start", F.col("start") + F.col("id") / 16)
     blank = more(3, 1, F.col("start"), F.lit("  "))
-    return rows.unionByName(twins).unionByName(crowd).unionByName(blank)
+    stammer = more(4, 1, F.col("start"), F.concat(F.repeat(F.substring("text", 1, 3), F.lit(4)), F.col("text")))
+    return rows.unionByName(twins).unionByName(crowd).unionByName(blank).unionByName(stammer)
 
 
 def sanitized(spark, d):
-    """Each row with its reason; all texts but blank ones are the same words, as SQL can't find repeated characters."""
-    text = F.when(F.trim("text") == "", F.col("text")).otherwise("plain words")
-    return R.sanitize(injected(spark, d).select("transcript_id", F.col("id"), "start", F.greatest("end", F.col("start") + 0.5).alias("end"), text.alias("text"))).select("transcript_id", "id", "reason")
+    """Each row with its reason."""
+    return R.sanitize(injected(spark, d).select("transcript_id", F.col("id"), "start", F.greatest("end", F.col("start") + 0.5).alias("end"), "text")).select("transcript_id", "id", "reason")
 
 
 def rejected_counts(spark, d):
@@ -202,11 +205,13 @@ def words_of_kept(spark, d):
 
 
 SANITIZED = f"""{SEGMENTS}, base AS (SELECT doc_id AS transcript_id, pos * 100 AS id, start, "end", text FROM seg), own AS (SELECT * FROM base WHERE id = 0),
-inj AS (SELECT * FROM base UNION ALL SELECT transcript_id, unnest(range(1, 6)), start, "end", text FROM own WHERE transcript_id % 10 = 0 UNION ALL
-SELECT transcript_id, k, start + k / 16.0::DOUBLE, "end", text FROM (SELECT *, unnest(range(1, 13)) AS k FROM own WHERE transcript_id % 10 = 2) UNION ALL SELECT transcript_id, 1, start, "end", '  ' FROM own WHERE transcript_id % 10 = 3),
+inj AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT transcript_id, unnest(range(1, 6)), start, "end", text FROM own WHERE transcript_id % 10 = 0 UNION ALL
+SELECT transcript_id, k, start + k / 16.0::DOUBLE, "end", text FROM (SELECT *, unnest(range(1, 13)) AS k FROM own WHERE transcript_id % 10 = 2) UNION ALL SELECT transcript_id, 1, start, "end", '  ' FROM own WHERE transcript_id % 10 = 3 UNION ALL SELECT transcript_id, 1, start, "end", repeat(substr(text, 1, 3), 4) || text FROM own WHERE transcript_id % 10 = 4),
+chars AS (SELECT transcript_id, id, string_split(lower(text), '') AS c FROM inj),
+loops AS (SELECT transcript_id, id FROM chars WHERE len(list_filter([1, 2, 3, 4], lambda u: contains(array_to_string(list_transform(range(1, len(c) - u + 1), lambda i: CASE WHEN c[i] = c[i + u] THEN '1' ELSE '0' END), ''), repeat('1', (3 * u)::BIGINT)))) > 0),
 p1 AS (SELECT transcript_id, id, start, CASE WHEN trim(text) = '' THEN 'empty_or_zero_duration' END AS reason FROM inj),
 p2 AS (SELECT *, sum(new) OVER (PARTITION BY transcript_id ORDER BY id) AS run FROM (SELECT *, CASE WHEN start = lag(start) OVER (PARTITION BY transcript_id ORDER BY id) THEN 0 ELSE 1 END AS new FROM p1 WHERE reason IS NULL)),
-p3 AS (SELECT transcript_id, id, start, CASE WHEN count(*) OVER (PARTITION BY transcript_id, run) >= 5 AND row_number() OVER (PARTITION BY transcript_id, run ORDER BY id) > 1 THEN 'duplicate_timestamp_run' END AS reason FROM p2),
+p3 AS (SELECT transcript_id, id, start, CASE WHEN count(*) OVER (PARTITION BY transcript_id, run) >= 5 AND row_number() OVER (PARTITION BY transcript_id, run ORDER BY id) > 1 THEN 'duplicate_timestamp_run' WHEN loops.id IS NOT NULL THEN 'char_repetition_loop' END AS reason FROM p2 LEFT JOIN loops USING (transcript_id, id)),
 live AS (SELECT transcript_id, id, start, row_number() OVER (PARTITION BY transcript_id ORDER BY id) AS k FROM p3 WHERE reason IS NULL)"""
 _SANITIZED_SQL = f"""WITH RECURSIVE {SANITIZED}, f AS (SELECT transcript_id, id, k, start AS anchor, k AS win FROM live WHERE k = 1 UNION ALL
 SELECT l.transcript_id, l.id, l.k, CASE WHEN l.start < f.anchor + 1 THEN f.anchor ELSE l.start END, CASE WHEN l.start < f.anchor + 1 THEN f.win ELSE l.k END FROM f JOIN live l ON l.transcript_id = f.transcript_id AND l.k = f.k + 1),
@@ -216,10 +221,13 @@ san AS (SELECT p1.transcript_id, p1.id, coalesce(p1.reason, p3.reason, CASE WHEN
 
 def emotions(spark, d):
     """Emotion shares of a user's events: valence, arousal, strongest emotion, prompt and length of a bed."""
-    points = spark.createDataFrame([(k, e, *N.EMOTIONS[e]) for k, e in EMOTION_OF.items()], "event_type string, emotion string, v double, a double")
-    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).join(F.broadcast(points), "event_type", "left")
-    m = e.groupBy("user_id").agg(F.round(F.sum(F.col("n") * F.col("v")) / F.sum("n"), 9).alias("valence"), F.round(F.sum(F.col("n") * F.col("a")) / F.sum("n"), 9).alias("arousal"), F.max_by("emotion", F.struct("n", "emotion")).alias("dominant"), F.sum("n").alias("n"))
-    return m.select("user_id", "valence", "arousal", "dominant", N.music_prompt(F.col("valence"), F.col("arousal")).alias("prompt"), N.bed_tokens(N.bed_duration(F.lit(None).cast("double"), F.col("n") / 10)).cast("long").alias("tokens"))
+    names = F.create_map(*[F.lit(x) for kv in EMOTION_OF.items() for x in kv])
+    e = table(spark, d, "events").groupBy("user_id", F.coalesce(names[F.col("event_type")], F.lit("other")).alias("label")).agg(F.count("*").alias("n"))
+    e = e.withColumn("all", F.sum("n").over(Window.partitionBy("user_id")))
+    m = A.emotion_va(e.select("user_id", "label", (F.col("n") / F.col("all")).alias("p")), "user_id").join(e.groupBy("user_id").agg(F.sum("n").alias("n")), "user_id")
+    m = m.withColumns({"valence": F.round("valence", 9), "arousal": F.round("arousal", 9)})
+    shares = F.array_join(F.array_sort(F.transform(F.map_entries("scores"), lambda x: F.concat_ws("=", x["key"], F.round(x["value"] * 1000).cast("int").cast("string")))), ",")
+    return m.select("user_id", "valence", "arousal", "dominant", shares.alias("scores"), N.music_prompt(F.col("valence"), F.col("arousal")).alias("prompt"), N.bed_tokens(N.bed_duration(F.lit(None).cast("double"), F.col("n") / 10)).cast("long").alias("tokens"))
 
 
 def decisions(spark, d):
@@ -229,8 +237,8 @@ def decisions(spark, d):
 
 
 def vectors(spark, d):
-    """Softmax, its largest place, and the length of a vector after normalising, of each embedding's first four numbers."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("x"))
+    """Softmax, its largest place, and the length of a vector after normalising, of each embedding."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     soft = N.softmax(F.col("x"))
     unit = N.l2_normalize(F.col("x"))
     return e.select("vec_id", N.argmax(F.col("x")).cast("long").alias("best"), F.round(soft[0], 6).alias("p0"), F.round(N.dot(unit, unit), 6).alias("size"))
@@ -294,7 +302,7 @@ def span_seconds(spark, d):
 
 _ev = "SELECT user_id AS recording_id, event_id // 500 AS frame_no, value / 500 AS x, event_id FROM events"
 _words = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
-_clips = 'clips AS (SELECT * FROM seg WHERE pos % 3 = 0)'
+_clips = 'clips AS (SELECT * FROM seg)'
 _beds = "beds AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN 0.5 ELSE 0.35 END::DOUBLE AS volume FROM clips WHERE pos % 2 = 0)"
 _placed = """placed AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS "offset" FROM clips)"""
 _name = r"""replace(trim(regexp_replace(substr(text, 1, 30), '[^\p{L}\p{Nd} _-]', '', 'g')), ' ', '_')"""
@@ -303,7 +311,25 @@ _gaps = f"""{ISLANDS}, e AS (SELECT * FROM isl UNION ALL SELECT DISTINCT user_id
 g AS (SELECT recording_id, coalesce(max("end") OVER (PARTITION BY recording_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS s, start AS e FROM e),
 gap AS (SELECT recording_id, round(s + 60, 3) AS start, round(e - 60, 3) AS "end" FROM g WHERE e > s AND (e - 60) - (s + 60) >= 7200)"""
 
+
+
+def _sql_cues(words: str, key: str) -> str:
+    """Cues by a recursion over the words between two sure cuts; words is a relation of key, o, word, s, e, p."""
+    return f"""q AS (SELECT *, row_number() OVER k AS n, (coalesce(regexp_matches(lag(word) OVER k, '[.!?]$'), false) OR coalesce(s - lag(e) OVER k >= 0.4, false))::INT AS sure FROM {words} WINDOW k AS (PARTITION BY {key} ORDER BY o)),
+rn AS (SELECT *, sum(sure) OVER (PARTITION BY {key} ORDER BY n) AS run FROM q), rj AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key}, run ORDER BY n) AS j FROM rn),
+cf AS (SELECT {key}, run, j, 0 AS cue, length(word) AS chars, s AS began FROM rj WHERE j = 1 UNION ALL
+SELECT r.{key}, r.run, r.j, CASE WHEN full_ THEN f.cue + 1 ELSE f.cue END, CASE WHEN full_ THEN length(r.word) ELSE f.chars + 1 + length(r.word) END, CASE WHEN full_ THEN r.s ELSE f.began END
+FROM (SELECT f.*, f.j + 1 AS nj FROM cf f) f JOIN rj r ON r.{key} = f.{key} AND r.run = f.run AND r.j = f.nj, LATERAL (SELECT f.chars + 1 + length(r.word) > 84 OR r.e - f.began > 7 AS full_)),
+cg AS (SELECT {key}, run, cue, min(s) AS start, max_by(e, j) AS last, string_agg(word, ' ' ORDER BY j) AS text, bool_or(coalesce(p, 1) < 0.6) AS low_confidence FROM cf JOIN rj USING ({key}, run, j) GROUP BY ALL),
+cues AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY run, cue) AS cue, start, coalesce(greatest(least(greatest(last, start + 1), lead(start) OVER (PARTITION BY {key} ORDER BY run, cue)), start + 0.05), greatest(last, start + 1)) AS "end", text, low_confidence FROM cg)"""
+
+
+_cue_words = f"""{SEGMENTS}, {_word_rows}, cw AS (SELECT doc_id, (pos, k) AS o, word, round(line_start + k * ((line_end - line_start) / n), 6) AS s, round(line_start + (k + 1) * ((line_end - line_start) / n), 6) AS e, (doc_id * 31 + pos * 17 + k) % 100 / 100::DOUBLE AS p FROM w)"""
+_cues = f"WITH RECURSIVE {_cue_words}, {_sql_cues('cw', 'doc_id')}"
+_stamp = lambda c: f"format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', round({c} * 1000)::BIGINT // 3600000, round({c} * 1000)::BIGINT // 60000 % 60, round({c} * 1000)::BIGINT // 1000 % 60, round({c} * 1000)::BIGINT % 1000)"
 ORACLE_SQL = {
+    "cues": f"""{_cues} SELECT doc_id, cue, round(start, 3) AS start, round("end", 3) AS "end", length(text) AS n_chars, low_confidence FROM cues""",
+    "flagged_cues": f"{_cues} SELECT doc_id, count(*) AS n_cues, count(*) FILTER (low_confidence) AS n_flagged FROM cues GROUP BY 1",
     "scenes_split": f"""WITH {SCENES} SELECT doc_id, round(min(start), 2) AS start, round(max("end"), 2) AS "end", round(max("end") - min(start), 2) AS duration, count(*) AS n_lines, (sum(length(text)) + count(*) - 1)::BIGINT AS n_chars FROM n GROUP BY doc_id, scene HAVING max("end") - min(start) >= 10""",
     "scene_rows": f"WITH {SCENES} SELECT doc_id, pos, scene FROM n",
     "karaoke": f"""WITH {SEGMENTS}, {_word_rows}, v AS (SELECT doc_id, pos, k AS event, k // 3 AS "group", k * ((line_end - line_start) / n) AS start, (k + 1) * ((line_end - line_start) / n) AS "end", list(replace(upper(word), 'ẞ', 'SS')) OVER (PARTITION BY doc_id, pos, k // 3 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS al FROM w)
@@ -317,9 +343,15 @@ SELECT t.doc_id, t.k, t.n, CASE WHEN t.n > 60 OR f.held + t.n > 60 THEN f.after
  CASE WHEN t.n > 60 THEN f.after + (t.n + 59) // 60 WHEN f.held + t.n > 60 THEN f.after + 1 ELSE f.after END FROM f JOIN t ON t.doc_id = f.doc_id AND t.k = f.k + 1),
 x AS (SELECT doc_id, chunk + unnest(range(after - chunk + 1)) AS chunk, unnest(CASE WHEN n > 60 THEN list_transform(range(after - chunk + 1), lambda i: least(60, n - i * 60)) ELSE [n] END) AS n FROM f)
 SELECT doc_id, chunk::BIGINT AS chunk, count(*) AS n, sum(n)::BIGINT AS n_tokens FROM x GROUP BY 1, 2""",
-    "clip_manifest": f"""WITH {SEGMENTS}, {_word_rows}, clips AS (SELECT doc_id, pos, text, start + 0.75 AS start, "end" - 0.125 AS "end" FROM seg WHERE pos % 3 = 0), ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM clips WHERE "end" > start),
-ws AS (SELECT doc_id, line_start + k * ((line_end - line_start) / n) AS s, line_start + (k + 1) * ((line_end - line_start) / n) AS e FROM w), m AS (SELECT ok.doc_id, ok.pos, count(*) AS n_words FROM ok JOIN ws ON ws.doc_id = ok.doc_id AND s < "end" AND e > start GROUP BY 1, 2)
-SELECT doc_id, pos, rank, start, "end", round("end" - start, 2) AS duration, format('clip_{{:02d}}_{{}}s_', rank, CAST(floor(start * 10 + 0.5) / 10 AS DECIMAL(18, 1))::VARCHAR) || CASE WHEN {_name} = '' THEN 'clip' ELSE {_name} END || '.mp4' AS file, 0.35::DOUBLE AS volume, coalesce(n_words, 0) AS n_words FROM ok LEFT JOIN m USING (doc_id, pos)""",
+    "clip_manifest": f"""WITH RECURSIVE {SEGMENTS}, {_word_rows}, ok AS (SELECT doc_id, pos, text, start + 0.75 AS start, "end" - 0.125 AS "end", row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM seg WHERE "end" - 0.125 > start + 0.75),
+ws AS (SELECT doc_id, round(line_start + k * ((line_end - line_start) / n), 6) AS s, round(line_start + (k + 1) * ((line_end - line_start) / n), 6) AS e, word FROM w),
+met AS MATERIALIZED (SELECT (ok.doc_id, ok.pos) AS clip, s, e, word, ok.start, ok."end" FROM ok JOIN ws ON ws.doc_id = ok.doc_id AND s < ok."end" AND e > ok.start),
+m AS (SELECT clip, count(*) AS n_words, string_agg(round(s * 1e6)::BIGINT || ':' || round(e * 1e6)::BIGINT || ':' || word, ' ' ORDER BY s, e, word) AS listed FROM met GROUP BY 1),
+vis AS (SELECT clip, word, round(greatest(s, start) - start, 3) AS s, round(least(e, "end") - start, 3) AS e FROM met WHERE e <= s OR (least(e, "end") - greatest(s, start)) / (e - s) >= 0.5),
+cw AS (SELECT clip, (s, e, word) AS o, word, s, e, NULL::DOUBLE AS p FROM vis), {_sql_cues('cw', 'clip')},
+x AS (SELECT clip, string_agg(cue || ' ' || {_stamp('start')} || ' --> ' || {_stamp('"end"')} || ' ' || text, '  ' ORDER BY cue) || ' ' AS srt FROM cues GROUP BY 1)
+SELECT doc_id, pos, rank, ok.start, ok."end", round(ok."end" - ok.start, 2) AS duration, format('clip_{{:02d}}_{{}}s_', rank, CAST(floor(ok.start * 10 + 0.5) / 10 AS DECIMAL(18, 1))::VARCHAR) || CASE WHEN {_name} = '' THEN 'clip' ELSE {_name} END || '.mp4' AS file, 'talk ' || doc_id || '.v2' AS name, CASE WHEN pos % 2 = 0 THEN 'relevancy' ELSE 'combined' END AS category, 0.35::DOUBLE AS volume,
+coalesce(n_words, 0) AS n_words, md5(coalesce(listed, '')) AS words_md5, md5(srt) AS srt_md5 FROM ok LEFT JOIN m ON m.clip = (doc_id, pos) LEFT JOIN x ON x.clip = (doc_id, pos)""",
     "merge_manifest": f"""WITH {SEGMENTS}, {_clips}, {_placed} SELECT doc_id, 'doc' || doc_id || '_merged' AS name, count(*) AS clip_count, round(sum("end" - start), 3) AS total, max("offset") AS last_offset FROM placed GROUP BY doc_id""",
     "composition_words": f"""WITH {SEGMENTS}, {_clips}, {_placed} SELECT p.doc_id, p.pos, s.pos AS line, round("offset" + s.start + 0.25 - p.start, 6) AS start, round("offset" + s."end" + 0.25 - p.start, 6) AS "end" FROM placed p JOIN seg s ON s.doc_id = p.doc_id AND s.start + 0.25 < p."end" AND s."end" + 0.25 > p.start""",
     "clip_beds": f"WITH {SEGMENTS}, {_clips}, {_beds} SELECT doc_id, pos, start, volume FROM clips LEFT JOIN beds USING (doc_id, pos)",
@@ -337,13 +369,14 @@ z AS (SELECT recording_id % 100 AS recording_id, sum("end" - start) AS b FROM sp
     "rejected_counts": f"{_SANITIZED_SQL} SELECT reason, count(*) AS n FROM san WHERE reason IS NOT NULL GROUP BY 1",
     "words_of_kept": f"{_SANITIZED_SQL} SELECT transcript_id, count(*) AS n_words FROM san WHERE reason IS NULL GROUP BY 1",
     "emotions": """WITH p AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'joy' WHEN 'purchase' THEN 'surprise' WHEN 'error' THEN 'anger' WHEN 'view' THEN 'neutral' ELSE 'fear' END AS emotion FROM events), n AS (SELECT user_id, emotion, count(*) AS n, CASE emotion WHEN 'joy' THEN 0.8 WHEN 'surprise' THEN 0.4 WHEN 'anger' THEN -0.6 WHEN 'neutral' THEN 0 ELSE -0.7 END::DOUBLE AS v, CASE emotion WHEN 'joy' THEN 0.6 WHEN 'surprise' THEN 0.7 WHEN 'neutral' THEN 0 ELSE 0.8 END::DOUBLE AS a FROM p GROUP BY 1, 2),
-m AS (SELECT user_id, round(sum(n * v) / sum(n), 9) AS valence, round(sum(n * a) / sum(n), 9) AS arousal, max((n, emotion))[2] AS dominant, sum(n) AS k FROM n GROUP BY 1)
-SELECT user_id, valence, arousal, dominant, CASE WHEN abs(valence) < 0.15 AND abs(arousal) < 0.2 THEN 'calm, neutral, understated' WHEN valence >= 0 AND arousal >= 0 THEN 'bright, uplifting, hopeful' WHEN valence >= 0 THEN 'warm, gentle, peaceful' WHEN arousal >= 0 THEN 'dark, tense, suspenseful, dissonant' ELSE 'somber, melancholic, hollow' END
+m AS (SELECT user_id, round(sum(n * v) / sum(n), 9) AS valence, round(sum(n * a) / sum(n), 9) AS arousal, min((-n, emotion))[2] AS dominant, sum(n) AS k FROM n GROUP BY 1),
+h AS (SELECT user_id, string_agg(emotion || '=' || round(round(n / k::DOUBLE, 3) * 1000)::INT, ',' ORDER BY emotion) AS scores FROM n JOIN m USING (user_id) GROUP BY 1)
+SELECT user_id, valence, arousal, dominant, scores, CASE WHEN abs(valence) < 0.15 AND abs(arousal) < 0.2 THEN 'calm, neutral, understated' WHEN valence >= 0 AND arousal >= 0 THEN 'bright, uplifting, hopeful' WHEN valence >= 0 THEN 'warm, gentle, peaceful' WHEN arousal >= 0 THEN 'dark, tense, suspenseful, dissonant' ELSE 'somber, melancholic, hollow' END
  || ' instrumental background music, ' || CASE WHEN valence >= 0.15 THEN 'major key' WHEN valence <= -0.15 THEN 'minor key' ELSE 'modal' END || ', ' || CASE WHEN arousal >= 0.5 THEN 'energetic and driving, around 120 BPM' WHEN arousal <= -0.1 THEN 'slow and sparse, around 60 BPM, ambient' ELSE 'moderate tempo, around 90 BPM' END || ', cinematic underscore, no vocals' AS prompt,
- floor(least(15.0::DOUBLE, greatest(2.0::DOUBLE, k / 10.0::DOUBLE)) * 50)::BIGINT AS tokens FROM m""",
+ floor(least(15.0::DOUBLE, greatest(2.0::DOUBLE, k / 10.0::DOUBLE)) * 50)::BIGINT AS tokens FROM m JOIN h USING (user_id)""",
     "decisions": """WITH a AS (SELECT event_id, value, CASE WHEN value / 15 >= 20 THEN 0 WHEN value / 15 >= 10 THEN 1 ELSE 2 END AS s, CASE WHEN event_id % 10 / 10.0::DOUBLE < 0.3 THEN 0 WHEN event_id % 10 / 10.0::DOUBLE < 0.6 THEN 1 ELSE 2 END AS f, 0.5 * pow(10, (-23 + value / 10) / 20) > 0.99 AS limited FROM events), b AS (SELECT *, CASE WHEN s >= 1 AND f >= 1 THEN least(greatest(s, f) + 1, 2) ELSE greatest(s, f) END AS k FROM a)
 SELECT event_id, k > 0 AS should_denoise, ['none', 'mild', 'strong'][1 + k] AS strength, event_id % 7 / 500.0::DOUBLE > 0.005 AS clipping, true AS applied, limited, round(CASE WHEN limited THEN 20 * log10(0.99 / 0.5::DOUBLE) ELSE -23 + value / 10 END, 6) AS gain_db FROM b""",
-    "vectors": "WITH e AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS x FROM embeddings) SELECT vec_id, (list_position(x, list_max(x)) - 1)::BIGINT AS best, round(exp(x[1] - list_max(x)) / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS p0, 1.0::DOUBLE AS size FROM e",
+    "vectors": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, (list_position(x, list_max(x)) - 1)::BIGINT AS best, round(exp(x[1] - list_max(x)) / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS p0, 1.0::DOUBLE AS size FROM e",
     "normalized_peaks": f"WITH e AS ({_ev}), t AS (SELECT recording_id, max(abs(x)) AS top FROM e GROUP BY 1) SELECT recording_id, round(max(x / (top + 1e-9) * 0.9), 6) AS top, round(sum(x / (top + 1e-9) * 0.9), 4) AS total FROM e JOIN t USING (recording_id) GROUP BY 1",
     "levelled": f"""WITH f AS (SELECT recording_id, frame_no, max(x) AS top, least(0.95 / max(x), 10) AS raw FROM ({_ev}) GROUP BY 1, 2), l AS (SELECT *, lag(raw) OVER w AS p, lead(raw) OVER w AS q FROM f WINDOW w AS (PARTITION BY recording_id ORDER BY frame_no)),
 g AS (SELECT *, (raw + exp(-3.125::DOUBLE) * (coalesce(p, 0) + coalesce(q, 0))) / (1 + exp(-3.125::DOUBLE) * ((p IS NOT NULL)::INT + (q IS NOT NULL)::INT)) AS gain FROM l) SELECT recording_id, frame_no, round(gain, 6) AS gain, round(top * gain, 3) AS top FROM g""",
@@ -359,4 +392,4 @@ SELECT label, round(avg(d), 6) AS lip_motion, CASE WHEN avg(d) IS NULL THEN 'no_
     "look_times": f"""WITH {ISLANDS}, s AS (SELECT recording_id, start, floor(start) % 11 AS d, greatest(2, least(40, floor((start + floor(start) % 11 - start) * 5)::INT)) AS n FROM span) SELECT recording_id, start, round(start + k * ((start + d) - start) / (n - 1), 6) AS t FROM (SELECT *, unnest(range(n)) AS k FROM s)""",
     "span_seconds": """SELECT user_id AS recording_id, round(event_id / 1000::DOUBLE, 3) AS start, round((event_id * 16 + 4000) / 16000::DOUBLE, 3) AS "end" FROM events""",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "cues", "flagged_cues", "ass_documents", "summaries"]}
+QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "ass_documents", "summaries"]}

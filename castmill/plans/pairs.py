@@ -78,6 +78,15 @@ def wer_report(spark, d):
     return P.wer_report(P.error_rates(user_pairs(spark, d)), "conv_id").select("conv_id", F.round("wer_hits", 6).alias("wer_hits"), F.round("wer", 6).alias("wer"))
 
 
+def word_edits(spark, d):
+    """Least edits of each pair and of each conversation's pairs together (turn null)."""
+    rates = P.error_rates(user_pairs(spark, d))
+    edits = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    each = rates.groupBy("conv_id", "turn").agg(F.sum(edits).alias("edits"), F.sum("n_reference").alias("n_reference"))
+    total = P.wer_report(rates, "conv_id").join(rates.groupBy("conv_id").agg(F.sum(edits).alias("edits"), F.sum("n_reference").alias("n_reference")), "conv_id")
+    return each.select("conv_id", "turn", "edits", "n_reference", F.round(F.try_divide("edits", "n_reference"), 6).alias("wer")).union(total.select("conv_id", F.lit(None), "edits", "n_reference", F.round("wer", 6)))
+
+
 def _rouge(n):
     def rouge(spark, d):
         return P.rouge_n(user_pairs(spark, d), ["conv_id", "turn"], n).select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -118,8 +127,7 @@ def rank_viral(spark, d, k: int = 5):
 _time = lambda c: f"format('{{:02d}}:{{:02d}}:{{:02d}},000', {c}::BIGINT // 3600, {c}::BIGINT // 60 % 60, {c}::BIGINT % 60)"
 QUERIES = {
     "requests": requests, "reject_counts": reject_counts, "search_lines": search_lines, "nested_words": nested_words, "aligned_turns": aligned_turns,
-    "char_errors": char_errors, "word_errors": word_errors, "wer_report": wer_report, "rouge1": _rouge(1), "rouge2": _rouge(2),
-    "char_errors_whole": char_errors, "rouge1_whole": _rouge(1), "rouge2_whole": _rouge(2),
+    "char_errors": char_errors, "word_errors": word_errors, "wer_report": wer_report, "word_edits": word_edits, "rouge1": _rouge(1), "rouge2": _rouge(2),
     "source_table": source_table, "srt": srt, "rank_viral": rank_viral,
 }
 ORACLE_SQL = {
@@ -132,10 +140,14 @@ j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pos, b.pos) A
 c AS (SELECT *, count(n_reference) OVER (PARTITION BY conv_id) AS n_left, count(n_hypothesis) OVER (PARTITION BY conv_id) AS n_right FROM j)
 SELECT *, CASE WHEN n_left <> n_right THEN 'unequal_counts' END AS reason FROM c""",
     "char_errors": f"WITH {PAIRS} SELECT conv_id, turn, levenshtein(reference, hypothesis)::BIGINT AS edits, round(levenshtein(reference, hypothesis) / nullif(length(reference), 0)::DOUBLE, 6) AS cer FROM p",
+    # A row of the edit table is a list; a running minimum stands for the insertions.
+    "word_edits": f"""WITH RECURSIVE {PAIRS}, l AS (SELECT conv_id, turn, list_filter(string_split(reference, ' '), lambda w: w <> '') AS a, list_filter(string_split(hypothesis, ' '), lambda w: w <> '') AS b FROM p),
+d AS (SELECT conv_id, turn, 0::BIGINT AS i, range(0, len(b) + 1) AS r FROM l UNION ALL SELECT conv_id, turn, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_min(adj[1:j]) + j) FROM (SELECT d.*, b, list_transform(list_prepend(i + 1, list_transform(range(1, len(b) + 1), lambda j: least(r[j + 1] + 1, r[j] + CASE WHEN b[j] = a[i + 1] THEN 0 ELSE 1 END))), lambda v, k: v - k) AS adj FROM d JOIN l USING (conv_id, turn) WHERE i < len(a))),
+c AS (SELECT conv_id, turn, len(a) AS n, r[-1] AS e FROM d JOIN l USING (conv_id, turn) WHERE i = len(a))
+SELECT conv_id, turn, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS n_reference, round(sum(e) / nullif(sum(n), 0)::DOUBLE, 6) AS wer FROM c GROUP BY GROUPING SETS ((conv_id, turn), (conv_id))""",
     "rouge1": _sql_rouge(1),
     "rouge2": _sql_rouge(2),
     "source_table": r"SELECT source, round(avg(length(coalesce(text, ''))), 4) AS chars, round(avg(len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> ''))), 4) AS words, round(avg(contains(coalesce(text, ''), '?')::INT), 4) AS asks FROM documents GROUP BY source",
     "srt": f"""WITH {SEGMENTS}, c AS (SELECT doc_id, pos, concat_ws(chr(10), row_number() OVER (PARTITION BY doc_id ORDER BY pos)::VARCHAR, {_time("start")} || ' --> ' || {_time('"end"')}, text) AS cue FROM seg) SELECT doc_id, md5(string_agg(cue, chr(10) || chr(10) ORDER BY pos)) AS srt_md5, count(*) AS n_cues FROM c GROUP BY doc_id""",
     "rank_viral": rf"""WITH {SEGMENTS}, s AS (SELECT doc_id, pos, round(length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) / greatest(length(text), 1)::DOUBLE, 4) AS score FROM seg WHERE contains(text, '!') OR contains(text, '?')) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank, pos, score FROM s QUALIFY rank <= 5""",
 }
-ORACLE_SQL |= {f"{n}_whole": ORACLE_SQL[n] for n in ("char_errors", "rouge1", "rouge2")}

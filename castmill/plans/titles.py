@@ -38,6 +38,12 @@ def split_overlaps(spark, d):
     return V.split_overlaps(V.stratified_split(labelled(spark, d))).select("video_id")
 
 
+def split_coverage(spark, d):
+    """Rows of all, of the splits, in several of them, and in none or unknown to all."""
+    rows = written(labelled(spark, d))
+    return V.split_coverage(V.stratified_split(rows), rows)
+
+
 def usable_articles(spark, d, limit: int = 50):
     """The first documents that have a text and a source other than src3."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("article"), F.when(F.col("source") != "src3", F.col("source")).alias("highlights"))
@@ -104,7 +110,7 @@ SCORED = f"""{EMBEDDED}, ex AS (SELECT doc_id, unnest(range(1, 65)) AS i, unnest
 sc AS (SELECT doc_id, pos, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(vec, summary))), 4) AS relevancy, (contains(text, '?') OR contains(text, '!'))::INT AS viral_label, round({_upper}, 4) AS viral_score FROM emb JOIN mean USING (doc_id))"""
 _label = "CASE WHEN viral_score >= 0.75 THEN 1 WHEN viral_score <= 0.25 THEN 0 END"
 _place = lambda c: f"row_number() OVER (PARTITION BY doc_id ORDER BY {c} DESC, pos)"
-_emoji = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
+_emoji = r"[\x{10000}-\x{10FFFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}]"
 
 ORACLE_SQL = {
     "bottom_titles": f"WITH {LABELLED} SELECT video_id, title, round(viral_score, 6) AS viral_score FROM scored ORDER BY scored.viral_score, category, video_id LIMIT 5",
@@ -112,6 +118,7 @@ ORACLE_SQL = {
     "published_titles": f"WITH {SNAPSHOTS} SELECT video_id, arg_max(published, (CASE WHEN views IS NULL THEN 1 ELSE 0 END, coalesce(views, 0), country, published)) AS published FROM snap GROUP BY 1",
     "detector_rows": f"WITH {LABELLED} SELECT video_id, {_label} AS viral_label FROM scored WHERE {_label} IS NOT NULL",
     "split_overlaps": "SELECT l_partkey AS video_id FROM lineitem WHERE false",
+    "split_coverage": f"WITH {LABELLED} SELECT count(*) AS n_all, count(DISTINCT video_id) AS n_split, 0::BIGINT AS n_overlap, 0::BIGINT AS n_missing, 0::BIGINT AS n_foreign FROM scored",
     "usable_articles": "SELECT doc_id AS id, source AS highlights FROM documents WHERE trim(coalesce(text, '')) <> '' AND source <> 'src3' ORDER BY doc_id LIMIT 50",
     "relevant_lines": f"WITH {SCORED} SELECT doc_id, {_place('relevancy')} AS rank, pos, relevancy FROM sc QUALIFY rank <= 3",
     "highlight_lists": f"WITH {SCORED}, n AS (SELECT doc_id, count(*) AS line_count FROM sc GROUP BY 1), l AS (SELECT doc_id, 'relevant' AS list, {_place('relevancy')} AS rank, pos FROM sc UNION ALL SELECT doc_id, 'viral', {_place('viral_score')}, pos FROM sc WHERE viral_label = 1) SELECT doc_id, list, rank, pos, line_count FROM l JOIN n USING (doc_id) WHERE rank <= 3",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEGMENT = "id bigint, start double, end double, text string"
-WORD = "segment_id bigint, word string, start double, end double, probability double"
 CLIP = "start double, end double, duration double, text string, relevancy_score double, viral_label int, viral_score double, combined_score double"
 
 # Media kinds by extension.
@@ -46,7 +45,11 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    return _json_rows(spark, path, WORD, "_transcript_words")
+    """One array of words a file; a file without words is an error, raised when rows are read."""
+    words = T.ArrayType(T.StructType([T.StructField(*f) for f in (("segment_id", T.LongType()), ("word", T.StringType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("probability", T.DoubleType()))]))
+    files = spark.read.text(path, wholetext=True).select(stem("_metadata.file_name", "_transcript_words").alias("transcript_id"), F.from_json("value", words).alias("_w"))
+    none = F.raise_error(F.concat(F.col("transcript_id"), F.lit(" contains no words")))
+    return files.select("transcript_id", F.inline(F.when(F.size("_w") > 0, F.col("_w")).otherwise(none.cast(words))))
 
 
 def read_vad(spark: SparkSession, path: str) -> DataFrame:
