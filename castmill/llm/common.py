@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths that durable tables took, one list for each open `scratch`.
+_open: list[list[str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs nothing written."""
     path = f"{shared_dir(df.sparkSession)}/castmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Durable tables made inside are deleted at the end, but for those given to the function that this yields.
+
+    What still reads a table mustn't be used after it: results leave as durable tables of their own, or as numbers."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.written_at)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        made = _open.pop()
+        for path in made:
+            if path in kept:
+                if _open:
+                    _open[-1].append(path)
+            else:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

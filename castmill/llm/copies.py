@@ -4,12 +4,12 @@ Texts are sets of XXH64 hashes of their WIDTH-word shingles; equal word sequence
 SimHash fingerprints are compared by the tiled exact comparison of `simhash`, within RADIUS bits. Copies of Jaccard
 0.8 differ in about ten bits of 64, where population counts skip nothing and the comparison would be quadratic;
 so classes also fall into BANDS buckets, each keyed by the ROWS smallest values of seeded hashes: two classes
-of Jaccard j share a bucket with probability 1 - (1 - j^ROWS)^BANDS (0.9998 at 0.8). Each member of a bucket is proposed to the leader of it, the member that
-meets most others over all its buckets (an original meets more than its copies do). Then buckets of at most
-SMALL members propose all pairs that aren't yet connected, and larger ones leaders drawn anew, until a round
-connects nothing. So rows grow with the members, never with their square; in a larger bucket a pair that meets
-no common leader can be missed. Any proposed pair becomes a link only where the Jaccard of the whole sets is
-at least LEAST.
+of Jaccard j share a bucket with probability 1 - (1 - j^ROWS)^BANDS (0.9998 at 0.8). Each member of a bucket is proposed
+to the leader of it, the member that meets most others over all its buckets (an original meets more than its copies
+do). Then buckets of at most SMALL members propose all pairs that aren't yet connected. The members of larger buckets
+that still hold several components are joined by prefix filtering instead, which loses no pair and makes none of texts
+that share frequent shingles alone. So there are three rounds, whatever the input. Any proposed pair becomes a link only
+where the Jaccard of the whole sets is at least LEAST.
 
 Null and empty texts are one class; texts under WIDTH words are one shingle; rows without an id share the
 component of their class; repeated rows each get a row; an empty table gives an empty result. Only the id and
@@ -22,10 +22,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, texts
+from .common import durable, scratch, texts
 from .graph import connected_components
 from .parts import slices
 from .simhash import RADIUS, bits_of, links
@@ -89,9 +89,38 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
+def _shingles(batches, width: int):
+    for b in slices(batches, 128):
+        sets = [shingle_set(t, width)[1] for t in b.column("text").to_pylist()]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        h = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+        size = np.array([len(x) for x in sets], np.int64)[at]
+        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), b.column("root").take(pa.array(at)), pa.array(size), pa.array(h)], ["key", "root", "size", "h"])
+
+
+def prefix_pairs(crowd: DataFrame, width: int, least: float) -> DataFrame:
+    """a, b: of rows key, root, text the pairs of different roots that can reach the Jaccard, by prefix filtering.
+
+    Shingles are ranked by how few of the rows have them. Two sets of this Jaccard share a shingle among the
+    n - ceil(least n) + 1 rarest of each, and their sizes differ by no more than the Jaccard; so no pair is lost."""
+    each = durable(crowd.mapInArrow(partial(_shingles, width=width), "key long, root long, size long, h long"))
+    known = each.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("n", "h"))
+    first = each.join(known, "h").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1)
+    first = first.where("low <> high").select("h", "key", "root", "size")
+    other = first.select("h", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    met = first.join(other, "h").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    return met.where(F.least("size", "size_b") >= least * F.greatest("size", "size_b")).select(F.col("key").alias("a"), "b").distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """doc_id, text_key (XXH64 of the text), key, root (the component's), component_id (smallest doc_id reachable over links of at least this Jaccard)."""
-    rows = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(durable(_near_copies(docs, id_col, text_col, width, least)))
+
+
+def _near_copies(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    spark, rows = docs.sparkSession, texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     signed = durable(rows.mapInArrow(partial(_sign, width=width), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, key long, fp long, bands array<long>"))
     classes = durable(signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     members = classes.select("key", F.explode("bands").alias("band"))
@@ -102,34 +131,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = signed.select("key", "text_key").join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("text_key"))
     whole = durable(rows.select("text_key", "text").join(small(one), "text_key").groupBy("key").agg(F.first("text").alias("text")))
     side = lambda k, name: whole.select(F.col("key").alias(k), F.col("text").alias(name))
-    verified = lambda pairs: durable(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(partial(_verify, width=width, least=least), "a long, b long"))
-
-    def roots_of(found: DataFrame) -> DataFrame:
-        tops = connected_components(found)
-        return durable(classes.select("key").join(tops, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root")))
-
-    fps = durable(classes.groupBy("fp").agg(F.min("key").alias("lead")))
-    same = classes.join(fps, "fp").where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
-    lead = lambda k: fps.select(F.col("fp").alias(f"fp_{k}"), F.col("lead").alias(k))
-    near = links(fps.select("fp"), RADIUS).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(lead("a"), "fp_a").join(lead("b"), "fp_b").select("a", "b")
-    pairs_before, found, turn = same.union(near), None, 0
-    roots = classes.select("key", F.col("key").alias("root"))
-    while True:
-        now = members.join(roots, "key")
-        order = F.xxhash64("key", "band", F.lit(turn)) if turn else -F.col("met")
-        leaders = now.groupBy("band").agg(F.min(F.struct(order.alias("order"), F.col("key").alias("b"), F.col("root").alias("b_root"))).alias("l")).select("band", "l.b", "l.b_root")
-        pairs = now.where(F.lit(turn == 0) | (F.col("n") > SMALL)).join(leaders, "band").select(F.col("key").alias("a"), "b", "root", "b_root")
-        if turn == 1:
-            few = now.where(F.col("n") <= SMALL)
-            pairs = pairs.union(few.select("band", F.col("key").alias("a"), "root").join(few.select("band", F.col("key").alias("b"), F.col("root").alias("b_root")), "band").select("a", "b", "root", "b_root"))
-        pairs = pairs.where("root <> b_root").select("a", "b")
-        pairs = (pairs if turn else pairs.union(pairs_before)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(pairs)
-        if turn and new.isEmpty():
-            break
-        found, turn = new if found is None else found.union(new), turn + 1
-        roots = roots_of(found)
-    firsts = classes.join(roots, "key").select("key", "first_id", "root")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+        return durable(met.select("a", "b", "x", "y").mapInArrow(partial(_verify, width=width, least=least), "a long, b long"))
+
+    def rooted(found: DataFrame) -> DataFrame:
+        """members with the root of their component so far."""
+        tops = connected_components(found).select(F.col("node").alias("key"), "root")
+        return durable(members.join(small(tops), "key", "left").withColumn("root", F.coalesce("root", "key")))
+
+    with scratch(spark) as keep:
+        fps = durable(classes.groupBy("fp").agg(F.min("key").alias("lead")))
+        same = classes.join(fps, "fp").where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
+        lead = lambda k: fps.select(F.col("fp").alias(f"fp_{k}"), F.col("lead").alias(k))
+        near = links(fps.select("fp"), RADIUS).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(lead("a"), "fp_a").join(lead("b"), "fp_b").select("a", "b")
+        leaders = members.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("order"), F.col("key").alias("b"))).alias("l")).select("band", "l.b")
+        to_leader = members.join(leaders, "band").where("key <> b").select(F.col("key").alias("a"), "b")
+        found = keep(verified(same.union(near).union(to_leader)))
+    with scratch(spark) as keep:
+        now = rooted(found)
+        few = now.where(F.col("n") <= SMALL)
+        both = few.select("band", F.col("key").alias("a"), "root").join(few.select("band", F.col("key").alias("b"), F.col("root").alias("root_b")), "band")
+        more = keep(verified(both.where("a < b and root <> root_b").select("a", "b")))
+    found = found.union(more)
+    with scratch(spark) as keep:
+        now = rooted(found).where(F.col("n") > SMALL)
+        mixed = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+        crowd = durable(now.join(mixed, "band", "left_semi").select("key", "root").distinct())
+        if not crowd.isEmpty():
+            found = found.union(keep(verified(prefix_pairs(whole.join(crowd, "key"), width, least))))
+    tops = connected_components(found).select(F.col("node").alias("key"), "root")
+    firsts = classes.select("key", "first_id").join(small(tops), "key", "left").withColumn("root", F.coalesce("root", "key"))
     low = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return signed.select("doc_id", "text_key", "key").join(firsts.join(low, "root").select("key", "root", "component_id"), "key").select("doc_id", "text_key", "key", "root", "component_id")
 

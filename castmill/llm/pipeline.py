@@ -9,7 +9,7 @@ texts are one group of copies. Ties of the smallest id go by the text's hash. Co
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, scratch, table
 from .copies import one_of_each_group
 from .packing import pack
 from .quality import keep_good
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = keep(durable(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,8 @@ The text view has the words of the text and what kinds of tokens it is made of;
 alone: language, source and size. Each view is a logistic model, first fitted on at most MAX_LABELLED
 labelled documents. Then, over ROUNDS rounds, every other document of the corpus is scored by both
 views; of each view the SHARE it is surest of (at least SURE log odds) get its verdict as pseudo-label, by
-cutoffs on a histogram of all scores, and teach the other view. So pseudo-labelled rows grow with the input:
+cutoffs on a histogram of all scores, and teach the other view; a view that isn't so sure of rows of both classes
+teaches nothing in that round. So pseudo-labelled rows grow with the input:
 they are dealt over tasks of about ROWS_A_TASK rows, each task fits on the labelled sample and its own rows,
 and the fits are averaged by rows. Both views are then calibrated on a labelled holdout (every fourth
 labelled row); as the views are taken to be independent given the class, the calibrated log odds are added
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, scratch, table
 from .models import TOKEN, Features, Sparse, fit_logistic, fit_platt, sample_rows, sigmoid
 from .parts import slices
 
@@ -50,9 +51,9 @@ def text_view(text: str) -> set[str]:
 
 
 def page_view(lang, source, n_chars) -> list[int]:
-    """Hashed metadata: language, source, size, and language with size."""
+    """Hashed metadata: language, source, size, and these two and three together."""
     size = int(n_chars or 0).bit_length()
-    raw = [f"lang={lang}", f"source={source}", f"chars={size}", f"lang={lang}&chars={size}"]
+    raw = [f"lang={lang}", f"source={source}", f"chars={size}", f"lang={lang}&chars={size}", f"lang={lang}&source={source}", f"source={source}&chars={size}", f"lang={lang}&source={source}&chars={size}"]
     return sorted({crc32(x.encode()) % PAGE for x in raw})
 
 
@@ -93,15 +94,18 @@ def _fit_share(batches, rows: list, y: np.ndarray, start: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at] * len(more))], ["at", "w"])
 
 
-def _cutoffs(scored: DataFrame, name: str, share: float, good: float) -> tuple[float, float]:
-    """Log odds below the one and from the other on belong to the surest share of all rows, bad and good in proportion."""
+def _cutoffs(scored: DataFrame, name: str, share: float, good: float) -> tuple[float, float] | None:
+    """Log odds below the one and from the other on belong to the surest share of all rows, bad and good in proportion, and to SURE at least.
+
+    None where the view is so sure of rows of one class alone, or of none: it would teach that class whatever it sees."""
     bins = scored.groupBy(F.floor(F.col(name) / BIN).alias("bin")).count().orderBy("bin").collect()  # as many rows as scores have bins
     if not bins:
-        return -SURE, SURE
+        return None
     at, n = np.array([r["bin"] for r in bins], float), np.cumsum([r["count"] for r in bins])
-    low = at[np.searchsorted(n, n[-1] * share * (1 - good))]
+    low = at[np.searchsorted(n, n[-1] * share * (1 - good))] + 1
     high = at[min(len(at) - 1, np.searchsorted(n, n[-1] * (1 - share * good)))]
-    return min(low * BIN, -SURE), max(high * BIN, SURE)
+    low, high = min(low * BIN, -SURE), max(high * BIN, SURE)
+    return (low, high) if (at[0] + 1) * BIN <= low and at[-1] * BIN >= high else None
 
 
 def _calibrate(views: list, widths: list[int], models: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
@@ -128,22 +132,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, rounds: in
     models = [fit_logistic(Sparse(v, w), y[~held]) for v, w in zip(train, widths)]
     plates = _calibrate(views, widths, models, y, held)
 
-    # The ids of the sample, at most `most`, go with the function; so no text is shuffled.
-    pool = docs.select("doc_id", *COLUMNS).mapInArrow(partial(_views, vocab=vocab, sample={r["doc_id"] for r in rows}), "words array<int>, page array<int>")
-    pool = durable(pool)
-    for _ in range(rounds):
-        scored = durable(pool.mapInArrow(partial(_scores, models=models, plates=plates), "words array<int>, page array<int>, o_words double, o_page double"))
-        taught = list(models)
-        for k, (feature, teacher) in enumerate((("words", "o_page"), ("page", "o_words"))):
-            low, high = _cutoffs(scored, teacher, SHARE, y.mean())
-            sure = scored.where((F.col(teacher) < low) | (F.col(teacher) >= high)).select(feature, (F.col(teacher) > 0).cast("int").alias("y"))
-            if n := sure.count():
-                own = sure.repartition(1 + n // ROWS_A_TASK).mapInArrow(partial(_fit_share, rows=train[k], y=y[~held], start=models[k]), "at int, w double")
-                taught[k] = np.zeros_like(models[k])
-                for r in own.groupBy("at").agg(F.sum("w").alias("w")).collect():  # at most a row a feature
-                    taught[k][r["at"]] = r["w"] / n
-        models = taught
-        plates = _calibrate(views, widths, models, y, held)
+    with scratch(docs.sparkSession):
+        # The ids of the sample, at most `most`, go with the function; so no text is shuffled.
+        pool = docs.select("doc_id", *COLUMNS).mapInArrow(partial(_views, vocab=vocab, sample={r["doc_id"] for r in rows}), "words array<int>, page array<int>")
+        pool = durable(pool) if rounds else pool
+        for _ in range(rounds):
+            with scratch(docs.sparkSession):
+                scored = durable(pool.mapInArrow(partial(_scores, models=models, plates=plates), "words array<int>, page array<int>, o_words double, o_page double"))
+                taught = list(models)
+                for k, (feature, teacher) in enumerate((("words", "o_page"), ("page", "o_words"))):
+                    cut = _cutoffs(scored, teacher, SHARE, y.mean())
+                    if cut is None:
+                        continue
+                    sure = scored.where((F.col(teacher) < cut[0]) | (F.col(teacher) >= cut[1])).select(feature, (F.col(teacher) > 0).cast("int").alias("y"))
+                    n = sure.count()
+                    own = sure.repartition(1 + n // ROWS_A_TASK).mapInArrow(partial(_fit_share, rows=train[k], y=y[~held], start=models[k]), "at int, w double")
+                    taught[k] = np.zeros_like(models[k])
+                    for r in own.groupBy("at").agg(F.sum("w").alias("w")).collect():  # at most a row a feature
+                        taught[k][r["at"]] = r["w"] / n
+                models = taught
+            plates = _calibrate(views, widths, models, y, held)
     prior = y[held].mean() if held.any() else y.mean()
     return {"vocab": vocab, "models": models, "plates": plates, "prior": float(np.log(prior / (1 - prior)))}
 
@@ -163,11 +171,11 @@ def _score(batches, model: dict | None):
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in cols]], ["doc_id", "p_text", "p_page", "p_quality"])
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, p_text, p_page, p_quality, kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", *COLUMNS)
-    return rows.mapInArrow(partial(_score, model=fit(docs, labels)), f"doc_id {kind}, p_text double, p_page double, p_quality double").withColumn("kept", F.col("p_quality") >= 0.5)
+    return rows.mapInArrow(partial(_score, model=fit(docs, labels, rounds=rounds)), f"doc_id {kind}, p_text double, p_page double, p_quality double").withColumn("kept", F.col("p_quality") >= 0.5)
 
 
 def _keep(batches, model: dict | None):

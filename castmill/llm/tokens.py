@@ -7,7 +7,7 @@ the payload and the dictionary's hash. The dictionary's bytes lie beside the sha
 reader needs; `read_document` finds a shard by its range of ids and unpacks one slice of its payload.
 
 Null and empty texts are their end id alone. Ids may be of any type that Spark sorts; rows without an id
-come first; repeated rows each stay; an empty table gives an empty result. Only the id and text columns
+come first; repeated rows each stay, in the order of their packed ids; an empty table gives an empty result. Only the id and text columns
 are read.
 """
 
@@ -231,7 +231,7 @@ def write_token_shards(docs: DataFrame, path: str | None = None, id_col: str = "
     sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(sha, bytearray(dictionary))], "dictionary_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     coded = durable(rows.mapInArrow(partial(_encoded, name=tokenizer, end_id=end_id, dictionary=dictionary), f"doc_id {kind}, n long, blob binary"))
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "blob")  # rows of one id in an order of their own
     columns = f"part int, shard long, n_docs int, n_tokens long, low {kind}, high {kind}, doc_ids array<{kind}>, lengths array<long>, offsets array<long>, payload binary, dictionary_sha256 string"
     ordered.mapInArrow(partial(_shards, sha=sha), columns).write.parquet(f"{path}/shards")
     return path
