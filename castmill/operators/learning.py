@@ -2,11 +2,11 @@
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import title_flags
+from ..sources.stages import written
+from .metrics import classification_of, ndcg_at_k, ranked
 from .titles import detector_rows
 
 EXTRA = ["title_char_len", "title_word_count", "has_emoji", "has_hashtag", "has_number", "has_question", "has_exclaim", "upper_ratio"]
@@ -74,22 +76,46 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def model_size(model: PipelineModel) -> int:
+    """Numbers that the last stage has learned: coefficients with the intercept, or a split or value for each node of its trees."""
+    last = model.stages[-1]
+    if hasattr(last, "trees"):
+        return sum(t.numNodes for t in last.trees)
+    return last.coefficients.size + 1 if hasattr(last, "coefficients") else getattr(last, "numNodes", 0)
+
+
+def evaluate(scored: DataFrame, k: int = 10) -> DataFrame:
+    """model, then accuracy, f1 and auc of its rows with a label, spearman, mse and ndcg at k of those with a target.
+
+    scored holds all models' rows (model, label, prob, target, pred) in long form; each measure is one aggregate over all of them."""
+    binary = ranked(scored.where("label is not null"), "prob", "model").groupBy("model").agg(*classification_of("label", "prob", "rank_prob"))
+    real = scored.where("target is not null").select("model", "target", "pred")
+    both = ranked(ranked(real, "target", "model"), "pred", "model").groupBy("model").agg(F.corr("rank_target", "rank_pred").alias("spearman"), F.avg(F.pow(F.col("target") - F.col("pred"), 2)).alias("mse"))
+    return binary.join(both.join(ndcg_at_k(real, "model", "target", "pred", k), "model"), "model", "full_outer")
+
+
 def compare_models(train: DataFrame, test: DataFrame, candidates: dict[str, object], k: int = 10) -> DataFrame:
-    """One row a candidate: auc and accuracy of a classifier, or mse of a regression, on test, and seconds of the fit."""
-    spark, rows = train.sparkSession, []
+    """One row a candidate: params, auc, f1 and accuracy of a classifier, or spearman, ndcg and mse of a regression, on test, and seconds of the fit.
+
+    The fits run one after the other; all candidates' scores are then evaluated in one pass."""
+    spark, rows, scores = train.sparkSession, [], []
+    none = F.lit(None).cast("double")
     for name, estimator in candidates.items():
         began = time.time()
         if estimator.getLabelCol() == "viral_label":
             model = train_detector(train, estimator)
-            found = model.transform(engineered(detector_rows(test))).withColumn("label", F.col("viral_label").cast("double"))
-            auc = BinaryClassificationEvaluator(labelCol="label").evaluate(found)
-            accuracy = found.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            rows.append((name, float(auc), float(accuracy), None, time.time() - began))
+            found = model.transform(engineered(detector_rows(test)))
+            own = (F.col("viral_label").cast("double").alias("label"), vector_to_array("probability")[1].alias("prob"), none.alias("target"), none.alias("pred"))
         else:
-            found = score_reranker(train_reranker(train, estimator), test.where("viral_score is not null"))
-            mse = found.agg(F.avg(F.pow(F.col("predicted_score") - F.col("viral_score"), 2))).first()[0]
-            rows.append((name, None, None, float(mse), time.time() - began))
-    return spark.createDataFrame(rows, "model string, auc double, accuracy double, mse double, seconds double").orderBy(F.desc("auc"), "mse")
+            model = train_reranker(train, estimator)
+            found = model.transform(engineered(test.where("viral_score is not null")))
+            own = (none.alias("label"), none.alias("prob"), F.col("viral_score").cast("double").alias("target"), F.col("prediction").alias("pred"))
+        rows.append((name, model_size(model), time.time() - began))
+        scores.append(found.select(F.lit(name).alias("model"), *own))
+    every = written(reduce(DataFrame.unionByName, scores))
+    about = spark.createDataFrame(rows, "model string, params long, seconds double")
+    found = about.join(evaluate(every, k), "model", "left")
+    return found.select("model", "params", "auc", "f1", "accuracy", "spearman", "ndcg", "mse", "seconds").orderBy(F.desc("auc"), F.desc("spearman"), "mse")
 
 
 def batch_scorer(load: Callable[[], Callable[[list[str]], list[tuple[float, int, float]]]], max_tokens: int = 64):

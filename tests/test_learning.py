@@ -40,6 +40,24 @@ def test_detector_reranker_and_comparison(spark, tmp_path):
     assert [r["model"] for r in table][0] in ("logistic", "forest") and len(table) == 4 and all(r["seconds"] > 0 for r in table) and all(r["auc"] > 0.6 if r["mse"] is None else r["mse"] < 0.05 for r in table)
 
 
+def test_evaluation_equals_the_single_measures(spark):
+    """All models in one long table give what each measure gives of one model's rows alone."""
+    draw, rows = random.Random(6), []
+    for name in ("a", "b"):
+        rows += [(name, float(draw.random() < 0.4), draw.choice([0.1, 0.3, 0.5, 0.8]), None, None) for _ in range(60)]
+    for name in ("c", "d"):
+        rows += [(name, None, None, draw.choice([0.0, 0.2, 0.9]), draw.choice([0.1, 0.5, 0.7])) for _ in range(50)]
+    df = spark.createDataFrame(rows, "model string, label double, prob double, target double, pred double")
+    got = {r["model"]: r for r in learning.evaluate(df, 10).collect()}
+    for name in "ab":
+        want = metrics.classification_metrics(df.where(F.col("model") == name)).first()
+        assert all(abs(got[name][c] - want[c]) < 1e-12 for c in ("accuracy", "f1", "auc")) and got[name]["ndcg"] is None
+    for name in "cd":
+        own = df.where(F.col("model") == name)
+        want, gain = metrics.spearman_mse(own, "target", "pred").first(), metrics.ndcg_at_k(own, "model", "target", "pred", 10).first()["ndcg"]
+        assert all(abs(a - b) < 1e-12 for a, b in ((got[name]["spearman"], want["spearman"]), (got[name]["mse"], want["mse"]), (got[name]["ndcg"], gain))) and got[name]["auc"] is None
+
+
 def test_embedding_of_lines(spark):
     rows = learning.embed_text(spark.createDataFrame([(1, "a cat sat"), (2, "a cat sat"), (3, "zebra"), (4, "")], "id int, text string")).collect()
     v = {r["id"]: np.array(r["vec"]) for r in rows}
