@@ -62,7 +62,7 @@ def karaoke(spark, d):
 def ass_documents(spark, d):
     words = R.even_word_times(timed_segments(spark, d)).select(F.struct("doc_id", "pos").alias("clip"), "word_pos", "word", F.col("word_start").alias("start"), F.col("word_end").alias("end"), F.col("start").alias("clip_start"))
     found = C.render_ass(C.karaoke_events(words, "clip", "word_pos"), "clip")
-    return found.select("clip.doc_id", "clip.pos", F.length("document").cast("long").alias("n_chars"), F.size(F.split("document", "Dialogue: ")).cast("long").alias("n_parts"))
+    return found.select("clip.doc_id", "clip.pos", F.md5("document").alias("document_md5"), F.length("document").cast("long").alias("n_chars"))
 
 
 def line_gaps(spark, d):
@@ -326,14 +326,25 @@ cues AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY run, cue)
 
 _cue_words = f"""{SEGMENTS}, {_word_rows}, cw AS (SELECT doc_id, (pos, k) AS o, word, round(line_start + k * ((line_end - line_start) / n), 6) AS s, round(line_start + (k + 1) * ((line_end - line_start) / n), 6) AS e, (doc_id * 31 + pos * 17 + k) % 100 / 100::DOUBLE AS p FROM w)"""
 _cues = f"WITH RECURSIVE {_cue_words}, {_sql_cues('cw', 'doc_id')}"
+_ass = lambda c: f"format('{{:d}}:{{:02d}}:{{:02d}}.{{:02d}}', round(({c}) * 100)::BIGINT // 360000, round(({c}) * 100)::BIGINT // 6000 % 60, round(({c}) * 100)::BIGINT // 100 % 60, round(({c}) * 100)::BIGINT % 100)"
 _stamp = lambda c: f"format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', round({c} * 1000)::BIGINT // 3600000, round({c} * 1000)::BIGINT // 60000 % 60, round({c} * 1000)::BIGINT // 1000 % 60, round({c} * 1000)::BIGINT % 1000)"
+_scores = lambda rows: f"""SELECT doc_id, part, pos, round(sum(w * c) / (sqrt(sum(w * w)) * sqrt(any_value(size))), 9) AS score FROM (SELECT *, sum(c * c / df) OVER (PARTITION BY doc_id, part) AS size FROM (SELECT *, tf * idf AS w, everywhere * idf AS c FROM (SELECT *, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM
+(SELECT *, count(*) OVER (PARTITION BY doc_id, part, term) AS df, sum(tf) OVER (PARTITION BY doc_id, part, term) AS everywhere FROM (SELECT doc_id, part, pos, n, term, count(*) AS tf FROM (SELECT doc_id, part, pos, n, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, part) AS n FROM {rows})) GROUP BY ALL))))) GROUP BY 1, 2, 3"""
 ORACLE_SQL = {
+    "summaries": f"""WITH RECURSIVE {SEGMENTS}, t AS (SELECT doc_id, pos, text, {_words} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM seg),
+f AS (SELECT doc_id, k, 0 AS part, least(n, 200) AS held FROM t WHERE k = 1 UNION ALL SELECT t.doc_id, t.k, CASE WHEN n > 200 OR held + n > 200 THEN part + 1 ELSE part END, CASE WHEN n > 200 THEN 200 WHEN held + n > 200 THEN n ELSE held + n END FROM f JOIN t ON t.doc_id = f.doc_id AND t.k = f.k + 1),
+packed AS MATERIALIZED (SELECT doc_id, part, pos, text FROM t JOIN f USING (doc_id, k)), s1 AS ({_scores('packed')}),
+best AS MATERIALIZED (SELECT doc_id, 0 AS part, pos, text FROM packed JOIN (SELECT doc_id, pos FROM s1 QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, pos) <= 2) USING (doc_id, pos)), s2 AS ({_scores('best')})
+SELECT doc_id, string_agg(pos, ',' ORDER BY pos) AS chosen, (sum(length(text)) + count(*) - 1)::BIGINT AS n_chars FROM best JOIN (SELECT doc_id, pos FROM s2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) <= 3) USING (doc_id, pos) GROUP BY 1""",
     "cues": f"""{_cues} SELECT doc_id, cue, round(start, 3) AS start, round("end", 3) AS "end", length(text) AS n_chars, low_confidence FROM cues""",
     "flagged_cues": f"{_cues} SELECT doc_id, count(*) AS n_cues, count(*) FILTER (low_confidence) AS n_flagged FROM cues GROUP BY 1",
     "scenes_split": f"""WITH {SCENES} SELECT doc_id, round(min(start), 2) AS start, round(max("end"), 2) AS "end", round(max("end") - min(start), 2) AS duration, count(*) AS n_lines, (sum(length(text)) + count(*) - 1)::BIGINT AS n_chars FROM n GROUP BY doc_id, scene HAVING max("end") - min(start) >= 10""",
     "scene_rows": f"WITH {SCENES} SELECT doc_id, pos, scene FROM n",
     "karaoke": f"""WITH {SEGMENTS}, {_word_rows}, v AS (SELECT doc_id, pos, k AS event, k // 3 AS "group", k * ((line_end - line_start) / n) AS start, (k + 1) * ((line_end - line_start) / n) AS "end", list(replace(upper(word), 'ẞ', 'SS')) OVER (PARTITION BY doc_id, pos, k // 3 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS al FROM w)
 SELECT doc_id, pos, event, "group", round(start, 4) AS start, round("end", 4) AS "end", array_to_string(list_transform(al, lambda x, i: CASE WHEN i - 1 = event % 3 THEN '{{\\rActive}}' ELSE '{{\\rInactive}}' END || x), ' ') AS line FROM v""",
+    "ass_documents": f"""WITH {SEGMENTS}, {_word_rows}, v AS (SELECT doc_id, pos, k, {_ass('greatest(0, (line_start + k * ((line_end - line_start) / n)) - line_start)')} AS a, {_ass('greatest(0, (line_start + (k + 1) * ((line_end - line_start) / n)) - line_start)')} AS b, list(replace(upper(word), 'ẞ', 'SS')) OVER (PARTITION BY doc_id, pos, k // 3 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS al FROM w),
+l AS (SELECT doc_id, pos, k, 'Dialogue: 0,' || a || ',' || b || ',Inactive,,0,0,0,,' || array_to_string(list_transform(al, lambda x, i: CASE WHEN i - 1 = k % 3 THEN '{{\\rActive}}' ELSE '{{\\rInactive}}' END || x), ' ') AS line FROM v),
+x AS (SELECT doc_id, pos, $head${C.ass_header()}$head$ || string_agg(line, chr(10) ORDER BY k) || chr(10) AS document FROM l GROUP BY 1, 2) SELECT doc_id, pos, md5(document) AS document_md5, length(document) AS n_chars FROM x""",
     "line_gaps": f"""WITH {ISLANDS} SELECT recording_id, start, "end", round(lead(start) OVER (PARTITION BY recording_id ORDER BY start, "end") - "end", 3) AS gap FROM span""",
     "numbered_segments": f"WITH {SEGMENTS} SELECT doc_id, pos // 4 AS chunk, pos, row_number() OVER (PARTITION BY doc_id ORDER BY start, pos) - 1 AS id FROM seg",
     "chunk_times": f"""WITH {SEGMENTS}, c AS (SELECT *, pos // 4 AS chunk FROM seg), m AS (SELECT doc_id, chunk, min(start) AS s, max("end") AS e FROM c GROUP BY 1, 2) SELECT doc_id, chunk, pos, start, "end" FROM c JOIN m USING (doc_id, chunk) WHERE floor(e * 16) - floor(s * 16) >= 160""",
@@ -392,4 +403,4 @@ SELECT label, round(avg(d), 6) AS lip_motion, CASE WHEN avg(d) IS NULL THEN 'no_
     "look_times": f"""WITH {ISLANDS}, s AS (SELECT recording_id, start, floor(start) % 11 AS d, greatest(2, least(40, floor((start + floor(start) % 11 - start) * 5)::INT)) AS n FROM span) SELECT recording_id, start, round(start + k * ((start + d) - start) / (n - 1), 6) AS t FROM (SELECT *, unnest(range(n)) AS k FROM s)""",
     "span_seconds": """SELECT user_id AS recording_id, round(event_id / 1000::DOUBLE, 3) AS start, round((event_id * 16 + 4000) / 16000::DOUBLE, 3) AS "end" FROM events""",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "ass_documents", "summaries"]}
+QUERIES = {n: globals()[n] for n in ORACLE_SQL}

@@ -128,6 +128,7 @@ _time = lambda c: f"format('{{:02d}}:{{:02d}}:{{:02d}},000', {c}::BIGINT // 3600
 QUERIES = {
     "requests": requests, "reject_counts": reject_counts, "search_lines": search_lines, "nested_words": nested_words, "aligned_turns": aligned_turns,
     "char_errors": char_errors, "word_errors": word_errors, "wer_report": wer_report, "word_edits": word_edits, "rouge1": _rouge(1), "rouge2": _rouge(2),
+    "char_errors_whole": char_errors, "rouge1_whole": _rouge(1), "rouge2_whole": _rouge(2),  # second names, kept as they were once registered
     "source_table": source_table, "srt": srt, "rank_viral": rank_viral,
 }
 ORACLE_SQL = {
@@ -151,3 +152,4 @@ SELECT conv_id, turn, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS n_reference, ro
     "srt": f"""WITH {SEGMENTS}, c AS (SELECT doc_id, pos, concat_ws(chr(10), row_number() OVER (PARTITION BY doc_id ORDER BY pos)::VARCHAR, {_time("start")} || ' --> ' || {_time('"end"')}, text) AS cue FROM seg) SELECT doc_id, md5(string_agg(cue, chr(10) || chr(10) ORDER BY pos)) AS srt_md5, count(*) AS n_cues FROM c GROUP BY doc_id""",
     "rank_viral": rf"""WITH {SEGMENTS}, s AS (SELECT doc_id, pos, round(length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) / greatest(length(text), 1)::DOUBLE, 4) AS score FROM seg WHERE contains(text, '!') OR contains(text, '?')) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank, pos, score FROM s QUALIFY rank <= 5""",
 }
+ORACLE_SQL |= {f"{n}_whole": ORACLE_SQL[n] for n in ("char_errors", "rouge1", "rouge2")}

@@ -256,3 +256,6 @@ SELECT doc_id, list, {_rank} AS rank, pos, score, t AS text FROM u QUALIFY {_ran
 SELECT category, CASE WHEN (i + 0.5::DOUBLE) / m < 0.8 THEN 'train' WHEN (i + 0.5::DOUBLE) / m < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM k GROUP BY 1, 2""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+#: Second names of the same queries, kept as they were once registered.
+QUERIES |= {f"{q.__name__}_whole": q for q in (similar_lines, scenes, highlight)}
+ORACLE_SQL |= {f"{n}_whole": ORACLE_SQL[n] for n in ("similar_lines", "scenes", "highlight")}

@@ -224,3 +224,46 @@ def test_long_spans_meet_nothing(spark):
     words = spark.createDataFrame([(1, 0.0, 1.0), (1, 5.0, 1e15)], "recording_id int, start double, end double")
     spans = spark.createDataFrame([(1, 0.5, 10.0), (1, 0.0, 1e16)], "recording_id int, span_start double, span_end double")
     assert [tuple(r)[1:] for r in intervals.words_in_span(words, spans).collect()] == [(0.0, 1.0, 0.5, 10.0)]
+
+
+def test_caption_emoji(spark):
+    """The class of captions is wider than the flag of titles."""
+    row = spark.createDataFrame([("⏰ a ⌚ 🀄 b 🆗 é", "\u2603\u27c0 𐀀")], "a string, b string").select(T.extract_emoji("a", "-"), T.extract_emoji("b", "-")).first()
+    assert tuple(row) == ("⏰⌚🀄🆗", "\u2603𐀀")
+
+
+def test_emotion_points(spark):
+    """Unknown emotions stand at 0, 0; of equal shares the first counts; three places in the map."""
+    rows = [(1, 0, "Joy", 0.4), (1, 1, "anger", 0.4), (1, 2, "calm", 0.2), (2, 0, "fear", 1 / 3), (2, 1, "neutral", 2 / 3)]
+    df = spark.createDataFrame(rows, "k int, i int, label string, p double")
+    got = {r["k"]: r for r in sound.emotion_va(df, "k", order="i").collect()}
+    assert abs(got[1]["valence"] - 0.08) < 1e-12 and abs(got[1]["arousal"] - 0.56) < 1e-12 and got[1]["dominant"] == "joy" and got[1]["scores"] == {"joy": 0.4, "anger": 0.4, "calm": 0.2}
+    assert got[2]["dominant"] == "neutral" and got[2]["scores"] == {"fear": 0.333, "neutral": 0.667}
+
+
+def test_manifest_by_hand(spark):
+    """Words of a clip in the recording's time, captions in its own; a clip without words has none, one of no length goes."""
+    clips_ = spark.createDataFrame([(1, 0, 10.0, 12.0, "Hello there!", "relevancy", 0.5, None), (1, 1, 50.0, 51.0, "?", None, None, " own "), (1, 2, 5.0, 5.0, "gone", None, None, None)], "rec int, pos int, start double, end double, text string, category string, music_volume double, name string").withColumn("path", F.lit("/a/b.c/talk.one.mp4"))
+    words = spark.createDataFrame([(1, 9.0, 10.25, "Well"), (1, 10.25, 11.0, "hello"), (1, 11.0, 11.5, "there."), (1, 11.75, 13.0, "Bye"), (2, 10.0, 11.0, "other")], "rec int, start double, end double, word string")
+    a, b = clips.clip_manifest(clips_, words, "rec", "pos", source="path").orderBy("pos").collect()
+    assert [tuple(w) for w in a["words"]] == [(9.0, 10.25, "Well"), (10.25, 11.0, "hello"), (11.0, 11.5, "there."), (11.75, 13.0, "Bye")]
+    assert a["srt"] == "1\n00:00:00,250 --> 00:00:01,500\nhello there.\n" and (a["name"], a["category"], a["volume"], a["rank"], a["duration"]) == ("talk.one", "relevancy", 0.5, 1, 2.0)
+    assert (b["words"], b["srt"], b["name"], b["category"], b["volume"], b["file"]) == ([], None, "own", "combined", 0.35, "clip_02_50.0s_clip.mp4")
+
+
+def test_word_files_must_have_words(spark, tmp_path):
+    from castmill.sources import files
+
+    (tmp_path / "a_transcript_words.json").write_text('[{"segment_id": 1, "word": "hi", "start": 0, "end": 0.5, "probability": 0.9}]')
+    assert [tuple(r) for r in files.read_words(spark, str(tmp_path)).collect()] == [("a", 1, "hi", 0.0, 0.5, 0.9)]
+    (tmp_path / "b_transcript_words.json").write_text("[]")
+    with pytest.raises(Exception, match="b contains no words"):
+        files.read_words(spark, str(tmp_path)).collect()
+
+
+def test_split_coverage(spark):
+    from castmill.operators import titles
+
+    every = spark.createDataFrame([(i,) for i in range(5)], "video_id int")
+    split = spark.createDataFrame([(0, "train"), (1, "val"), (1, "test"), (2, "test"), (9, "val")], "video_id int, split string")
+    assert tuple(titles.split_coverage(split, every).first()) == (5, 4, 1, 2, 1)
