@@ -1,6 +1,7 @@
 """Licence scan with a positional index of rare words; DataFrame functions only.
 
-A template is a licence text or notice with one mandatory key phrase in it. The index has the places of every
+A template is a whole short licence text (MIT, BSD, ISC, Unlicense, zlib, Boost), the notice that a longer licence asks for
+in each file, or a line that names a licence; it has one mandatory key phrase. The index has the places of every
 template word; a word's IDF is over the templates, so no pass over the documents is needed for it. A key's
 two words of highest IDF are its index terms. A file is looked up only if it has both index terms of some
 template; then those of its licence words are looked up whose IDF is at least that of the least index term
@@ -65,12 +66,19 @@ TEMPLATES = [
         to endorse or promote products derived from this software without specific prior written permission. THIS
         SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
         INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
-        DISCLAIMED."""),
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+        USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", """
         Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
         IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-        WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE."""),
     ("isc", "the isc license", "licensed under the ISC License"),
     ("gpl-3", "gnu general public license version 3", "licensed under the GNU General Public License version 3"),
     ("gpl-2", "gnu general public license version 2", "licensed under the GNU General Public License version 2"),
@@ -80,15 +88,33 @@ TEMPLATES = [
         later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
         even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
         License for more details."""),
-    ("lgpl", "gnu lesser general public license", "licensed under the GNU Lesser General Public License"),
-    ("agpl", "gnu affero general public license", "licensed under the GNU Affero General Public License"),
+    ("lgpl", "gnu lesser general public license", """
+        This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser
+        General Public License for more details."""),
+    ("agpl", "gnu affero general public license", """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero
+        General Public License for more details."""),
     ("mpl-2", "mozilla public license", """
         This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
     ("unlicense", "free and unencumbered software released into the public domain", """
         This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
         use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
-        purpose, commercial or non-commercial, and by any means."""),
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author
+        or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+        this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend
+        this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+        ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org/"""),
     ("zlib", "altered source versions must be plainly marked as such", """
         This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
         liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
@@ -98,6 +124,19 @@ TEMPLATES = [
         misrepresented as being the original software. 3. This notice may not be removed or altered from any source
         distribution."""),
     ("bsl-1", "boost software license", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsl-1", "obtaining a copy of the software and accompanying documentation covered by this license", """
+        Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to
+        whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and
+        this entire statement, including the above license grant, this restriction and the following disclaimer, must be
+        included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such
+        copies or derivative works are solely in the form of machine-executable object code generated by a source language
+        processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO
+        EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY,
+        WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE."""),
     ("cc0", "cc0 1 0", "dedicated to the public domain under CC0 1.0"),
     ("cc-by-sa", "cc by sa", "licensed under CC BY-SA 4.0"),
     ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
