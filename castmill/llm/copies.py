@@ -101,16 +101,24 @@ def _shingles(batches, width: int):
 def prefix_pairs(crowd: DataFrame, width: int, least: float) -> DataFrame:
     """a, b: of rows key, root, text the pairs of different roots that can reach the Jaccard, by prefix filtering.
 
-    Shingles are ranked by how few of the rows have them. Two sets of this Jaccard share a shingle among the
-    n - ceil(least n) + 1 rarest of each, and their sizes differ by no more than the Jaccard; so no pair is lost."""
+    Shingles that no two roots share add to no pair; a row of which under `least` is shared goes, and what is left is looked
+    at once more. Shingles are then ranked by how few rows have them: two sets of this Jaccard share a shingle among the
+    n - ceil(least n) + 1 rarest of each, and from their first common one on hold least / (1 + least) of both sizes. No pair is lost."""
     each = durable(crowd.mapInArrow(partial(_shingles, width=width), "key long, root long, size long, h long"))
-    known = each.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    for _ in range(2):
+        known = each.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        marked = each.select("key", "root", "size", "h").join(known, "h").withColumn("mixed", F.col("low") != F.col("high"))
+        live = marked.groupBy("key").agg(F.count_if("mixed").alias("shared"), F.first("size").alias("size")).where(F.col("shared") >= least * F.col("size") - 1e-6).select("key", "shared")
+        each = durable(marked.join(small(live), "key").select("key", "root", "size", "h", "n", "mixed", "shared"))
+    # Every shingle of a row counts for its places, those of one root alone too.
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "h"))
-    first = each.join(known, "h").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1)
-    first = first.where("low <> high").select("h", "key", "root", "size")
-    other = first.select("h", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    met = first.join(other, "h").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    return met.where(F.least("size", "size_b") >= least * F.greatest("size", "size_b")).select(F.col("key").alias("a"), "b").distinct()
+    first = each.withColumn("place", place).where("mixed").where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-6) + 1)
+    first = first.select("h", "key", "root", "size", "shared", "place")
+    other = first.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "shared", "place")])
+    both = least / (1 + least) * (F.col("size") + F.col("size_b"))
+    on = (first["h"] == other["h"]) & (F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b") - 1e-6)
+    on = on & (F.least("shared", "shared_b") >= both - 1e-6) & (1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) >= both - 1e-6)
+    return first.join(other, on).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:

@@ -6,7 +6,8 @@ equal grams that stand within one place of it, and pairs that meet are verified
 first chunk leaves whole stands at the start, and what one before the last chunk does at the end, moved by the difference
 of the lengths, one at most; so of all positional grams only those at these places are made. Where a chunk's words times its grams' words are over CROWD, the chunk alone says too little:
 there the rest of both words must meet too, as the rest with one code point taken out (for a replaced one, at the same
-place); so pairs grow with the near pairs, not with the square of a crowd. Words over LONG code points meet by chunks alone.
+place); so pairs grow with the near pairs, not with the square of a crowd. Words over LONG code points meet by chunks alone
+and are verified in linear time.
 
 Words are counted before anything is shuffled whole; only distinct words meet. A word's form is its near word of the largest
 count (ties: the smallest in code-point order) if that is at least RATIO times its own; counts grow along forms, so a chain
@@ -16,8 +17,11 @@ Null and empty texts have no words; a missing id counts as an empty one in the h
 point; repeated rows each count. An empty table gives an empty result. Other columns aren't read.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import ascii_lower, durable, table, texts
 from .copies import small
@@ -76,6 +80,22 @@ def _rests(rows: DataFrame, gram: bool) -> DataFrame:
     return rows.withColumn("rest", F.explode(F.array_distinct(rests))).drop("beside")
 
 
+@F.pandas_udf(BooleanType())
+def one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two different words are one code point inserted, deleted or replaced apart, in linear time."""
+
+    def one(x: str, y: str) -> bool:
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if len(y) - len(x) > 1:
+            return False
+        u, v = (np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in (x, y[: len(x)]))
+        differ = np.flatnonzero(u != v)
+        k = int(differ[0]) if len(differ) else len(x)
+        return y[k + 1 :] == (x[k + 1 :] if len(x) == len(y) else x[k:])
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: each word with each word that differs from it by one code point inserted, deleted or replaced."""
     chunks, grams = chunk_rows(words), gram_rows(words)
@@ -84,11 +104,12 @@ def near_words(words: DataFrame) -> DataFrame:
     long = F.length("word") > LONG
     other = lambda rows: rows.select("key", *[F.col("rest")] * ("rest" in rows.columns), F.col("word").alias("near"), F.col("n").alias("near_n"))
     mine = lambda rows: rows.select("key", *[F.col("rest")] * ("rest" in rows.columns), "word", "n")
-    calm = mine(chunks.join(crowded, "key", "left_anti")).join(other(grams), "key")
-    far = mine(chunks.where(long).join(crowded, "key", "left_semi")).join(other(grams.where(F.length("word") >= LONG)), "key")
+    apart = F.col("word") != F.col("near")
+    calm = mine(chunks.where(~long).join(crowded, "key", "left_anti")).join(other(grams), "key")
     dense = mine(_rests(chunks.where(~long).join(crowded, "key", "left_semi"), False)).join(other(_rests(grams.where(F.length("word") <= LONG + 1).join(crowded, "key", "left_semi"), True)), ["key", "rest"])
-    met = [p.select("word", "n", "near", "near_n").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)) for p in (calm, far, dense)]
-    return met[0].union(met[1]).union(met[2]).distinct()
+    met = [p.select("word", "n", "near", "near_n").where(apart & (F.levenshtein("word", "near", 1) == 1)) for p in (calm, dense)]
+    far = mine(chunks.where(long)).join(other(grams.where(F.length("word") >= LONG)), "key").select("word", "n", "near", "near_n").where(apart).where(one_edit("word", "near"))
+    return met[0].union(met[1]).union(far).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
