@@ -88,13 +88,16 @@ def music_mood(v, a) -> Column:
     return F.when((F.abs(v) < 0.15) & (F.abs(a) < 0.2), "calm").when((v >= 0) & (a >= 0), "bright").when(v >= 0, "peaceful").when(a >= 0, "dark").otherwise("melancholic")
 
 
-# The words of a music prompt by mood.
+# The words of a music prompt, by mood, key and tempo, and those that every prompt has.
 MOODS = {"calm": "calm, neutral, understated", "bright": "bright, uplifting, hopeful", "peaceful": "warm, gentle, peaceful", "dark": "dark, tense, suspenseful, dissonant", "melancholic": "somber, melancholic, hollow"}
+MODES = {"major": "major key", "minor": "minor key", "modal": "modal"}
+TEMPOS = {"fast": "energetic and driving, around 120 BPM", "slow": "slow and sparse, around 60 BPM, ambient", "middle": "moderate tempo, around 90 BPM"}
+PROMPT = "{} instrumental background music, {}, {}, cinematic underscore, no vocals"
 
 
 def music_prompt(v, a) -> Column:
     """Mood, key and tempo in words."""
     mood = F.element_at(F.create_map(*[F.lit(x) for kv in MOODS.items() for x in kv]), music_mood(v, a))
-    mode = F.when(v >= 0.15, "major key").when(v <= -0.15, "minor key").otherwise("modal")
-    tempo = F.when(a >= 0.5, "energetic and driving, around 120 BPM").when(a <= -0.1, "slow and sparse, around 60 BPM, ambient").otherwise("moderate tempo, around 90 BPM")
-    return F.concat(mood, F.lit(" instrumental background music, "), mode, F.lit(", "), tempo, F.lit(", cinematic underscore, no vocals"))
+    mode = F.when(v >= 0.15, MODES["major"]).when(v <= -0.15, MODES["minor"]).otherwise(MODES["modal"])
+    tempo = F.when(a >= 0.5, TEMPOS["fast"]).when(a <= -0.1, TEMPOS["slow"]).otherwise(TEMPOS["middle"])
+    return F.format_string(PROMPT.replace("{}", "%s"), mood, mode, tempo)

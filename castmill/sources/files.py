@@ -124,6 +124,7 @@ def write_json_docs(df: DataFrame, key: str, order: str, path: str) -> None:
     df.groupBy(key).agg(F.transform(rows, lambda r: r.dropFields("_o")).alias("rows")).write.json(path)
 
 
+# Columns of title snapshots and their short names.
 TITLE_COLUMNS = {"video_id": "video_id", "video_title": "title", "video_category_id": "category", "video_trending_country": "country", "video_view_count": "views", "video_like_count": "likes", "video_comment_count": "comments", "channel_subscriber_count": "subscribers", "video_published_at": "published"}
 
 
