@@ -120,9 +120,14 @@ ORACLE_SQL = {
     "split_overlaps": "SELECT l_partkey AS video_id FROM lineitem WHERE false",
     "split_coverage": f"WITH {LABELLED} SELECT count(*) AS n_all, count(DISTINCT video_id) AS n_split, 0::BIGINT AS n_overlap, 0::BIGINT AS n_missing, 0::BIGINT AS n_foreign FROM scored",
     "usable_articles": "SELECT doc_id AS id, source AS highlights FROM documents WHERE trim(coalesce(text, '')) <> '' AND source <> 'src3' ORDER BY doc_id LIMIT 50",
+    # A row of the table of common subsequences is a list; a running maximum stands for the words left out.
+    "rouge_l": f"""WITH RECURSIVE {PAIRS}, l AS (SELECT conv_id, turn, list_filter(string_split(reference, ' '), lambda w: w <> '') AS a, list_filter(string_split(hypothesis, ' '), lambda w: w <> '') AS b FROM p),
+d AS (SELECT conv_id, turn, 0::BIGINT AS i, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) AS r FROM l UNION ALL SELECT conv_id, turn, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(c[1:j])) FROM (SELECT d.*, b, list_prepend(0::BIGINT, list_transform(range(1, len(b) + 1), lambda j: greatest(r[j + 1], r[j] + CASE WHEN b[j] = a[i + 1] THEN 1 ELSE 0 END))) AS c FROM d JOIN l USING (conv_id, turn) WHERE i < len(a))),
+e AS (SELECT conv_id, turn, len(a) AS na, len(b) AS nb, r[-1] AS n FROM d JOIN l USING (conv_id, turn) WHERE i = len(a))
+SELECT conv_id, turn, round(coalesce(n / nullif(nb, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(n / nullif(na, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * n / nullif(na + nb, 0)::DOUBLE, 0), 6) AS f1 FROM e""",
     "relevant_lines": f"WITH {SCORED} SELECT doc_id, {_place('relevancy')} AS rank, pos, relevancy FROM sc QUALIFY rank <= 3",
     "highlight_lists": f"WITH {SCORED}, n AS (SELECT doc_id, count(*) AS line_count FROM sc GROUP BY 1), l AS (SELECT doc_id, 'relevant' AS list, {_place('relevancy')} AS rank, pos FROM sc UNION ALL SELECT doc_id, 'viral', {_place('viral_score')}, pos FROM sc WHERE viral_label = 1) SELECT doc_id, list, rank, pos, line_count FROM l JOIN n USING (doc_id) WHERE rank <= 3",
     "model_means": r"SELECT source, round(avg(length(coalesce(text, ''))), 4) AS chars, round(avg(len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> ''))), 4) AS words FROM documents GROUP BY source",
     "text_helpers": rf"""WITH {SEGMENTS}, j AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS text FROM seg GROUP BY 1) SELECT doc_id, md5(text) AS md5, length(text) AS n_plain, length(array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:64], ' ')) AS n_cut, coalesce(nullif(array_to_string(regexp_extract_all(text, '{_emoji}'), ''), ''), '-') AS emoji FROM j""",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "worst_pairs", "rouge_l", "meteor", "highlight_models"]}
+QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "worst_pairs", "meteor", "highlight_models"]}
