@@ -104,12 +104,12 @@ def prefix_pairs(crowd: DataFrame, width: int, least: float) -> DataFrame:
     Shingles that no two roots share add to no pair; a row of which under `least` is shared goes, and what is left is looked
     at once more. Shingles are then ranked by how few rows have them: two sets of this Jaccard share a shingle among the
     n - ceil(least n) + 1 rarest of each, and from their first common one on hold least / (1 + least) of both sizes. No pair is lost."""
-    each = durable(crowd.mapInArrow(partial(_shingles, width=width), "key long, root long, size long, h long"))
+    each = crowd.mapInArrow(partial(_shingles, width=width), "key long, root long, size long, h long")
+    alike, own = Window.partitionBy("h"), Window.partitionBy("key")
     for _ in range(2):
-        known = each.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        marked = each.select("key", "root", "size", "h").join(known, "h").withColumn("mixed", F.col("low") != F.col("high"))
-        live = marked.groupBy("key").agg(F.count_if("mixed").alias("shared"), F.first("size").alias("size")).where(F.col("shared") >= least * F.col("size") - 1e-6).select("key", "shared")
-        each = durable(marked.join(small(live), "key").select("key", "root", "size", "h", "n", "mixed", "shared"))
+        each = each.withColumns({"n": F.count("*").over(alike), "mixed": F.min("root").over(alike) != F.max("root").over(alike)})
+        each = each.withColumn("shared", F.count_if("mixed").over(own)).where(F.col("shared") >= least * F.col("size") - 1e-6)
+    each = durable(each)
     # Every shingle of a row counts for its places, those of one root alone too.
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "h"))
     first = each.withColumn("place", place).where("mixed").where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-6) + 1)
