@@ -12,9 +12,25 @@ def cosine(a, b) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def let(c, use) -> Column:
+    """use(c), where c is worked out once, however often use names it (also within its lambdas)."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
+def running_sum(c, block: int = 512) -> Column:
+    """Sums of an array of doubles up to each place, by blocks, so that a long array isn't copied at each step."""
+    none = F.array().cast("array<double>")
+    sums = lambda x: F.aggregate(x, none, lambda a, v: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + v)))
+    parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda i: sums(F.slice(x, i * block + 1, block)))
+    before = lambda ends, i: F.coalesce(F.get(ends, i - 1), F.lit(0.0))
+    moved = lambda p, ends: F.flatten(F.transform(p, lambda own, i: let(before(ends, i), lambda base: F.transform(own, lambda v: base + v))))
+    joined = lambda p: let(sums(F.transform(p, lambda own: F.get(own, F.size(own) - 1))), lambda ends: moved(p, ends))
+    return let(c, lambda x: F.when(F.size(x) > 0, let(parts(x), joined)).when(F.size(x) == 0, none))
+
+
 def softmax(c) -> Column:
-    e = F.transform(c, lambda x: F.exp(x - F.array_max(c)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, v: s + v))
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(e, lambda x: x / total))
+    return let(c, lambda own: let(F.array_max(own), lambda top: let(F.transform(own, lambda x: F.exp(x - top)), shares)))
 
 
 def argmax(c) -> Column:
@@ -24,7 +40,7 @@ def argmax(c) -> Column:
 
 def l2_normalize(c) -> Column:
     """Vector of length 1; a zero vector stays."""
-    return F.transform(c, lambda v: F.coalesce(F.try_divide(v.cast("double"), F.sqrt(dot(c, c))), F.lit(0.0)))
+    return let(c, lambda own: let(F.sqrt(dot(own, own)), lambda size: F.transform(own, lambda v: F.coalesce(F.try_divide(v.cast("double"), size), F.lit(0.0)))))
 
 
 def sigmoid(c) -> Column:
