@@ -1,18 +1,31 @@
 """Transcript rows: segments, sanitizing, scenes, rankings, caption groups."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip01, cosine
+from ..functions.numeric import clip01, cosine, let, running_sum
 from ..functions.text import ends_sentence, est_seconds, lines, starts_upper, word_count, words
 from .folds import window_numbers
 
 
+def timed_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
+    """doc_id, segments: an array of (pos, text, start, end), the lines of each text, timed by their word counts.
+
+    A text's lines are timed within its row, so nothing is shuffled for them."""
+    rows = docs.select("doc_id", lines("text", min_words).alias("_l")).withColumn("_s", F.transform("_l", lambda t: est_seconds(word_count(t))))
+    rows = rows.withColumn("_e", running_sum(F.col("_s")))
+    each = lambda t, i: F.struct(i.alias("pos"), t.alias("text"), (F.get("_e", i) - F.get("_s", i)).alias("start"), F.get("_e", i).alias("end"))
+    return rows.select("doc_id", F.transform("_l", each).alias("segments"))
+
+
+def exploded(rows: DataFrame, columns: list, array, present: str) -> DataFrame:
+    """columns beside the fields of each struct of array. The outer form keeps a test for rows, and with it all that makes the array, out of the filters."""
+    return rows.select(*columns, F.inline_outer(array)).where(F.col(present).isNotNull())
+
+
 def segments(docs: DataFrame, min_words: int = 4) -> DataFrame:
     """doc_id, pos, text, start, end: lines of each text, timed by their word counts."""
-    rows = docs.select("doc_id", F.posexplode(lines("text", min_words)).alias("pos", "text")).withColumn("sec", est_seconds(word_count("text")))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end", F.sum("sec").over(w)).select("doc_id", "pos", "text", (F.col("end") - F.col("sec")).alias("start"), "end")
+    return exploded(timed_lines(docs, min_words), ["doc_id"], "segments", "pos")
 
 
 def sanitize(segs: DataFrame, key: str = "transcript_id") -> DataFrame:
@@ -92,10 +105,26 @@ def top_k(rows: DataFrame, key: str, score: str, order: str, k: int) -> DataFram
 def even_word_times(rows: DataFrame) -> DataFrame:
     """Words of a segment in equal slices of its time."""
     rows = rows.withColumn("_w", words("text")).withColumn("_n", F.size("_w"))
-    each = rows.select("*", F.posexplode("_w").alias("word_pos", "word"))
+    each = rows.select("*", F.posexplode_outer("_w").alias("word_pos", "word")).where(F.col("word_pos").isNotNull())
     step = (F.col("end") - F.col("start")) / F.col("_n")
     return each.withColumns({"word_start": F.col("start") + F.col("word_pos") * step, "word_end": F.col("start") + (F.col("word_pos") + 1) * step}).drop("_w", "_n")
 
 
+def even_words(text, start, end, each) -> Column:
+    """The words of a segment as an array of each(word, word_pos, start, end), in equal slices of its time: even_word_times within a row."""
+    slices = lambda w: let((end - start) / F.size(w), lambda step: F.transform(w, lambda x, k: each(x, k, start + k * step, start + (k + 1) * step)))
+    return let(words(text), lambda w: F.when(F.size(w) > 0, slices(w)))
+
+
 def caption_groups(rows: DataFrame, size: int = 3) -> DataFrame:
     return rows.withColumn("caption", F.floor(F.col("word_pos") / size))
+
+
+def even_captions(rows: DataFrame, keys: list[str], size: int = 3) -> DataFrame:
+    """keys, caption, start, end, n_words: groups of `size` words of each segment whose words have even times, worked out within the segment."""
+    n = F.col("_n")
+    step = (F.col("end") - F.col("start")) / n
+    after = lambda c: F.least((c + 1) * size, n)
+    each = lambda c: F.struct(c.cast("long").alias("caption"), (F.col("start") + c * size * step).alias("start"), (F.col("start") + after(c) * step).alias("end"), (after(c) - c * size).cast("long").alias("n_words"))
+    found = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), each))
+    return exploded(rows.withColumn("_n", word_count("text")), keys, found, "caption")

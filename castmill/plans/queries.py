@@ -79,8 +79,8 @@ def timed_segments(spark, d):
 
 
 def captions(spark, d):
-    rows = R.caption_groups(R.even_word_times(timed_segments(spark, d)))
-    return rows.groupBy("doc_id", "pos", "caption").agg(F.round(F.min("word_start"), 6).alias("start"), F.round(F.max("word_end"), 6).alias("end"), F.count("*").alias("n_words"))
+    rows = R.even_captions(timed_segments(spark, d), ["doc_id", "pos"])
+    return rows.select("doc_id", "pos", "caption", *r6("start", "end"), "n_words")
 
 
 def asr_text(spark, d):
