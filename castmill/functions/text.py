@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import let
+
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
 # The characters that count as emoji of a caption; a wider class than the flag of titles.
 CAPTION_EMOJI = r"[\x{10000}-\x{10FFFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}]"
@@ -73,12 +75,16 @@ def timecode(seconds, kind: str) -> Column:
     """ass h:mm:ss.cc, srt hh:mm:ss,mmm or preview mm:ss.ss; rounded before it is split."""
     unit = 1000 if kind == "srt" else 100
     n = F.round(F.greatest(seconds, F.lit(0.0)) * unit).cast("long")
-    part = lambda a, m: F.pmod(F.floor(n / a), F.lit(m))
+    part = lambda n, a, m: F.pmod(F.floor(n / a), F.lit(m))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    wide = lambda c: F.when(c < 10, two(c)).otherwise(c.cast("string"))
     if kind == "srt":
-        return F.format_string("%02d:%02d:%02d,%03d", F.floor(n / 3_600_000), part(60_000, 60), part(1000, 60), F.pmod(n, F.lit(1000)))
-    if kind == "ass":
-        return F.format_string("%d:%02d:%02d.%02d", F.floor(n / 360_000), part(6000, 60), part(100, 60), F.pmod(n, F.lit(100)))
-    return F.format_string("%02d:%02d.%02d", F.floor(n / 6000), part(100, 60), F.pmod(n, F.lit(100)))
+        code = lambda n: F.concat(wide(F.floor(n / 3_600_000)), F.lit(":"), two(part(n, 60_000, 60)), F.lit(":"), two(part(n, 1000, 60)), F.lit(","), F.lpad(F.pmod(n, F.lit(1000)).cast("string"), 3, "0"))
+    elif kind == "ass":
+        code = lambda n: F.concat(F.floor(n / 360_000).cast("string"), F.lit(":"), two(part(n, 6000, 60)), F.lit(":"), two(part(n, 100, 60)), F.lit("."), two(F.pmod(n, F.lit(100))))
+    else:
+        code = lambda n: F.concat(wide(F.floor(n / 6000)), F.lit(":"), two(part(n, 100, 60)), F.lit("."), two(F.pmod(n, F.lit(100))))
+    return let(n, code)
 
 
 def wrap_text(c, width: int = 42) -> Column:
