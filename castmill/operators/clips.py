@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import est_seconds, safe_clip_name, word_count
 from ..sources.files import stem
-from .captions import build_cues, render_srt
+from .captions import build_cues, cues_within, render_srt, srt_of
 from .intervals import composition_offsets, rebased, words_in_span
 
 VOLUME = 0.35
@@ -132,23 +132,46 @@ def remap_to_composition(words: DataFrame, clips: DataFrame, key: str, order: st
     return met.withColumns({c: F.round(F.col("offset") + F.col(c) - F.col("span_start"), 6) for c in ("start", "end")}).drop("span_start", "span_end", "offset")
 
 
-def clip_manifest(clips: DataFrame, words: DataFrame, key: str, order: str, source: str | None = None, category: str = "combined") -> DataFrame:
+def words_met(words, start, end, longest: float = 604_800.0) -> Column:
+    """Those of an array of words (start, end, ..) that overlap a span, by start, end and word: words_in_span within a row."""
+    valid = lambda a, b: (b - a >= 0) & (b - a <= longest)
+    return F.array_sort(F.filter(words, lambda w: valid(w["start"], w["end"]) & valid(start, end) & (w["start"] < end) & (w["end"] > start)))
+
+
+def words_rebased(met, start, end) -> Column:
+    """Of an array of words that met a span those at least half visible (or without length), cut to it and in its time, in order: rebased within a row."""
+    a, b = lambda w: F.greatest(w["start"], start), lambda w: F.least(w["end"], end)
+    seen = F.filter(met, lambda w: (w["end"] <= w["start"]) | ((b(w) - a(w)) / (w["end"] - w["start"]) >= 0.5))
+    cut = lambda w: F.struct(F.round(a(w) - start, 3).alias("start"), F.round(b(w) - start, 3).alias("end"), w["word"].alias("word"), w["probability"].alias("probability"))
+    return F.array_sort(F.transform(seen, cut))
+
+
+def clip_manifest(clips: DataFrame, words: DataFrame | Column, key: str, order: str, source: str | None = None, category: str = "combined") -> DataFrame:
     """One nested row a clip of positive length: rank, times, duration, file, name, category, volume, words and srt.
 
     words (key, start, end, word, and probability where there is one) meet the clips once: those that overlap a clip stand in
     it in the recording's time, and its cues are packed from them in the clip's own time; srt is null without cues. name is
     the one asked for (column name), else the stem of the source's path, else the key; category and volume are the clip's
-    own (columns category, music_volume) or the default."""
+    own (columns category, music_volume) or the default. Where all words that may meet a clip stand in its own row, words is a
+    column of clips instead, an array of (start, end, word, probability): then only the ranks are shuffled for, with the
+    columns that make the words."""
     own = lambda c, default: F.coalesce(F.col(c), default) if c in clips.columns else default
     base = stem(source) if source else F.col(key).cast("string")
     spans = clips.where(F.col("end") > F.col("start")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    given = F.col("probability") if "probability" in words.columns else F.lit(None).cast("double")
-    ids = spans.select(key, F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.struct(key, order).alias("_clip"))
-    met = words_in_span(words.select(key, "start", "end", "word", given.alias("probability")), ids, key)
-    nested = met.groupBy("_clip").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("words"))
-    cues = build_cues(rebased(met).select("_clip", F.struct("start", "end", "word").alias("_o"), "word", "start", "end", "probability"), "_clip", "_o")
-    parts = nested.join(render_srt(cues, "_clip").withColumnRenamed("document", "srt"), "_clip", "left")
-    rows = spans.withColumn("_clip", F.struct(key, order)).join(parts, "_clip", "left")
+    if isinstance(words, Column):
+        columns = spans.columns
+        met = spans.withColumn("_met", words_met(words, F.col("start"), F.col("end")))
+        made = cues_within(met.withColumn("_seen", words_rebased("_met", F.col("start"), F.col("end"))), [*columns, "_met"], "_seen")
+        listed = F.transform("_met", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["word"].alias("word")))
+        rows = made.select(*columns, listed.alias("words"), srt_of(F.col("cues")).alias("srt"))
+    else:
+        given = F.col("probability") if "probability" in words.columns else F.lit(None).cast("double")
+        ids = spans.select(key, F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.struct(key, order).alias("_clip"))
+        met = words_in_span(words.select(key, "start", "end", "word", given.alias("probability")), ids, key)
+        nested = met.groupBy("_clip").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("words"))
+        cues = build_cues(rebased(met).select("_clip", F.struct("start", "end", "word").alias("_o"), "word", "start", "end", "probability"), "_clip", "_o")
+        parts = nested.join(render_srt(cues, "_clip").withColumnRenamed("document", "srt"), "_clip", "left")
+        rows = spans.withColumn("_clip", F.struct(key, order)).join(parts, "_clip", "left")
     named = F.coalesce(F.nullif(F.trim(own("name", F.lit(""))), F.lit("")), base)
     return rows.select(
         key, order, "rank", "start", "end", F.round(F.col("end") - F.col("start"), 2).alias("duration"), clip_file_name(F.col("rank"), F.col("start"), F.col("text")).alias("file"),

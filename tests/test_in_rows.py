@@ -7,6 +7,7 @@ from itertools import accumulate
 from pyspark.sql import functions as F
 
 from castmill.functions import numeric as N
+from castmill.operators import clips
 from castmill.plans import media, queries
 
 
@@ -45,3 +46,20 @@ def test_clips_are_rendered_within_their_lines(spark, sf_dir):
 
 def test_cues_of_documents_are_not_shuffled(spark, sf_dir):
     assert "Exchange" not in plan(media.QUERIES["cues"](spark, sf_dir))
+
+
+def test_a_manifest_of_words_in_the_clips_rows(spark):
+    """The same rows as from joined words: late, early, empty and backward words, a clip without words and one without length."""
+    rows = [("a", 0, 1.0, 4.0, "x y"), ("a", 1, 4.0, 9.0, "z"), ("a", 2, 9.0, 9.0, "none"), ("b", 0, 0.5, 2.0, "no words")]
+    words = [("a", 0.5, 1.4, "in", 0.9), ("a", 1.4, 2.0, "two.", 0.5), ("a", 2.0, 2.0, "nil", 0.9), ("a", 3.9, 4.5, "late", 0.9), ("a", 8.0, 7.0, "back", 0.9)]
+    found = spark.createDataFrame(rows, "k string, pos int, start double, end double, text string")
+    table = spark.createDataFrame(words, "k string, start double, end double, word string, probability double")
+    nested = table.groupBy("k").agg(F.collect_list(F.struct("start", "end", "word", "probability")).alias("own"))
+    held = found.join(nested, "k", "left").withColumn("own", F.coalesce("own", F.array().cast(nested.schema["own"].dataType)))
+    one = clips.clip_manifest(found, table, "k", "pos").orderBy("k", "pos").collect()
+    assert clips.clip_manifest(held, F.col("own"), "k", "pos").orderBy("k", "pos").collect() == one and len(one) == 3 and one[0]["srt"]
+
+
+def test_the_manifest_query_shuffles_once(spark, sf_dir):
+    """For the ranks of the clips; it shuffled words, twice over."""
+    assert plan(media.QUERIES["clip_manifest"](spark, sf_dir)).count("Exchange") == 1
