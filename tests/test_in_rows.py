@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import functions as F
 
 from castmill.functions import numeric as N
-from castmill.operators import clips
+from castmill.operators import clips, pairs
 from castmill.plans import media, queries
 
 
@@ -63,3 +63,17 @@ def test_a_manifest_of_words_in_the_clips_rows(spark):
 def test_the_manifest_query_shuffles_once(spark, sf_dir):
     """For the ranks of the clips; it shuffled words, twice over."""
     assert plan(media.QUERIES["clip_manifest"](spark, sf_dir)).count("Exchange") == 1
+
+
+def test_pairs_are_compared_in_their_rows(spark):
+    df = spark.createDataFrame([(1, "a b a b", "a b b a b"), (2, None, "x"), (3, "", "")], "k int, reference string, hypothesis string")
+    found = pairs.rouge_n(df, ["k"], 2)
+    assert "Exchange" not in plan(found)
+    assert [tuple(r) for r in found.orderBy("k").collect()] == [(1, 3 / 4, 1.0, 6 / 7), (2, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0)]
+
+
+def test_faulty_lines_are_made_in_one_pass_and_texts_stay_behind(spark, sf_dir):
+    """It read the documents five times and shuffled the texts."""
+    assert media.injected(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    exchanges = [line for line in plan(media.sanitized(spark, sf_dir)).splitlines() if "Sort [" in line]
+    assert exchanges and not any("text" in line for line in exchanges)
