@@ -31,15 +31,16 @@ def segments(docs: DataFrame, min_words: int = 4) -> DataFrame:
 def sanitize(segs: DataFrame, key: str = "transcript_id") -> DataFrame:
     """Every row with its reject reason, null for kept ones. Passes in order, each on what the one before kept."""
     ok = F.when((F.trim("text") == "") | (F.col("end") - F.col("start") < 0.01), "empty_or_zero_duration")
-    rows = segs.withColumn("reason", ok)
+    # What is asked of the text is asked here, so that it needn't be shuffled where it isn't wanted.
+    rows = segs.withColumns({"reason": ok, "_loop": F.col("text").rlike(r"(?iu)(.{1,4})\1{3,}")})
     order = Window.partitionBy(key, "live").orderBy("id")
     rows = rows.withColumn("live", F.col("reason").isNull()).withColumn("new", F.coalesce((F.col("start") != F.lag("start").over(order)).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(order))
     run = Window.partitionBy(key, "live", "run")
     twin = F.col("live") & (F.count("*").over(run) >= 5) & (F.row_number().over(run.orderBy("id")) > 1)
     rows = rows.withColumn("reason", F.when(twin, "duplicate_timestamp_run").otherwise(F.col("reason")))
-    loop = F.col("reason").isNull() & F.col("text").rlike(r"(?iu)(.{1,4})\1{3,}")
-    rows = rows.withColumn("reason", F.when(loop, "char_repetition_loop").otherwise(F.col("reason"))).drop("live", "new", "run")
+    loop = F.col("reason").isNull() & F.col("_loop")
+    rows = rows.withColumn("reason", F.when(loop, "char_repetition_loop").otherwise(F.col("reason"))).drop("live", "new", "run", "_loop")
     # Anchors depend on the windows before them, but a gap of a second closes any window: so only runs without such a gap are folded.
     live = rows.where("reason is null")
     by = Window.partitionBy(key).orderBy("id")
