@@ -28,6 +28,14 @@ def running_sum(c, block: int = 512) -> Column:
     return let(c, lambda x: F.when(F.size(x) > 0, let(parts(x), joined)).when(F.size(x) == 0, none))
 
 
+def mean_vector(vectors) -> Column:
+    """Mean of each component of an array of vectors; nulls don't count, and a component without any is null."""
+    zero = F.array().cast("array<struct<s:double,n:bigint>>")
+    add = lambda a, x: F.struct((F.coalesce(a["s"], F.lit(0.0)) + F.coalesce(x.cast("double"), F.lit(0.0))).alias("s"), (F.coalesce(a["n"], F.lit(0).cast("long")) + x.isNotNull().cast("long")).alias("n"))
+    sums = F.aggregate(vectors, zero, lambda a, v: F.when(v.isNull(), a).otherwise(F.zip_with(a, v, add)))
+    return F.transform(sums, lambda x: F.try_divide(x["s"], x["n"]))
+
+
 def softmax(c) -> Column:
     shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(e, lambda x: x / total))
     return let(c, lambda own: let(F.array_max(own), lambda top: let(F.transform(own, lambda x: F.exp(x - top)), shares)))

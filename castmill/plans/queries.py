@@ -178,7 +178,7 @@ def ndcg(spark, d):
 
 def embedded(spark, d):
     """Timed segments with a vector each, dealt over all vectors of the table."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))  # as stored; measures take doubles of it
     n = e.count()  # one number
     return timed_segments(spark, d).withColumn("vec_id", F.try_mod(F.col("doc_id") * 7 + F.col("pos") * 13, F.lit(n))).join(e, "vec_id")
 

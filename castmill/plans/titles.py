@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import highlight as H
 from ..operators import learning as L
@@ -52,12 +53,13 @@ def usable_articles(spark, d, limit: int = 50):
 
 def scored_lines(spark, d):
     """Lines with relevancy to the mean vector of their document, and a detector's label and score from marks and capitals."""
-    rows = embedded(spark, d)
-    each = rows.select("doc_id", F.posexplode("vec").alias("i", "v")).groupBy("doc_id", "i").agg(F.avg("v").alias("v"))
-    mean = each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("summary"))
-    rows = R.score_against_summary(rows.join(mean, "doc_id"), "vec", "summary")
-    asks = F.col("text").contains("?") | F.col("text").contains("!")
-    return rows.select("doc_id", "pos", "relevancy", asks.cast("int").alias("viral_label"), F.round(T.upper_ratio(F.col("text")), 4).alias("viral_score"))
+    asks = (F.col("text").contains("?") | F.col("text").contains("!")).cast("int")
+    rows = embedded(spark, d).select("doc_id", F.struct("pos", "vec", asks.alias("viral_label"), F.round(T.upper_ratio(F.col("text")), 4).alias("viral_score")).alias("r"))
+    own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    own = own.withColumn("summary", N.mean_vector(F.transform("rows", lambda r: r["vec"])))
+    near = lambda r: F.round(N.clip01(N.cosine(r["vec"], F.col("summary"))), 4)
+    scored = F.transform("rows", lambda r: F.struct(r["pos"].alias("pos"), near(r).alias("relevancy"), r["viral_label"].alias("viral_label"), r["viral_score"].alias("viral_score")))
+    return R.exploded(own, ["doc_id"], scored, "pos")
 
 
 def relevant_lines(spark, d):
@@ -66,7 +68,7 @@ def relevant_lines(spark, d):
 
 def highlight_lists(spark, d):
     """The relevant and the viral list of each document, with the number of its lines."""
-    rows = scored_lines(spark, d)
+    rows = written(scored_lines(spark, d))
     lists = [f(rows, "doc_id", "pos", 3).select("doc_id", F.lit(name).alias("list"), F.col("rank").cast("long").alias("rank"), "pos") for name, f in (("relevant", R.rank_relevant), ("viral", R.rank_viral))]
     n = rows.groupBy("doc_id").agg(F.count("*").alias("line_count"))
     return lists[0].unionByName(lists[1]).join(n, "doc_id")

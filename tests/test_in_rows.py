@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from castmill.functions import numeric as N
 from castmill.operators import clips, pairs
-from castmill.plans import media, queries
+from castmill.plans import media, queries, titles
 
 
 def plan(df) -> str:
@@ -77,3 +77,13 @@ def test_faulty_lines_are_made_in_one_pass_and_texts_stay_behind(spark, sf_dir):
     assert media.injected(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     exchanges = [line for line in plan(media.sanitized(spark, sf_dir)).splitlines() if "Sort [" in line]
     assert exchanges and not any("text" in line for line in exchanges)
+
+
+def test_mean_vectors(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], None, [3.0, None], [5.0]],)], "v array<array<float>>")
+    assert df.select(N.mean_vector(F.col("v")).alias("m")).first()["m"] == [3.0, 2.0]
+
+
+def test_components_of_vectors_are_not_rows(spark, sf_dir):
+    """The mean of a document's lines once took a row for each component."""
+    assert "posexplode" not in plan(titles.scored_lines(spark, sf_dir))
