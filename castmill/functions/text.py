@@ -43,7 +43,8 @@ def lines(c, min_words: int = 4) -> Column:
     """Stripped non-blank lines, or sentences where there is at most one line; lines under min_words go."""
     strip = lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
     found = F.filter(F.transform(F.split(c, r"\R"), strip), lambda s: s != "")
-    return F.filter(F.when(F.size(found) <= 1, sentences(strip(c))).otherwise(found), lambda s: F.size(words(s)) >= min_words)
+    either = let(found, lambda own: F.when(F.size(own) <= 1, sentences(strip(c))).otherwise(own))
+    return F.filter(either, lambda s: F.size(words(s)) >= min_words)
 
 
 def est_seconds(n_words) -> Column:

@@ -1,26 +1,31 @@
 """Chunks of whole sentences, and extractive summaries by TF-IDF centroids.
 
-A key's sentences are brought together once; chunks, terms, centroids and ranks then work within the key, so nothing
-is shuffled again for them, and only chosen sentences go on to the last ranking.
+Chunks, terms, centroids and ranks are worked out within the row of a key that holds its sentences in order, so nothing is
+shuffled for them. Sentences that come as rows are brought together once.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from . import centroids
 
 BUDGET = 1024
 
 
-def gather_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, text: str = "text", split: bool = True) -> DataFrame:
-    """key, chunks: an array of (chunk, rows) in order, rows with their n_tokens.
+def gathered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """key, sentences: an array of the other columns of its rows, in order."""
+    item = F.struct(F.col(order).alias("_o"), F.struct(*[c for c in rows.columns if c != key]).alias("r"))
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("sentences"))
+    return lists.select(key, F.transform("sentences", lambda x: x["r"]).alias("sentences"))
+
+
+def chunk_firsts(sizes: Column, budget: int = BUDGET, split: bool = True) -> Column:
+    """For the token counts of sentences in order an array of (at, chunk): the place of each chunk's first sentence, and the chunk's number.
 
     Sentences go to the current chunk while it holds at most budget tokens; one over the budget is a chunk by itself,
     and with split takes as many chunk numbers as it has pieces of the budget. The fold keeps one entry a chunk."""
-    own = rows.withColumn("n_tokens", F.size(words(text)))
-    lists = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[c for c in own.columns if c != key]).alias("r")))).alias("_s"))
-    lists = lists.select(key, F.transform("_s", lambda x: x["r"]).alias("_s"))
-    zero = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("chunk"), F.lit(budget).alias("held"), F.array().cast("array<struct<at:int,chunk:int>>").alias("firsts"))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("chunk"), F.lit(budget + 1).alias("held"), F.array().cast("array<struct<at:int,chunk:int>>").alias("firsts"))
 
     def step(a, n):
         over = n > budget
@@ -30,7 +35,13 @@ def gather_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, t
         firsts = F.when(fresh, F.concat(a["firsts"], F.array(F.struct(a["i"].alias("at"), (a["chunk"] + 1).alias("chunk"))))).otherwise(a["firsts"])
         return F.struct((a["i"] + 1).alias("i"), F.when(fresh, a["chunk"] + taken).otherwise(a["chunk"]).alias("chunk"), held.alias("held"), firsts.alias("firsts"))
 
-    found = lists.withColumn("_f", F.aggregate(F.transform("_s", lambda x: x["n_tokens"]), zero, step)["firsts"])
+    return F.aggregate(sizes, zero, step)["firsts"]
+
+
+def gather_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, text: str = "text", split: bool = True) -> DataFrame:
+    """key, chunks: an array of (chunk, rows) in order, rows with their n_tokens."""
+    lists = gathered(rows.withColumn("n_tokens", F.size(words(text))), key, order).withColumnRenamed("sentences", "_s")
+    found = lists.withColumn("_f", chunk_firsts(F.transform("_s", lambda x: x["n_tokens"]), budget, split))
     last = lambda i: F.coalesce(F.get("_f", i + 1)["at"], F.size("_s"))
     return found.select(key, F.transform("_f", lambda f, i: F.struct(f["chunk"].alias("chunk"), F.slice("_s", f["at"] + 1, last(i) - f["at"]).alias("rows"))).alias("chunks"))
 
@@ -53,40 +64,47 @@ def pack_chunks(rows: DataFrame, key: str, order: str, budget: int = BUDGET, tex
     return own.withColumns({text: cut, "chunk": F.col("chunk") + F.col("piece"), "n_tokens": F.when(F.col("n_tokens") > budget, F.least(F.lit(budget), F.col("n_tokens") - F.col("piece") * budget)).otherwise(F.col("n_tokens"))})
 
 
+def _again(order: str) -> Column:
+    """For sentences in order, whether each has the order of the one before."""
+    return F.transform("sentences", lambda x, i: F.coalesce(x[order] == F.get("sentences", i - 1)[order], F.lit(False)))
+
+
+def _titled(docs: DataFrame, key: str, titles: DataFrame | None) -> DataFrame:
+    """docs with _title, its key's titles in one text, or null."""
+    if titles is None:
+        return docs.withColumn("_title", F.lit(None).cast("string"))
+    return docs.join(titles.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_join(F.collect_list("title"), " ").alias("_title")), key, "left")
+
+
 def centroid_scores(rows: DataFrame, key: str, order: str, text: str = "text", titles: DataFrame | None = None, part: str | None = None) -> DataFrame:
     """key (and part), order, score: cosine of each sentence's TF-IDF vector to the sum of all of its key's (and part's).
 
     A title (key, title) joins the sum. idf counts sentences. Terms are lower-case words and numbers; a sentence without any
-    has no score. One window over the rows of a term gives its idf and its place in the centroid."""
+    has no score."""
     ids = [key, *([part] if part else [])]
-    own, term = Window.partitionBy(*ids), Window.partitionBy(*ids, "term")
-    some = rows.select(*ids, F.col(order).alias("_o"), F.col(text).alias("_text"))
-    if titles is not None:
-        some = some.union(rows.select(*ids).distinct().join(titles, key).select(*ids, F.lit(None).cast(rows.schema[order].dataType), "title"))
-    some = some.withColumn("_n", F.count("_o").over(own))
-    each = some.select(*ids, "_o", "_n", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
-    tf = each.groupBy(*ids, "_o", "_n", "term").agg(F.count("*").alias("tf"))
-    tf = tf.withColumns({"_df": F.count("_o").over(term), "_rows": F.count("*").over(term), "_all": F.sum("tf").over(term)}).where("_df > 0")
-    idf = F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1
-    tf = tf.withColumns({"_w": F.col("tf") * idf, "_c": F.col("_all") * idf})
-    total = lambda x: F.sum(x)
-    met = tf.groupBy(*ids, "_o").agg(total(F.col("_w") * F.col("_c")).alias("_dot"), F.sqrt(total(F.col("_w") * F.col("_w"))).alias("_own"), total(F.col("_c") * F.col("_c") / F.col("_rows")).alias("_part"))
-    met = met.withColumn("_size", F.sqrt(F.sum("_part").over(own))).where("_o is not null")
-    return met.select(*ids, F.col("_o").alias(order), F.try_divide("_dot", F.col("_own") * F.col("_size")).alias("score"))
-
-
-def _best(scores: DataFrame, ids: list[str], key: str, order: str, k: int, name: str) -> DataFrame:
-    """key, name: the orders of the k best of each of ids."""
-    w = Window.partitionBy(*ids).orderBy(F.round("score", 9).desc(), order)
-    return scores.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(1, k)).groupBy(key).agg(F.collect_list(order).alias(name))
+    some = rows.select(F.struct(*ids).alias("_id"), F.col(order).alias("_o"), F.col(text).alias("_text"))
+    docs = _titled(gathered(some, "_id", "_o").select("_id.*", "sentences"), key, titles)
+    orders = F.array_distinct(F.transform("sentences", lambda x: x["_o"]))
+    scores = centroids.scores()(F.transform("sentences", lambda x: F.lower(x["_text"])), _again("_o"), F.array(F.lit(0)), F.lower("_title"))
+    each = docs.select(*ids, F.inline(F.arrays_zip(orders.alias(order), scores.alias("score"))))
+    return each.where("score is not null")
+
+
+def summarize_within(docs: DataFrame, key: str, order: str, budget: int = BUDGET, per_chunk: int = 2, most: int = 3, titles: DataFrame | None = None) -> DataFrame:
+    """docs (one row a key, its sentences an array of (order, text) in order) with summary and chosen: the best sentences of each
+    chunk, and of these the best of all, at most `most`, in their own order. Keys without a term or a key have no row.
+
+    A key's sentences are scored within its row, by an Arrow function; nothing is shuffled but for titles."""
+    text, n = F.transform("sentences", lambda x: F.lower(x["text"])), F.transform("sentences", lambda x: F.size(words(F.coalesce(x["text"], F.lit("")))))
+    ready = _titled(docs.where(F.col(key).isNotNull()), key, titles)
+    firsts = F.transform(chunk_firsts(n, budget, False), lambda f: f["at"])
+    found = ready.withColumn("_k", centroids.chosen(per_chunk, most)(text, _again(order), firsts, F.lower("_title")))
+    found = found.withColumn("_s", F.transform("_k", lambda i: F.get("sentences", i)))
+    best = F.struct(F.array_join("_s.text", " ").alias("summary"), F.transform("_s", lambda x: x[order]).alias("chosen"))
+    # The outer form keeps the test for chosen sentences, and with it a second run of the function, out of the filters.
+    return found.select(*docs.columns, F.inline_outer(F.when(F.size("_k") > 0, F.array(best)))).where("chosen is not null")
 
 
 def summarize_extractive(rows: DataFrame, key: str, order: str, budget: int = BUDGET, per_chunk: int = 2, most: int = 3, titles: DataFrame | None = None) -> DataFrame:
-    """key, summary, chosen: the best sentences of each chunk, and of these the best of all, at most `most`, in their own order."""
-    chunks = gather_chunks(rows.select(key, order, "text"), key, order, budget, split=False)
-    first = _best(centroid_scores(_rows_of(chunks, key), key, order, titles=titles, part="chunk"), [key, "chunk"], key, order, per_chunk, "_picked")
-    among = lambda sentences, picked: F.filter(sentences, lambda x: F.array_contains(picked, x[order]))
-    chosen = chunks.join(first, key).select(key, among(F.flatten("chunks.rows"), F.col("_picked")).alias("_s"))
-    last = _best(centroid_scores(chosen.select(key, F.inline_outer("_s")), key, order, titles=titles), [key], key, order, most, "_picked")
-    kept = chosen.join(last, key).select(key, among(F.col("_s"), F.col("_picked")).alias("_s"))
-    return kept.select(key, F.array_join("_s.text", " ").alias("summary"), F.transform("_s", lambda x: x[order]).alias("chosen"))
+    """key, summary, chosen: as summarize_within, of sentences that come as rows."""
+    return summarize_within(gathered(rows.select(key, order, "text"), key, order), key, order, budget, per_chunk, most, titles).select(key, "summary", "chosen")

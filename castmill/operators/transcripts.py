@@ -18,6 +18,16 @@ def timed_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
     return rows.select("doc_id", F.transform("_l", each).alias("segments"))
 
 
+def document_lines(docs: DataFrame, min_words: int = 4) -> DataFrame:
+    """doc_id, sentences: an array of (pos, text), the lines of each text, one row a doc_id.
+
+    Where no doc_id repeats, which the ids alone tell, lines stay in their document's row; else those of one id are brought together."""
+    rows = docs.select("doc_id", F.transform(lines("text", min_words), lambda t, i: F.struct(i.cast("long").alias("pos"), t.alias("text"))).alias("sentences"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("sentences"))).alias("sentences"))
+
+
 def exploded(rows: DataFrame, columns: list, array, present: str) -> DataFrame:
     """columns beside the fields of each struct of array. The outer form keeps a test for rows, and with it all that makes the array, out of the filters."""
     return rows.select(*columns, F.inline_outer(array)).where(F.col(present).isNotNull())

@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
+from collections import Counter
 from itertools import accumulate
 
 from pyspark.sql import functions as F
 
 from castmill.functions import numeric as N
-from castmill.operators import clips, pairs
+from castmill.operators import clips, pairs, summaries, transcripts
 from castmill.plans import media, queries, titles
 
 
@@ -87,3 +89,47 @@ def test_mean_vectors(spark):
 def test_components_of_vectors_are_not_rows(spark, sf_dir):
     """The mean of a document's lines once took a row for each component."""
     assert "posexplode" not in plan(titles.scored_lines(spark, sf_dir))
+
+
+def test_summaries_shuffle_no_text(spark):
+    """One row a document, no exchange; repeated ids are brought together, rows without an id have no summary."""
+    assert "Exchange" not in plan(media.summaries(spark, "/root/testdata/sf0.001"))
+    text = "the cat sat on a mat. the cat ate a mat. zebra quartz vision here. a cat and a mat."
+    docs = spark.createDataFrame([(1, text), (2, "one cat on one mat. two cats on a mat."), (2, "a zebra in a zoo."), (None, text), (3, None), (4, "ж ж ж ж")], "doc_id long, text string")
+    rows = transcripts.segments(docs.where("doc_id is not null")).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
+    want = {r["doc_id"]: (r["summary"], r["chosen"]) for r in summaries.summarize_extractive(rows, "doc_id", "pos", 8).collect()}
+    got = summaries.summarize_within(transcripts.document_lines(docs), "doc_id", "pos", 8).collect()
+    assert sorted(want) == [1, 2] and len(got) == 2 and {r["doc_id"]: (r["summary"], r["chosen"]) for r in got} == want
+
+
+def test_summaries_by_definition(spark):
+    """Random sentences, some of one order, some without terms or text, with titles, in more than one block of rows, by loops over all."""
+    draw = random.Random(5)
+    rows = [(k, draw.randint(0, 9), draw.choice([None, "-- ж --"]) if draw.random() < 0.1 else " ".join(draw.choice(["a", "b", "Cat", "İstanbul", "x-1", "zoo"]) for _ in range(draw.randint(1, 6)))) for k in range(600) for _ in range(draw.randint(1, 14))]
+    named = [(k, draw.choice(["zoo zoo b", "other", None])) for k in range(0, 600, 3) for _ in range(draw.randint(1, 2))]
+
+    def best(sentences, titles, k):
+        terms = lambda t: re.findall("[a-z0-9]+", t.lower()) if t else []
+        own = {}
+        for pos, t in sentences:
+            own.setdefault(pos, Counter()).update(terms(t))
+        every = Counter(x for t in [*[t for _, t in sentences], *titles] for x in terms(t))
+        idf = {t: math.log((1 + len(sentences)) / (1 + sum(t in c for c in own.values()))) + 1 for c in own.values() for t in c}
+        size = lambda v: math.sqrt(sum(x * x for x in v))
+        score = {p: sum(n * idf[t] ** 2 * every[t] for t, n in c.items()) / size(n * idf[t] for t, n in c.items()) / size(every[t] * w for t, w in idf.items()) for p, c in own.items() if c}
+        return set(sorted(score, key=lambda p: (-round(score[p], 9), p))[:k])
+
+    want = {}
+    for key in range(600):
+        sentences = sorted(((p, t) for k, p, t in rows if k == key), key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+        own, chunks, held = [t for k, t in named if k == key], [], 11
+        for p, t in sentences:
+            n = len((t or "").split())
+            chunks, held = ([*chunks, [(p, t)]], n) if held + n > 10 else ([*chunks[:-1], [*chunks[-1], (p, t)]], held + n)
+        some = [x for x in sentences if any(x[0] in best(c, own, 2) for c in chunks)]
+        last = best(some, own, 3)
+        if last:
+            want[key] = [p for p, _ in some if p in last]
+    df = spark.createDataFrame(rows, "doc int, pos int, text string")
+    found = summaries.summarize_extractive(df, "doc", "pos", 10, titles=spark.createDataFrame(named, "doc int, title string"))
+    assert {r["doc"]: r["chosen"] for r in found.collect()} == want
