@@ -32,7 +32,7 @@ def title_flags(c) -> dict[str, Column]:
 
 
 def upper_ratio(c) -> Column:
-    return F.length(F.regexp_replace(c, r"[^\p{IsUppercase}]", "")) / F.greatest(F.length(c), F.lit(1))
+    return F.length(F.regexp_replace(c, r"[^\p{IsUppercase}]+", "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def sentences(c) -> Column:

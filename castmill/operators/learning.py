@@ -38,10 +38,15 @@ def title_stages(size: int = 1 << 12) -> list:
     ]
 
 
-def embed_text(rows: DataFrame, text: str = "text", size: int = 1 << 10) -> DataFrame:
-    """rows with vec: a vector of length 1 of the words by IDF over all rows (zero without words). Lines and summaries go through one call, so through one encoder."""
+def fit_encoder(rows: DataFrame, text: str = "text", size: int = 1 << 10) -> PipelineModel:
+    """An encoder of texts as sparse vectors _vec of length 1 of the words by IDF over all rows (zero without words)."""
     stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_vec")]
-    return Pipeline(stages=stages).fit(rows).transform(rows).withColumn("vec", vector_to_array("_vec")).drop("_words", "_tf", "_idf", "_vec")
+    return Pipeline(stages=stages).fit(rows)
+
+
+def embed_text(rows: DataFrame, text: str = "text", size: int = 1 << 10) -> DataFrame:
+    """rows with vec: the vector of fit_encoder as an array. Lines and summaries go through one call, so through one encoder."""
+    return fit_encoder(rows, text, size).transform(rows).withColumn("vec", vector_to_array("_vec")).drop("_words", "_tf", "_idf", "_vec")
 
 
 def train_detector(train: DataFrame, estimator=None) -> PipelineModel:

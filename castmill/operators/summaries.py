@@ -90,19 +90,20 @@ def centroid_scores(rows: DataFrame, key: str, order: str, text: str = "text", t
     return each.where("score is not null")
 
 
-def summarize_within(docs: DataFrame, key: str, order: str, budget: int = BUDGET, per_chunk: int = 2, most: int = 3, titles: DataFrame | None = None) -> DataFrame:
+def summarize_within(docs: DataFrame, key: str, order: str, budget: int = BUDGET, per_chunk: int = 2, most: int = 3, titles: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """docs (one row a key, its sentences an array of (order, text) in order) with summary and chosen: the best sentences of each
-    chunk, and of these the best of all, at most `most`, in their own order. Keys without a term or a key have no row.
+    chunk, and of these the best of all, at most `most`, in their own order. Rows without a term or a key go, or with keep stay.
 
     A key's sentences are scored within its row, by an Arrow function; nothing is shuffled but for titles."""
     text, n = F.transform("sentences", lambda x: F.lower(x["text"])), F.transform("sentences", lambda x: F.size(words(F.coalesce(x["text"], F.lit("")))))
-    ready = _titled(docs.where(F.col(key).isNotNull()), key, titles)
+    ready = _titled(docs if keep else docs.where(F.col(key).isNotNull()), key, titles)
     firsts = F.transform(chunk_firsts(n, budget, False), lambda f: f["at"])
     found = ready.withColumn("_k", centroids.chosen(per_chunk, most)(text, _again(order), firsts, F.lower("_title")))
     found = found.withColumn("_s", F.transform("_k", lambda i: F.get("sentences", i)))
     best = F.struct(F.array_join("_s.text", " ").alias("summary"), F.transform("_s", lambda x: x[order]).alias("chosen"))
     # The outer form keeps the test for chosen sentences, and with it a second run of the function, out of the filters.
-    return found.select(*docs.columns, F.inline_outer(F.when(F.size("_k") > 0, F.array(best)))).where("chosen is not null")
+    found = found.select(*docs.columns, F.inline_outer(F.when(F.size("_k") > 0, F.array(best))))
+    return found if keep else found.where("chosen is not null")
 
 
 def summarize_extractive(rows: DataFrame, key: str, order: str, budget: int = BUDGET, per_chunk: int = 2, most: int = 3, titles: DataFrame | None = None) -> DataFrame:

@@ -103,8 +103,7 @@ def meteor(spark, d):
 def highlight_models(spark, d):
     """Relevant and viral lines of all documents by models trained on the labelled titles; no SQL, as models have none."""
     train = written(labelled(spark, d))
-    lines = timed_segments(spark, d).select("doc_id", "pos", "text")
-    found = H.highlight(lines, "doc_id", "pos", L.train_detector(train), L.train_reranker(train))
+    found = H.highlight_within(R.document_lines(table(spark, d, "documents")), "doc_id", "pos", L.train_detector(train), L.train_reranker(train))
     return found.select("doc_id", "list", F.col("rank").cast("long").alias("rank"), "pos", "relevancy", *[F.round(c, 6).alias(c) for c in ("viral_prob", "viral_score")], "line_count")
 
 

@@ -7,9 +7,9 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from castmill.operators import clips, highlight, learning, metrics, pairs, titles
+from castmill.operators import clips, highlight, learning, metrics, pairs, summaries, titles
 from castmill.plans import queries
-from castmill.sources import files
+from castmill.sources import files, stages
 
 
 def made_titles(spark, n=600):
@@ -187,3 +187,25 @@ def test_edit_counts_by_the_whole_table():
 def test_rejects_of_passes(spark):
     one = spark.createDataFrame([(1, "empty")], "id int, reason string")
     assert clips.union_rejects(one, one.select("reason", "id"), one).count() == 3
+
+
+def test_highlight_holds_no_vectors(spark, monkeypatch):
+    """Vectors are neither written nor shuffled, and relevancies are those of dense vectors of one encoder; lines without words have 1, as before."""
+    draw, frames = random.Random(4), []
+    rows = [(k, i, "- - ! ?" if draw.random() < 0.1 else " ".join(draw.choice(["wow", "lecture", "best", "Report", "zoo", "hé", "42"]) for _ in range(draw.randint(4, 9)))) for k in range(40) for i in range(draw.randint(1, 9))]
+    lines = spark.createDataFrame([*rows, (99, 0, "- - - -")], "doc int, pos int, text string")
+    monkeypatch.setattr(highlight, "written", lambda df: frames.append(df) or stages.written(df))
+    train = made_titles(spark)
+    models = learning.train_detector(train), learning.train_reranker(train)
+    got = {(r["doc"], r["pos"]): r for r in highlight.highlight(lines, "doc", "pos", *models, k=100).where("list = 'relevant'").collect()}
+    assert len(frames) == 2 and not any("double>" in t or "vector" in t for f in frames for _, t in f.dtypes)
+    shuffled = [x for x in frames[1]._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert len(shuffled) == 1 and frames[1].schema["relevancy"].dataType.simpleString() == "double"
+    every = lines.select("doc", "pos", "text").union(summaries.summarize_extractive(lines, "doc", "pos").select("doc", F.lit(-1), "summary"))
+    v = {(r["doc"], r["pos"]): np.array(r["vec"]) for r in learning.embed_text(every).collect()}
+    near = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b) if a.any() and b.any() else 1.0
+    want = {(k, i): near(v[k, i], v[k, -1]) for k, i, _ in rows if (k, -1) in v}
+    assert set(got) == set(want) and all(abs(got[x]["relevancy"] - min(1.0, want[x])) < 1e-4 for x in want)
+    assert all(got[k, i]["line_count"] == sum(a == k for a, _, _ in rows) for k, i in got)
+    hot = learning.score_detector(models[0], lines.withColumnRenamed("text", "title")).collect()
+    assert all(abs(got[r["doc"], r["pos"]]["viral_prob"] - r["viral_prob"]) < 1e-12 for r in hot if (r["doc"], r["pos"]) in got)
